@@ -232,3 +232,10 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     with_set = usable.select("doc_id", "n_shingles", "s0", "s1").join(known, ["s0", "s1"]).select("doc_id", "n_shingles", "component_id")
     without = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(without).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(spark: SparkSession, documents: DataFrame, percent: int = 75) -> DataFrame:
+    """``documents`` with one row of each group of near copies, that of the smallest doc_id; rows without a doc_id stay."""
+    found = near_duplicates(spark, documents, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = documents.filter(F.col("doc_id").isNotNull()).join(found, F.col("doc_id").cast("long") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
+    return known.unionByName(documents.filter(F.col("doc_id").isNull()))

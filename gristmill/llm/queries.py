@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import chat, decontaminate, line_dedup, minhash, pii, quality, secret_scan, sentencepiece_codec, token_store, toxicity
+from ._store import ship
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -15,8 +24,60 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, folder, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark, _table(spark, folder, "documents"))
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(spark, _table(spark, folder, "documents"))
+
+
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find(spark, _table(spark, folder, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.assess(spark, docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.digests(_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts are made of control strings."""
+    import public_tokenizers
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.round_trip(spark, rows, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.store(spark, _table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_pii": op3_pii,
+    "op4_secrets": op4_secrets,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_toxicity": op7_toxicity,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_token_store": op9_token_store,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
