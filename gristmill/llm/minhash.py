@@ -145,7 +145,8 @@ def _confirm(percent: int):
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    """Texts of some ids, whose number has no bound: a merge join at every size."""
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +154,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     needed = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     sets = _only(docs, needed).mapInArrow(_sets, "id long, items binary")
     left, right = sets.withColumnsRenamed({"id": "u", "items": "left_items"}), sets.withColumnsRenamed({"id": "v", "items": "right_items"})
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "left_items", "right_items").mapInArrow(_confirm(percent), "u long, v long")
+    return pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "left_items", "right_items").mapInArrow(_confirm(percent), "u long, v long")
 
 
 def _alike(a: str, b: str, percent: int, columns: list[str], values: int):
