@@ -1,19 +1,18 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are compared as sequences of words, A-Z and other letters in lower case.  Two
-lines match if they are equal or, from NEAR_WORDS words on, if one insertion, deletion
+Lines are compared as sequences of words.  Two lines match if they are equal or, from NEAR_WORDS words on, if one insertion, deletion
 or replacement of a word turns one into the other.  A line goes if an earlier line, by
 (doc_id, line number), matches it; the earliest stays.  Lines under LEAST_WORDS words
 say too little to be told apart from chance and always stay.
 
 Plan.  Texts are split once into hashes of lines, and equal lines become one row by a
 map-side combined aggregation.  Emitting every deletion variant of every line would
-multiply the corpus by its line length, so lines first meet on the halves that an edit
-leaves alone: of two lines within one edit, the first half or the second half of the
-shorter one's length is the same in both.  Only lines that share such a half with
-another line emit their variants, which loses no match.  Equal variants are then joined
-as a star, each line to the earliest of its variant, so a hot variant costs rows in
-proportion to its lines; each such pair is verified on the words themselves.
+multiply the corpus by its line length, so lines first meet on what an edit leaves
+alone: of two lines within one edit, the first or the second half of the shorter one's
+length is the same in both; and, for lines that share a half with another line, all but
+one eighth is.  Only lines that pass both emit their variants, which loses no match.
+Equal variants are then joined as a star, each line to the earliest of its variant, so a
+hot variant costs rows in proportion to its lines; each pair is verified on its words.
 """
 
 from __future__ import annotations
@@ -27,30 +26,42 @@ LEAST_WORDS = 5
 NEAR_WORDS = 8
 
 
+PARTS = 8
+
+
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def _hashes(words: Column) -> tuple[Column, Column]:
     return F.xxhash64(words), F.xxhash64(F.lit(1), words)
 
 
-def _halves(words: Column) -> Column:
-    """What two lines within one edit share, for each length that the shorter one can have: this line's and one less."""
-    size = F.size(words)
-    keys = []
-    for less in (0, 1):
-        short = size - less
-        cut = F.floor(short / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), short, F.slice(words, F.lit(1), cut)))
-        keys.append(F.xxhash64(F.lit("second"), short, F.slice(words, size - (short - cut) + 1, short - cut)))
+def _around(words: Column, short: Column, start: Column, end: Column) -> Column:
+    """Hash of the words before ``start`` and of those from ``end`` on, counted from the end of a line of ``short`` words."""
+    rest = short - end
+    return F.xxhash64(short, start, F.slice(words, F.lit(1), start), F.slice(words, F.size(words) - rest + 1, rest))
+
+
+def _shared(words: Column, parts: int) -> Column:
+    """What two lines within one edit share: all but one of so many parts, for each length that the shorter one can have (this line's and one less)."""
+    cut = lambda short, k: F.floor(short * k / parts).cast("int")
+    keys = [_around(words, F.size(words) - less, cut(F.size(words) - less, k), cut(F.size(words) - less, k + 1)) for less in (0, 1) for k in range(parts)]
     return F.array(*keys)
 
 
+def _meeting(rows: DataFrame, keys: str) -> DataFrame:
+    """The rows (h1, h2, first) that share one of their keys with another line."""
+    each = rows.select("h1", "h2", "first", F.explode(keys).alias("key"))
+    common = each.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
+    return each.join(common.hint("merge"), "key", "left_semi").select("h1", "h2", "first").distinct()
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, words of every line that is long enough."""
-    lines = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return lines.select("doc_id", "line", words_of(F.col("content")).alias("words")).filter(F.size("words") >= LEAST_WORDS)
+    """doc_id, line, words of every line that is long enough.  Words are made in the generator, so that the filter does not make them again."""
+    some = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = some.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), words_of)).alias("line", "words"))
+    return lines.filter(F.size("words") >= LEAST_WORDS)
 
 
 def _without(words: Column, at: Column) -> Column:
@@ -70,20 +81,20 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, lines array<int>: numbers from 0 of the lines that go, for documents that lose some."""
     lines = _lines(docs)
     h1, h2 = _hashes(F.col("words"))
-    halves = F.when(F.size("words") >= NEAR_WORDS, _halves(F.col("words")))
+    halves = F.when(F.size("words") >= NEAR_WORDS, _shared(F.col("words"), 2))
     seen = scratch.table(lines.select("doc_id", "line", h1.alias("h1"), h2.alias("h2"), halves.alias("halves")), "lines")
     place = F.struct("doc_id", "line")
     distinct = scratch.table(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "distinct")
 
-    # Lines that share a half with another line.
-    meet = distinct.filter("halves IS NOT NULL").select("h1", "h2", "first", F.explode("halves").alias("half"))
-    common = meet.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("half")
-    live = scratch.table(meet.join(common, "half", "left_semi").select("h1", "h2", "first").distinct(), "live")
-
-    # Their words, from the documents where they come first.
-    where = live.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2")
-    texts = docs.join(where.select("doc_id").distinct(), "doc_id", "left_semi")
-    worded = scratch.table(_lines(texts).join(where, ["doc_id", "line"]).select("doc_id", "line", "h1", "h2", "words").dropDuplicates(["h1", "h2"]), "worded")
+    # Lines that share a half with another line, and their words from the documents where they come first.
+    live = scratch.table(_meeting(distinct.filter("halves IS NOT NULL"), "halves"), "live")
+    wanted = live.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "h1", "h2", "first")).alias("wanted"))
+    found = docs.join(wanted.hint("merge"), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+    worded = found.select("w.h1", "w.h2", "w.first", words_of(F.element_at("all", F.col("w.line") + 1)).alias("words")).filter(_hashes(F.col("words"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"])
+    worded = scratch.table(worded, "worded")
+    closer = _meeting(worded.select("h1", "h2", "first", _shared(F.col("words"), PARTS).alias("parts")), "parts")
+    worded = worded.join(closer.select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2", "words")
+    worded = scratch.table(worded, "close")
 
     # Deletion variants: the line itself may equal another's variant (role 0 against 1); lines that
     # differ in one word share the variant without it (the place is part of the key).
@@ -128,7 +139,7 @@ def dedup_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = duplicate_lines(docs, Scratch(spark, "lines"))
-    both = docs.join(gone, "doc_id", "left")
+    both = docs.join(gone.hint("merge"), "doc_id", "left")
     return both.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _kept_text(F.col("text"), F.col("lines")).alias("text"))
 
 
@@ -136,7 +147,7 @@ def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """``documents`` with their columns, lines that go taken out of ``text`` and ``n_chars`` counted anew.  Documents that lose their last word go."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = duplicate_lines(docs, Scratch(spark, "lines")).withColumnsRenamed({"doc_id": "gone_id", "lines": "gone_lines"})
-    both = documents.join(gone, documents["doc_id"] == gone["gone_id"], "left")
+    both = documents.join(gone.hint("merge"), documents["doc_id"].cast("long") == gone["gone_id"], "left")
     text = _kept_text(documents["text"], F.col("gone_lines"))
     out = both.select(*(text.alias("text") if c == "text" else F.when(F.col("gone_lines").isNull(), documents[c]).otherwise(F.length(text).cast("long")).alias(c) if c == "n_chars" else documents[c] for c in documents.columns), "gone_lines")
     return out.filter(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("gone_lines")
