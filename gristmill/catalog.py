@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from .plans import records, search, streams, tabular, web
+
+FLAGSHIP = "agg_group_summary"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "agg_group_summary"
+for _plan in (tabular, search, records, web, streams):
+    QUERIES |= _plan.QUERIES
+    ORACLE |= _plan.ORACLE

@@ -1,0 +1,93 @@
+"""Record stores as tables: ledgers, links, hot entries, archives, provider payloads, result pages."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import decode_entities, strip_tags
+
+LEDGER = "id string, at timestamp, path string, format string, theme string, bytes long, purpose string, outline array<string>, source array<string>, kbRefs array<string>, note string"
+LINK = "id string, sourceId string, targetId string, kind string, conflictClass string, conflictState string, note string, at timestamp"
+TOMBSTONE = "id string, at timestamp, reason string"
+ENTRY = "id string, target string, content string, importance string, entities array<string>, tags array<string>, kbRefs array<string>, sources array<string>, createdAt timestamp, updatedAt timestamp"
+STORE = f"struct<version:int,contentRevision:string,entries:array<struct<{', '.join(f.replace(' ', ':', 1) for f in ENTRY.split(', '))}>>>"
+#: Values that an entry's importance and target can have; the first is the fallback.  (Fixed values.)
+IMPORTANCE, TARGETS = ["normal", "critical", "low"], ["project", "user"]
+LINK_KINDS = ["supports", "contradicts", "refines", "depends", "derived", "related"]
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A ledger of JSON lines; bad lines are passed over and a missing file is empty."""
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def enum(column: Column, allowed: list[str]) -> Column:
+    return F.when(column.isin(allowed), column).otherwise(allowed[0])
+
+
+def hot_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a store document, those without content left out and unknown values made the fallback."""
+    inner = STORE[len("struct<"):-1]
+    rows = spark.read.schema(", ".join(_fields(inner))).option("multiLine", True).json(path).select(F.explode("entries").alias("e")).select("e.*")
+    return rows.filter(F.trim("content") != "").withColumn("importance", enum(F.col("importance"), IMPORTANCE)).withColumn("target", enum(F.col("target"), TARGETS))
+
+
+def _fields(inner: str) -> list[str]:
+    out, depth, at = [], 0, 0
+    for k, c in enumerate(inner):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(inner[at:k])
+            at = k + 1
+    return [f.strip().replace(":", " ", 1) for f in [*out, inner[at:]]]
+
+
+def archive_items(digests: DataFrame) -> DataFrame:
+    """Items of monthly volumes, flattened with the block and volume they come from."""
+    blocks = digests.select("month", "volume", F.explode_outer("blocks").alias("b"))
+    return blocks.select("month", "volume", F.col("b.id").alias("block_id"), F.col("b.at").alias("block_at"), F.col("b.reason").alias("reason"), F.explode_outer("b.items").alias("item"))
+
+
+def union_origins(**stores: DataFrame) -> DataFrame:
+    """Stores of one shape, each row tagged with where it comes from."""
+    out = None
+    for name, df in stores.items():
+        tagged = df.withColumn("origin", F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out
+
+
+#: Where search providers keep their results, by family: list path, then url, title, snippet, date.  (Fixed values.)
+PAYLOADS = {
+    "results": ("$.results", "url", "title", "content", "publishedDate"),
+    "organic": ("$.organic", "link", "title", "snippet", "date"),
+    "web": ("$.web.results", "url", "title", "description", "age"),
+    "data": ("$.data.webPages.value", "url", "name", "snippet", "datePublished"),
+}
+
+
+def provider_sources(df: DataFrame, key: str, payload: str, family: str) -> DataFrame:
+    """(key, ord, url, title, snippet, published_at) of a provider's JSON; results without an address are left out, and repeats keep the first."""
+    at, url, title, snippet, date = PAYLOADS[family]
+    rows = F.from_json(F.get_json_object(payload, at), "array<map<string,string>>")
+    each = df.select(key, F.posexplode(rows).alias("ord", "r")).select(key, "ord", F.col("r")[url].alias("url"), F.col("r")[title].alias("title"), F.col("r")[snippet].alias("snippet"), F.col("r")[date].alias("published_at"))
+    first = each.filter("url IS NOT NULL AND url <> ''").groupBy(key, "url").agg(F.min(F.struct("ord", "title", "snippet", "published_at")).alias("m"))
+    return first.select(key, "m.ord", "url", "m.title", "m.snippet", "m.published_at")
+
+
+def result_links(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, ord, url, title, snippet) of a results page: links of class result__a, snippets by position, redirects unwrapped."""
+    links = F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]+class="result__a"[^>]+href="([^"]+)"'), F.lit(1))
+    titles = F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]+class="result__a"[^>]*>(.*?)</a>'), F.lit(1))
+    said = F.regexp_extract_all(html, F.lit(r'(?is)class="result__snippet"[^>]*>(.*?)</'), F.lit(1))
+    rows = df.select(key, F.posexplode(F.arrays_zip(links.alias("url"), titles.alias("title"), said.alias("snippet"))).alias("ord", "r"))
+    url = decode_entities(F.col("r.url"))
+    target = F.regexp_extract(url, r"[?&]uddg=([^&]+)", 1)
+    return rows.select(key, "ord", F.when(target != "", F.url_decode(target)).otherwise(url).alias("url"), strip_tags(F.col("r.title")).alias("title"), strip_tags(F.col("r.snippet")).alias("snippet"))
