@@ -10,6 +10,10 @@ lies whole in one.  Block-max WAND runs for all passages of a block of text at o
 2. passages that pass get a bound for each block of items, from the block maxima;
 3. only items of blocks that still pass are scored in full.
 
+Each item's commonest terms, of which SLACK of its weight at most is made, have no
+postings: what they could add is added to every bound instead.  So the words of which
+every text is full are never looked up.
+
 Bounds never undercut scores, so every item above the threshold is retrieved.  Hits are
 then verified: the passage must hold most of the runs of words of the item's question
 and of its answer.
@@ -32,6 +36,8 @@ from ._text import U64, blocks, windows, word_hashes
 K1, B = 1.2, 0.75
 #: Share of an item's own score at which it is retrieved.
 THRESHOLD = 0.5
+#: Share of an item's weight that terms without postings may make up, the lightest first.
+SLACK = 0.3
 #: Shares of the question's and the answer's word runs that a passage must hold.
 OVERLAP = 0.5
 ANSWER_SHARE = 4  # the last quarter of an item's words counts as its answer
@@ -48,18 +54,22 @@ NORMAL[:128] = [ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range
 @dataclass
 class Index:
     item_ids: list[int]
-    terms: np.ndarray  # sorted term hashes
-    seen: np.ndarray  # whether some term begins with these 16 bits
-    most: np.ndarray  # largest weight of each term
-    at: np.ndarray  # of each term, its first row in the next two
+    terms: np.ndarray  # sorted hashes of the terms with postings
+    seen: np.ndarray  # whether some such term begins with these 20 bits
+    most: np.ndarray  # largest weight of each
+    at: np.ndarray  # of each, its first row in the next two
     block: np.ndarray
     block_most: np.ndarray
-    block_terms: list[np.ndarray]  # of each block, its terms
-    block_weights: list[np.ndarray]  # and the weights, terms x items
+    slack: float  # the largest weight of an item's terms without postings
+    block_terms: list[np.ndarray]  # of each block, the hashes of all its terms
+    block_weights: list[np.ndarray]  # and their weights, terms x items
     grams: list[tuple]  # of each item, for question and answer: hashes of its word runs and their width
     half: int  # half a passage, in words
 
 
+SEEN_BITS = 20
+
+
 def split_item(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = len(words) - max(1, len(words) // ANSWER_SHARE)
     return (words[:cut], words[cut:]) if cut else (words, words)
@@ -74,35 +84,38 @@ def build(item_ids: list[int], words: list[np.ndarray], n_items: int, average: f
     """An index over some items, with the statistics of all of them."""
     kept = [k for k, w in enumerate(words) if len(w)]
     item_ids, words = [item_ids[k] for k in kept], [words[k] for k in kept]
-    rows = []  # (term, item, weight)
+    rows, slack = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))], 0.0
     for k, w in enumerate(words):
         terms, tf = np.unique(w, return_counts=True)
-        idf = np.log(1 + (n_items - np.array([df[int(t)] for t in terms]) + 0.5) / (np.array([df[int(t)] for t in terms]) + 0.5))
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / average))
-        rows.append((terms, np.full(len(terms), k), weight / weight.sum()))
-    term = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, U64)
-    item = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-    weight = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)
-    terms, where = np.unique(term, return_inverse=True)
-    most = np.zeros(len(terms))
-    np.maximum.at(most, where, weight)
-    of = item // BLOCK_ITEMS
-    n_blocks = int(of.max(initial=-1)) + 1
-    pairs, place = np.unique(where.astype(np.int64) * max(1, n_blocks) + of, return_inverse=True)
-    block_most = np.zeros(len(pairs))
-    np.maximum.at(block_most, place, weight)
+        n = np.array([df[int(t)] for t in terms])
+        weight = np.log(1 + (n_items - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / average))
+        weight = weight / weight.sum()
+        order = np.argsort(weight, kind="stable")
+        light = np.zeros(len(terms), bool)
+        light[order[np.cumsum(weight[order]) <= SLACK]] = True
+        slack = max(slack, float(weight[light].sum()))
+        rows.append((terms, np.full(len(terms), k), weight, ~light))
+    term, item, weight, listed = (np.concatenate([r[c] for r in rows]) for c in range(4))
+    n_blocks = -(-len(words) // BLOCK_ITEMS)
     block_terms, block_weights = [], []
     for b in range(n_blocks):
-        mine = of == b
-        have, local = np.unique(where[mine], return_inverse=True)
+        mine = item // BLOCK_ITEMS == b
+        have, local = np.unique(term[mine], return_inverse=True)
         table = np.zeros((len(have), BLOCK_ITEMS))
         table[local, item[mine] % BLOCK_ITEMS] = weight[mine]
         block_terms.append(have)
         block_weights.append(table)
-    seen = np.zeros(1 << 16, bool)
-    seen[(terms >> U64(48)).astype(np.int64)] = True
-    longest = max(map(len, words), default=1)
-    return Index(item_ids, terms, seen, most, np.searchsorted(pairs, np.arange(len(terms) + 1) * max(1, n_blocks)), pairs % max(1, n_blocks), block_most, block_terms, block_weights, [tuple(map(_grams, split_item(w))) for w in words], max(32, longest))
+    terms, where = np.unique(term[listed], return_inverse=True)
+    most = np.zeros(len(terms))
+    np.maximum.at(most, where, weight[listed])
+    pairs, place = np.unique(where.astype(np.int64) * max(1, n_blocks) + item[listed] // BLOCK_ITEMS, return_inverse=True)
+    block_most = np.zeros(len(pairs))
+    np.maximum.at(block_most, place, weight[listed])
+    seen = np.zeros(1 << SEEN_BITS, bool)
+    seen[(terms >> U64(64 - SEEN_BITS)).astype(np.int64)] = True
+    at = np.searchsorted(pairs, np.arange(len(terms) + 1) * max(1, n_blocks))
+    grams = [tuple(map(_grams, split_item(w))) for w in words]
+    return Index(item_ids, terms, seen, most, at, pairs % max(1, n_blocks), block_most, slack, block_terms, block_weights, grams, max(32, max(map(len, words), default=1)))
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,57 +129,53 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray, threshold: float
     """(document, first word of the passage, item, score) for all passages and items at or above the threshold."""
     if not len(index.terms) or not len(hashes):
         return
-    maybe = np.flatnonzero(index.seen[(hashes >> U64(48)).astype(np.int64)])
+    maybe = np.flatnonzero(index.seen[(hashes >> U64(64 - SEEN_BITS)).astype(np.int64)])
     term = np.searchsorted(index.terms, hashes[maybe])
     term[term == len(index.terms)] = 0
     good = index.terms[term] == hashes[maybe]
     word, term = maybe[good], term[good]
     if not len(word):
         return
+    needed = threshold - index.slack - 1e-9
     n_halves = -(-np.diff(first) // index.half)
     base = np.cumsum(n_halves) - n_halves
     doc = np.searchsorted(first, word, "right") - 1
     half = base[doc] + (word - first[doc]) // index.half
-    n_terms = len(index.terms)
-    key = np.unique(half * n_terms + term)
-    half, term = key // n_terms, key % n_terms
+    key = np.unique(half * len(index.terms) + term)
+    half, term = key // len(index.terms), key % len(index.terms)
     total = int(n_halves.sum())
-    bound = np.bincount(half, index.most[term], total)
     doc_of = np.repeat(np.arange(len(n_halves)), n_halves)
     # A passage is a half with the next one of its document.
     nexts = np.zeros(total, bool)
     nexts[:-1] = doc_of[1:] == doc_of[:-1]
-    after = np.where(nexts, np.append(bound[1:], 0), 0)
-    passages = np.flatnonzero(bound + after >= threshold - 1e-9)
-    if not len(passages):
-        return
-    wanted = np.zeros(total, bool)
-    wanted[passages] = True
-    wanted[passages[nexts[passages]] + 1] = True
+    bound = np.bincount(half, index.most[term], total)
+    passages = bound + np.where(nexts, np.append(bound[1:], 0), 0) >= needed
+    wanted = passages.copy()
+    wanted[1:] |= (passages & nexts)[:-1]
     keep = wanted[half]
     half, term = half[keep], term[keep]
-    begin = np.searchsorted(half, np.arange(total + 1))
-    # Bounds of (half, block) from the block maxima, then of passages.
+    # Bounds of (half, block) from the block maxima, then of (passage, block).
     which, row = _expand(index.at[term], index.at[term + 1])
     n_blocks = len(index.block_terms)
     cells, place = np.unique(half[which] * n_blocks + index.block[row], return_inverse=True)
     sums = np.bincount(place, index.block_most[row], len(cells))
-    own = np.isin(cells // n_blocks, passages)
-    previous = cells // n_blocks - 1
-    prior = (previous >= 0) & nexts[np.maximum(previous, 0)] & np.isin(previous, passages)
+    of = cells // n_blocks
+    own, prior = passages[of], (of > 0) & (passages & nexts)[np.maximum(of - 1, 0)]
     both, place = np.unique(np.concatenate([cells[own], cells[prior] - n_blocks]), return_inverse=True)
     limit = np.bincount(place, np.concatenate([sums[own], sums[prior]]), len(both))
-    for cell in both[limit >= threshold - 1e-9].tolist():
+    last, have = -1, None
+    for cell in both[limit >= needed].tolist():
         passage, block = divmod(cell, n_blocks)
-        end = passage + 2 if nexts[passage] else passage + 1
-        have = np.unique(term[begin[passage]:begin[end]])
+        d = int(doc_of[passage])
+        start = int(first[d] + (passage - base[d]) * index.half)
+        if passage != last:
+            last, have = passage, np.unique(hashes[start:min(start + 2 * index.half, int(first[d + 1]))])
         mine = index.block_terms[block]
         at = np.searchsorted(mine, have)
         at[at == len(mine)] = 0
         scores = index.block_weights[block][at[mine[at] == have]].sum(axis=0)
         for k in np.flatnonzero(scores >= threshold).tolist():
-            d = int(doc_of[passage])
-            yield d, int(first[d] + (passage - base[d]) * index.half), block * BLOCK_ITEMS + k, float(scores[k])
+            yield d, start, block * BLOCK_ITEMS + k, float(scores[k])
 
 
 def overlaps(index: Index, item: int, passage: np.ndarray) -> tuple[float, float]:
