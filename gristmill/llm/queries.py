@@ -80,4 +80,25 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s), n AS (SELECT doc_id, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.o)
+SELECT n.doc_id, n.n AS n_shingles, min(o) AS component_id, min(o) = n.doc_id AS kept FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n
+""",
+    "op2_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+w AS (SELECT doc_id, k, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+f AS (SELECT w, min({'d': doc_id, 'k': k}) AS f FROM w WHERE len(w) >= 5 GROUP BY w),
+v AS (SELECT w, f, i, list_concat(w[1:i - 1], w[i + 1:]) AS v FROM (SELECT w, f, unnest(generate_series(1, len(w))) AS i FROM f WHERE len(w) >= 8)),
+near AS (SELECT v.w FROM v JOIN (SELECT i, v, min(f) AS m FROM v GROUP BY i, v) m ON v.i = m.i AND v.v = m.v WHERE m.m < v.f
+ UNION SELECT a.w FROM f a JOIN v ON v.v = a.w WHERE len(a.w) >= 8 AND v.f < a.f UNION SELECT v.w FROM f a JOIN v ON v.v = a.w WHERE len(a.w) >= 8 AND a.f < v.f),
+g AS (SELECT w.*, f.f IS NOT NULL AND ({'d': w.doc_id, 'k': w.k} <> f.f OR near.w IS NOT NULL) AS gone FROM w LEFT JOIN f ON w.w = f.w LEFT JOIN near ON near.w = w.w)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text FROM g GROUP BY 1
+""",
+}
