@@ -43,6 +43,8 @@ OVERLAP = 0.5
 ANSWER_SHARE = 4  # the last quarter of an item's words counts as its answer
 GRAM = 5
 BLOCK_ITEMS = 16
+#: Words in half a passage: as many as the longest item has, but no fewer than these.
+LEAST_HALF = 32
 #: Text of the test items that one index holds; a larger benchmark is taken in several passes over the corpus.
 INDEX_BYTES = 16 << 20
 
@@ -80,8 +82,8 @@ def _grams(words: np.ndarray) -> tuple[np.ndarray, int]:
     return np.unique(windows(words, width)), width
 
 
-def build(item_ids: list[int], words: list[np.ndarray], n_items: int, average: float, df: dict[int, int]) -> Index:
-    """An index over some items, with the statistics of all of them."""
+def build(item_ids: list[int], words: list[np.ndarray], n_items: int, average: float, df: dict[int, int], longest: int) -> Index:
+    """An index over some items, with the statistics of all of them: number, mean and largest length, document frequencies."""
     kept = [k for k, w in enumerate(words) if len(w)]
     item_ids, words = [item_ids[k] for k in kept], [words[k] for k in kept]
     rows, slack = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))], 0.0
@@ -115,7 +117,7 @@ def build(item_ids: list[int], words: list[np.ndarray], n_items: int, average: f
     seen[(terms >> U64(64 - SEEN_BITS)).astype(np.int64)] = True
     at = np.searchsorted(pairs, np.arange(len(terms) + 1) * max(1, n_blocks))
     grams = [tuple(map(_grams, split_item(w))) for w in words]
-    return Index(item_ids, terms, seen, most, at, pairs % max(1, n_blocks), block_most, slack, block_terms, block_weights, grams, max(32, max(map(len, words), default=1)))
+    return Index(item_ids, terms, seen, most, at, pairs % max(1, n_blocks), block_most, slack, block_terms, block_weights, grams, max(LEAST_HALF, longest))
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +249,7 @@ def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[Index]:
     parts = max(1, math.ceil(size / most))
     if parts > 1:
         terms = items.select("text").mapInArrow(_item_terms, "n long, terms array<long>").filter("n > 0")
-        totals = terms.agg(F.count("*").alias("k"), F.avg("n").alias("mean")).first()
+        totals = terms.agg(F.count("*").alias("k"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
         frequency = terms.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     for part in range(parts):
         rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
@@ -255,14 +257,14 @@ def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[Index]:
         words = [item_words(t) for _, t in found]
         if parts == 1:
             full = [w for w in words if len(w)]
-            n, mean = len(full), sum(map(len, full)) / max(1, len(full))
+            n, mean, longest = len(full), sum(map(len, full)) / max(1, len(full)), max(map(len, full), default=1)
             at, counts = np.unique(np.concatenate([np.unique(w) for w in full]) if full else np.zeros(0, U64), return_counts=True)
             df = dict(zip(at.tolist(), counts.tolist(), strict=True))
         else:
-            n, mean = totals["k"], totals["mean"]
+            n, mean, longest = totals["k"], totals["mean"], totals["longest"]
             here = rows.select("text").mapInArrow(_item_terms, "n long, terms array<long>").select(F.explode("terms").alias("t")).distinct()
             df = {r["t"] % 2**64: r["df"] for r in frequency.join(here, "t", "left_semi").collect()}
-        yield build([k for k, _ in found], words, n, mean or 1.0, df)
+        yield build([k for k, _ in found], words, n, mean or 1.0, df, longest)
 
 
 def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
