@@ -27,7 +27,8 @@ LONGEST_CODE = 16
 BLOCK_IDS = 1024
 FRAME_IDS = 1 << 20
 FRAME_DOCS = 1 << 14
-CACHED_WORDS = 300_000
+#: Distinct words that each of a cache's two generations holds.
+CACHED_WORDS = 600_000
 
 
 # --- words to ids -----------------------------------------------------------
@@ -36,32 +37,62 @@ class WordEncoder:
     """Ids of texts by the tokenizers library, which is asked once for every distinct word.
 
     The vocabulary's normaliser and splitter never look across white space, so a text's
-    ids are those of its white-space separated words in order.  The cache is emptied when
-    it is full; ids are kept as little-endian 16-bit numbers.
+    ids are those of its white-space separated words in order.  Nor do they join a comma
+    or full stop to the letter or digit before it, and case is folded, so the library
+    sees words without either.  The cache has two generations: a full one becomes the
+    older, from which words still in use are taken over, and the one before is dropped.
+    Ids are kept as little-endian 16-bit numbers.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
+        self.inner, self.known, self.older = Tokenizer.from_file(path), {}, {}
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError("ids over 65,535 need another width")
+        self.folds = "Lowercase" in self.inner.normalizer.__getstate__().decode() if self.inner.normalizer else False
 
     def encode(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
+        words = text.split()
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        for k in range(0, len(missing), 4096):
-            part = missing[k:k + 4096]
-            for w, found in zip(part, self.inner.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, older = self.known, self.older
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        asked: dict[bytes, None] = {}
+        for w in words:
+            found = older.get(w)
+            if found is not None:
+                known[w] = found
+                continue
+            core, tail = w, b""
+            if self.folds and w.isascii() and b"<|" not in w:  # added tokens are matched before case is folded
+                core = w.lower()
+                if len(core) > 1 and core[-1:] in (b",", b".") and core[-2:-1].isalnum():
+                    core, tail = core[:-1], core[-1:]
+            parts[w] = core, tail
+            for x in (core, tail):
+                if x and x not in known:
+                    if x in older:
+                        known[x] = older[x]
+                    else:
+                        asked[x] = None
+        new = list(asked)
+        for k in range(0, len(new), 4096):
+            part = new[k:k + 4096]
+            for w, found in zip(part, self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 known[w] = np.array(found.ids, "<u2").tobytes()
-        return b"".join([known[w] for w in words])
+        for w, (core, tail) in parts.items():
+            if w not in known:
+                known[w] = known[core] + known[tail] if tail else known[core]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -173,39 +204,22 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n_ids: int, symbols: np.ndarr
 
 # --- tables -----------------------------------------------------------------
 
-def _counted(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            held, size = [], 0
-            for ids in _ids(batch.column(0), path, end):
-                held.append(ids)
-                size += len(ids)
-                if size > 1 << 20:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=1 << 16)
-                    held, size = [], 0
-            total += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=1 << 16)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
-
-    return run
-
-
 FRAME = "part int, seq int, start long, n_ids long, doc_ids array<long>, sizes array<int>, checkpoints array<long>, stream binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+_NAMES = [f.split()[0] for f in FRAME.split(", ")]
+
 
+def _tokenised(path: str, end: int):
+    """Frames whose stream is still plain 16-bit ids."""
 
-def _framed(path: str, end: int, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, part = canonical_codes(lengths), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seq = start = size = 0
         held, docs = [], []
 
         def frame() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
-            stream, checkpoints = pack(ids, codes, lengths)
-            one = [[part], [seq], [start], [len(ids)], [docs], [[len(h) // 2 for h in held]], [checkpoints], [stream]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, kinds, strict=True)], [f.split()[0] for f in FRAME.split(", ")])
+            one = [[part], [seq], [start], [size], [docs], [[len(h) // 2 for h in held]], [[]], [b"".join(held)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, _KINDS, strict=True)], _NAMES)
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1), path, end), strict=True):
@@ -221,23 +235,47 @@ def _framed(path: str, end: int, lengths: np.ndarray):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for stream in batch.column(0):
+            total += np.bincount(np.frombuffer(stream.as_buffer(), "<u2"), minlength=1 << 16)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
+
+
+def _coded(lengths: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = canonical_codes(lengths)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                stream, checkpoints = pack(np.frombuffer(batch.column("stream")[k].as_buffer(), "<u2"), codes, lengths)
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns[:6], pa.array([checkpoints], _KINDS[6]), pa.array([stream], _KINDS[7])], _NAMES)
+
+    return run
+
+
 def write(spark: SparkSession, documents: DataFrame, path: str, scratch: Scratch, end: int = 1) -> tuple[DataFrame, np.ndarray]:
     """Writes frames and codebook under ``scratch``; returns (frames, code lengths).
 
-    Counts come from all documents.  At most one count per id of the vocabulary reaches
-    the driver.  Texts are dealt out by ranges of doc_id, a hash of the text parting rows
-    that repeat one doc_id, and are tokenised again there: cheaper than moving their ids.
+    Texts are dealt out by ranges of doc_id, a hash of the text parting rows that repeat
+    one doc_id, and tokenised once, into an intermediate table of plain ids.  Counts come
+    from all of them, and at most one count per id of the vocabulary reaches the driver.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tie = F.xxhash64("text")
+    dealt = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    plain = scratch.table(dealt.mapInArrow(_tokenised(path, end), FRAME), "plain", compression="zstd")
     counts = np.zeros(1 << 16, np.int64)
-    for row in docs.select("text").mapInArrow(_counted(path, end), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in plain.select("stream").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths).tolist()
     scratch.table(spark.createDataFrame([(k, int(lengths[k])) for k in used], "id int, bits int").coalesce(1), "codebook")
-    tie = F.xxhash64("text")
-    dealt = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return scratch.table(dealt.mapInArrow(_framed(path, end, lengths), FRAME), "frames"), lengths
+    frames = scratch.table(plain.mapInArrow(_coded(lengths), FRAME), "frames", compression="none")
+    scratch.drop("plain")
+    return frames, lengths
 
 
 def _read(lengths: np.ndarray):
