@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED_CHUNKS = 300_000
+#: Distinct chunks that each of a cache's two generations holds.
+CACHED_CHUNKS = 600_000
 CACHED_PAIRS = 2_000_000
 
 
@@ -43,11 +44,13 @@ class Codec:
         self.byte_ids = {int(self.pieces[k][3:5], 16): k for k in range(size) if inner.is_byte(k)}
         self.unknown = inner.unk_id()
         self.chars = {c for p in self.ids for c in p}
+        self.joints = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         inner_space = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         ends = "\n" if "\n" not in self.chars else ""
         self.chunk = re.compile("(?s).+" if inner_space else f"{SPACE}+[^{SPACE}{ends}]*|[^{SPACE}{ends}]+" + (f"|{ends}+" if ends else ""))
         self.raw = [bytes([int(p[3:5], 16)]) if inner.is_byte(k) else b"" if inner.is_control(k) else " ⁇ ".encode() if inner.is_unknown(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(self.pieces)]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self._automaton()
 
@@ -155,21 +158,31 @@ class Codec:
                 ids += [self.byte_ids.get(b, self.unknown) for b in c.encode()]
         return np.array(ids, "<u4").tobytes()
 
+    def _punctuated(self, chunk: str) -> bytes:
+        """No merge crosses two characters that stand together in no piece, so a chunk that ends in such a pair is taken in two parts."""
+        if len(chunk) > 2 and chunk[-2:] not in self.joints:
+            core, tail = chunk[:-1], chunk[-1]
+            for x in (core, tail):
+                if x not in self.known:
+                    self.known[x] = self.older.get(x) or self.encode_chunk(x)
+            return self.known[core] + self.known[tail]
+        return self.encode_chunk(chunk)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        known = self.known
         chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
         try:
-            return b"".join([known[c] for c in chunks])
+            return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
             pass
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
+        if len(self.known) > CACHED_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for c in chunks:
             if c not in known:
-                known[c] = self.encode_chunk(c)
-        return b"".join([known[c] for c in chunks])
+                known[c] = older.get(c) or self._punctuated(c)
+        return b"".join(map(known.__getitem__, chunks))
 
     def decode(self, ids: np.ndarray) -> str:
         raw, table = b"", self.raw
