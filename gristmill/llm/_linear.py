@@ -22,7 +22,7 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 FAMILIES = 4
 #: Labelled rows used for training: those with the smallest hash of their doc_id.
-SAMPLE = 6000
+SAMPLE = 3000
 
 
 def byte_grams(raw: np.ndarray, width: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def labelled(documents: DataFrame, labels: DataFrame, column: str, sample: int)
     return docs.join(F.broadcast(given), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` rows are broadcast
 
 
-def fit(documents: DataFrame, labels: DataFrame, column: str, sample: int = SAMPLE, steps: int = 60, scale: float = 6.0) -> Linear | None:
+def fit(documents: DataFrame, labels: DataFrame, column: str, sample: int = SAMPLE, steps: int = 40, scale: float = 6.0) -> Linear | None:
     """Trains on four fifths of the sample and calibrates (Platt) on the rest; None without rows of both classes.
 
     Executors turn texts into sparse vectors; only those of the sample reach the driver.
@@ -102,7 +102,8 @@ def fit(documents: DataFrame, labels: DataFrame, column: str, sample: int = SAMP
     ids = [np.frombuffer(x, "<i4") for x in rows.column("ids").to_pylist()]
     values = [np.frombuffer(x, "<f4") for x in rows.column("values").to_pylist()]
     n = np.array([len(x) for x in ids])
-    flat_ids, flat, row = np.concatenate(ids), np.concatenate(values).astype(float), np.repeat(np.arange(len(n)), n)
+    flat_ids, flat, row = np.concatenate(ids), np.concatenate(values), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    del rows, ids, values
     fold = np.arange(len(y)) % 5 == 4
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold[:] = False
@@ -113,7 +114,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str, sample: int = SAMP
     side = [np.bincount(flat_ids[train & (y[row] == c)], flat[train & (y[row] == c)], dims) for c in (0, 1)]
     share = [np.concatenate([(s + 1e-3) / (s + 1e-3).sum() for s in x.reshape(FAMILIES, BUCKETS)]) for x in side]
     ratio = np.log(share[1] / share[0])
-    x = flat * ratio[flat_ids]
+    x = flat * ratio.astype(np.float32)[flat_ids]
     u, bias = np.ones(dims), 0.0
     m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(1, (y[~fold] == 1).sum()), 0.5 / max(1, (y[~fold] == 0).sum())) * ~fold

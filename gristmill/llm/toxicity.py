@@ -29,7 +29,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Besides whole words, their first so many bytes.
 BEGINNINGS = (4, 5, 6, 7)
 #: Labelled rows used for training: those with the smallest hash of their doc_id.
-SAMPLE = 8000
+SAMPLE = 5000
 THRESHOLD = 0.3
 SCALE = 50.0
 SWAP_WEIGHT = 1.0
@@ -123,7 +123,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: in
     ids = [np.frombuffer(x, "<i4") for x in rows.column("ids").to_pylist()]
     values = [np.frombuffer(x, "<f4") for x in rows.column("values").to_pylist()]
     n = np.array([len(x) for x in ids])
-    flat, x, row = np.concatenate(ids), SCALE * np.concatenate(values).astype(float), np.repeat(np.arange(len(n)), n)
+    flat, x, row = np.concatenate(ids), np.float32(SCALE) * np.concatenate(values), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    del ids, values
     fold = np.arange(len(y)) % 5 == 4
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold[:] = False
