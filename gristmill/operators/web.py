@@ -184,19 +184,22 @@ def content_html(pages: DataFrame, key: str, html: str) -> DataFrame:
 def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CHARS) -> DataFrame:
     """(key, text, dropped, deduped, paragraphs): lines squeezed, boilerplate and short non-sentences dropped, repeats dropped, blank lines collapsed.
 
-    Lines stay in their row's array, so there is no shuffle: a repeat is a line whose
-    key's first place in the array of keys is not its own.
+    Lines stay in their row's array, so there is no shuffle.  Each step hands its arrays
+    on through a generator of one row: projections would otherwise be merged, and the
+    patterns run again for every use of their results.  A repeat is found by sorting the
+    lines by key and place, so long texts cost no more than a sort.
     """
-    lines = F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"), lambda v: trimmed(F.regexp_replace(v, "[ \\t\\u00a0]+", " ")))
     short = lambda v: (F.length(v) < min_chars) & ~v.rlike(SENTENCE_END) & ~v.rlike(r"^[#\-|]")
-    bad = lambda v: (v != "") & (v.rlike(BOILERPLATE_LINE) | short(v))
-    keyed = lambda v: F.lower(F.regexp_replace(v, rf"^#+[{SPACE}]*", ""))
-    rows = df.select(key, lines.alias("all")).select(key, F.size(F.filter("all", bad)).alias("dropped"), F.filter("all", lambda v: ~bad(v)).alias("good"))
-    rows = rows.withColumn("keys", F.transform("good", keyed))
-    fresh = F.filter("good", lambda v, k: (F.length(F.element_at("keys", k + 1)) < 6) | (F.array_position("keys", F.element_at("keys", k + 1)) == k + 1))
-    rows = rows.withColumn("kept", fresh)
+    line = lambda v: trimmed(F.regexp_replace(v, "[ \\t\\u00a0]+", " "))
+    once = lambda rows, *columns: rows.select(key, F.inline(F.array(F.struct(*columns))))
+    rows = once(df, F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"), line).alias("lines"))
+    rows = once(rows, F.transform("lines", lambda v: F.struct(v.alias("v"), ((v != "") & (v.rlike(BOILERPLATE_LINE) | short(v))).alias("bad"), F.lower(F.regexp_replace(v, rf"^#+[{SPACE}]*", "")).alias("k"))).alias("lines"))
+    good = F.filter("lines", lambda x: ~x["bad"])
+    rows = once(rows, (F.size("lines") - F.size(good)).alias("dropped"), F.array_sort(F.transform(good, lambda x, n: F.struct(x["k"].alias("k"), n.alias("n"), x["v"].alias("v")))).alias("good"))
+    first = lambda x, n: (F.length(x["k"]) < 6) | (n == 0) | (F.element_at("good", F.greatest(n, F.lit(1)))["k"] != x["k"])
+    rows = once(rows, "dropped", F.size("good").alias("n_good"), F.transform(F.array_sort(F.transform(F.filter("good", first), lambda x: F.struct(x["n"], x["v"]))), lambda x: x["v"]).alias("kept"))
     joined = trimmed(F.regexp_replace(F.array_join("kept", "\n"), "\n{3,}", "\n\n"))
-    return rows.select(key, joined.alias("text"), "dropped", (F.size("good") - F.size("kept")).alias("deduped"), F.size(F.filter("kept", lambda v: v != "")).alias("paragraphs"))
+    return once(rows, joined.alias("text"), "dropped", (F.col("n_good") - F.size("kept")).alias("deduped"), F.size(F.filter("kept", lambda v: v != "")).alias("paragraphs"))
 
 
 def page_pipeline(pages: DataFrame, key: str, html: str, min_chars: int = MIN_LINE_CHARS) -> DataFrame:
