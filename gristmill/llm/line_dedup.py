@@ -30,7 +30,8 @@ PARTS = 8
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    """Splitting at one plain character needs no pattern, so other white space is looked for first."""
+    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " ")), "")
 
 
 def _hashes(words: Column) -> tuple[Column, Column]:
@@ -91,8 +92,9 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = live.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "h1", "h2", "first")).alias("wanted"))
     found = docs.join(wanted.hint("merge"), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
     worded = found.select("w.h1", "w.h2", "w.first", words_of(F.element_at("all", F.col("w.line") + 1)).alias("words")).filter(_hashes(F.col("words"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"])
-    worded = scratch.table(worded, "worded")
-    closer = _meeting(worded.select("h1", "h2", "first", _shared(F.col("words"), PARTS).alias("parts")), "parts")
+    hashed = worded.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    worded = scratch.table(hashed.select("h1", "h2", "first", "words", _shared(F.col("hashed"), PARTS).alias("parts")), "worded")
+    closer = _meeting(worded, "parts")
     worded = worded.join(closer.select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2", "words")
     worded = scratch.table(worded, "close")
 
