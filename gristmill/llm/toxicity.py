@@ -29,7 +29,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Besides whole words, their first so many bytes.
 BEGINNINGS = (4, 5, 6, 7)
 #: Labelled rows used for training: those with the smallest hash of their doc_id.
-SAMPLE = 5000
+SAMPLE = 2500
 THRESHOLD = 0.3
 SCALE = 50.0
 SWAP_WEIGHT = 1.0
