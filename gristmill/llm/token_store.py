@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import text_buffers
+from ._text import blocks
 
 LONGEST_CODE = 16
 BLOCK_IDS = 1024
@@ -54,15 +54,18 @@ class WordEncoder:
         self.folds = "Lowercase" in self.inner.normalizer.__getstate__().decode() if self.inner.normalizer else False
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        words: set[bytes] = set()
+        words.update(*split)
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
-        self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-        return b"".join(map(self.known.__getitem__, words))
+        known = self.known
+        self._learn([w for w in words if w not in known])
+        get = known.__getitem__
+        return [b"".join(map(get, w)) for w in split]
 
     def _learn(self, words: list[bytes]) -> None:
         known, older = self.known, self.older
@@ -105,10 +108,11 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _ids(column: pa.Array, path: str, end: int) -> Iterator[bytes]:
-    raw, at = text_buffers(column)
-    tail, encode = np.array([end], "<u2").tobytes(), encoder(path).encode
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield encode(raw[a:b].tobytes()) + tail
+    tail, one = np.array([end], "<u2").tobytes(), encoder(path)
+    for a, b, raw, at in blocks(column):
+        cut = at.tolist()
+        for ids in one.encode_many([raw[cut[k]:cut[k + 1]].tobytes() for k in range(b - a)]):
+            yield ids + tail
 
 
 # --- codes ------------------------------------------------------------------
