@@ -78,6 +78,19 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (ahead + behind >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
+_LINES = 2147483648  # line numbers are below this
+
+
+def _place(doc: Column, line: Column) -> Column:
+    """(doc_id, line number) as one number, which aggregates by hashing where a struct would need a sort."""
+    return (doc.cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + line.cast("decimal(10,0)")).cast("decimal(31,0)")
+
+
+def _parts_of(place: Column) -> Column:
+    line = F.pmod(place, F.lit(_LINES).cast("decimal(31,0)"))
+    return F.struct(((place - line) / F.lit(_LINES).cast("decimal(10,0)")).cast("long").alias("doc_id"), line.cast("int").alias("line"))
+
+
 def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, lines array<int>: numbers from 0 of the lines that go, for documents that lose some."""
     lines = _lines(docs)
@@ -85,7 +98,10 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     halves = F.when(F.size("words") >= NEAR_WORDS, _shared(F.col("words"), 2))
     seen = scratch.table(lines.select("doc_id", "line", h1.alias("h1"), h2.alias("h2"), halves.alias("halves")), "lines")
     place = F.struct("doc_id", "line")
-    distinct = scratch.table(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "distinct")
+    keys = [F.min(F.get("halves", F.lit(k))).alias(f"k{k}") for k in range(4)]
+    equal = seen.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("place"), F.count("*").alias("n"), *keys)
+    halves = F.when(F.col("k0").isNotNull(), F.array(*(f"k{k}" for k in range(4))))
+    distinct = scratch.table(equal.select("h1", "h2", _parts_of(F.col("place")).alias("first"), "n", halves.alias("halves")), "distinct")
 
     # Lines that share a half with another line, and their words from the documents where they come first.
     live = scratch.table(_meeting(distinct.filter("halves IS NOT NULL"), "halves"), "live")
