@@ -151,4 +151,4 @@ def store_import(spark, d):
 
 @query()
 def layout_text(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.round(layout.estimate_em(F.col("text")), 4).alias("em"), layout.visual_width(F.col("text")).alias("width"), F.substring(layout.escape_latex(F.col("text")), 1, 60).alias("latex"))
+    return load(spark, d, "documents").select("doc_id", F.round(layout.estimate_em(F.col("text")), 4).alias("em"), layout.visual_width(F.col("text")).alias("width"), layout.escape_latex(F.col("text")).alias("latex"))

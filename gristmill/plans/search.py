@@ -58,7 +58,7 @@ def fn_content_hash(spark, d):
 
 @query()
 def fn_slug_excerpt(spark, d):
-    return load(spark, d, "documents").select("doc_id", tx.slug(F.substring("text", 1, 100)).alias("slug"), tx.excerpt(F.col("text")).alias("excerpt"))
+    return load(spark, d, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"), tx.excerpt(F.col("text")).alias("excerpt"))
 
 
 _BM25 = """
@@ -155,7 +155,8 @@ def findings_clusters(spark, d):
 
 @query()
 def findings_parse(spark, d):
-    pages = load(spark, d, "pages").select("page_id", F.concat(F.lit("## github release\n- "), F.substring(tx.strip_tags(F.col("html")), 1, 80), F.lit(" "), F.col("url"), F.lit("\n- "), F.substring(tx.strip_tags(F.col("html")), 1, 80), F.lit(" (https://www.other.org/x)\n")).alias("md"))
+    pages = load(spark, d, "pages").select("page_id", "url", tx.strip_tags(F.col("html")).alias("said"))
+    pages = pages.select("page_id", F.concat(F.lit("## github release\n- "), F.col("said"), F.lit(" "), F.col("url"), F.lit("\n- "), F.col("said"), F.lit(" (https://www.other.org/x)\n")).alias("md"))
     found = findings.parse(pages, "page_id", "md")
     return found.select("page_id", "line", "heading", "channel", "claim", F.array_join("urls", " ").alias("urls"), F.array_join("hosts", " ").alias("hosts"))
 
