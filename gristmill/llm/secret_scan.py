@@ -4,7 +4,10 @@ For every format a prefix tree of its labelled credentials is built over classes
 characters, and states whose outgoing frequencies are compatible (a Hoeffding bound, on
 the states and on their successors) are merged until none are left.  The result is a
 probabilistic automaton.  Every candidate string of every text is scored by the best
-automaton's likelihood per character against that of ordinary strings.
+automaton's likelihood per character against that of ordinary strings.  Of a long one
+that does not count as a whole, every window as long as a labelled credential of a
+format is scored by that format, and the windows that count are reported, joined where
+they overlap.
 """
 
 from __future__ import annotations
@@ -47,7 +50,8 @@ def base_spans(text: str) -> list[Span]:
 
 #: Candidates: strings this long of these characters, with a digit and a letter.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
-LONGEST_SCORED = 512
+#: Candidates over this length that do not count as a whole are also scored window by window.
+LONG = 512
 #: Log-likelihood per character over that of ordinary strings from which a candidate counts.
 THRESHOLD = 0.35
 ALPHA = 0.05
@@ -189,7 +193,9 @@ def labelled_table(rows: int = 60, seed: int = 5) -> tuple[dict[str, list[str]],
 class Scanner:
     formats: dict[str, Automaton]
     ordinary: dict[tuple[str, str], float]
+    lengths: dict[str, list[int]] = field(default_factory=dict)
     known: dict[str, bool] = field(default_factory=dict)
+    _tables: dict | None = field(default=None, repr=False)
 
     def background(self, word: list[str]) -> float:
         out, last = 0.0, "^"
@@ -200,11 +206,65 @@ class Scanner:
 
     def score(self, text: str) -> tuple[float, str]:
         """Log-likelihood per character of the best format over ordinary strings, and its name."""
-        word = symbols(text[:LONGEST_SCORED])
-        usual = self.background(symbols("    " + text[:LONGEST_SCORED])[4:])
+        word = symbols(text)
+        usual = self.background(symbols("    " + text)[4:])
         best = max((a.log_likelihood(word), name) for name, a in self.formats.items())
         return best[0] - usual, best[1]
 
+    def _as_arrays(self) -> dict:
+        """The automata (moves and log-likelihoods by state and sign, the last state for unseen moves) and the background, by code of the sign."""
+        if self._tables is None:
+            width = np.zeros(128)
+            for s, n in _WIDTH.items():
+                width[ord(s)] = math.log(n)
+            found = {}
+            for name, a in self.formats.items():
+                dead = len(a.moves)
+                moves, cost = np.full((dead + 1, 128), dead, np.int32), np.full((dead + 1, 128), math.log(1 / 70))
+                for s in range(dead):
+                    taken = np.zeros(128)
+                    for c, n in a.counts[s].items():
+                        taken[ord(c)] = n
+                    cost[s] = np.log((taken + 0.05) / (a.total(s) + 0.05 * 70)) - width
+                    for c, then in a.moves[s].items():
+                        moves[s, ord(c)] = then
+                found[name] = moves, cost
+            signs = [chr(c) for c in range(128)]
+            usual = np.array([[self.ordinary.get((a, b), self.ordinary.get((a, ""), -6.0)) for b in signs] for a in signs]) - width
+            classes = np.array([ord(symbols("    " + c)[4]) for c in signs], np.uint8)
+            self._tables = {"formats": found, "usual": usual, "classes": classes}
+        return self._tables
+
+    def windows(self, text: str) -> list[tuple[int, int]]:
+        """Where windows as long as a labelled credential count by that format, joined where they overlap.  For ASCII."""
+        tables = self._as_arrays()
+        raw = np.frombuffer(text.encode("ascii"), np.uint8)
+        kinds = tables["classes"][raw]
+        usual = np.concatenate([[0.0, 0.0], np.cumsum(tables["usual"][kinds[:-1], kinds[1:]])])  # up to each place, without the first sign
+        first = tables["usual"][ord("^"), kinds]
+        letter = np.isin(kinds, np.frombuffer(b"hlHU", np.uint8))
+        letters, digits = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, kinds == ord("d")))
+        change = np.zeros(len(raw) + 1, np.int64)
+        for name, (moves, cost) in tables["formats"].items():
+            for low in range(0, len(raw), 1 << 16):
+                at = np.arange(low, min(low + (1 << 16), len(raw)))
+                state, total = np.zeros(len(at), np.int32), np.zeros(len(at))
+                for k in range(max(self.lengths[name])):
+                    at = at[: max(0, len(raw) - k - low)]
+                    state, total = state[: len(at)], total[: len(at)]
+                    signs = (raw if k < _PREFIX else kinds)[at + k]
+                    total = total + cost[state, signs]
+                    state = moves[state, signs]
+                    if k + 1 in self.lengths[name]:
+                        end = at + k + 1
+                        good = (total - first[at] - (usual[end] - usual[at + 1])) / (k + 1) >= THRESHOLD
+                        good &= (letters[end] > letters[at]) & (digits[end] > digits[at])
+                        np.add.at(change, at[good], 1)
+                        np.add.at(change, end[good], -1)
+        inside = np.concatenate([[False], np.cumsum(change)[:-1] > 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
     def secret(self, text: str) -> bool:
         """Whether a candidate counts; the string needs a digit and a letter."""
         found = self.known.get(text)
@@ -228,7 +288,7 @@ def train(formats: dict[str, list[str]], ordinary: list[str]) -> Scanner:
             last = s
     chances = {(a, b): math.log((n + 0.1) / (totals[a] + 7)) for (a, b), n in pairs.items()}
     chances |= {(a, ""): math.log(0.1 / (n + 7)) for a, n in totals.items()}
-    return Scanner({name: learn(words) for name, words in formats.items()}, chances)
+    return Scanner({name: learn(words) for name, words in formats.items()}, chances, {name: sorted({len(w) for w in words}) for name, words in formats.items()})
 
 
 @cache
@@ -241,8 +301,12 @@ def format_spans(scanner: Scanner, text: str) -> list[Span]:
     for m in CANDIDATE.finditer(text):
         word = m.group().rstrip(".=-/")
         lead = len(word) - len(word.lstrip(".=-/+"))
-        if len(word) - lead >= 16 and scanner.secret(word[lead:]):
+        if len(word) - lead < 16:
+            continue
+        if scanner.secret(word[lead:]):
             out.append((m.start() + lead, 3, m.start() + len(word)))
+        elif len(word) - lead > LONG:
+            out += [(m.start() + lead + a, 3, m.start() + lead + b) for a, b in scanner.windows(word[lead:])]
     return out
 
 
