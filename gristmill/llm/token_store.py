@@ -10,6 +10,7 @@ alone.  A reader decodes all blocks of a frame in step, one table lookup a symbo
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import blocks
+from ._text import U64, blocks, prefix_sums, span_hashes, word_bounds
 
 LONGEST_CODE = 16
 BLOCK_IDS = 1024
@@ -29,73 +30,178 @@ FRAME_IDS = 1 << 20
 FRAME_DOCS = 1 << 14
 #: Distinct words that each of a cache's two generations holds.
 CACHED_WORDS = 600_000
+LEARNT_WORDS = 4096
 
 
 # --- words to ids -----------------------------------------------------------
 
+#: The splitter and the normalisers for which words are prepared here, and the string inside every added token.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+MARK = "<|"
+
+_LETTER, _DIGIT, _OTHER, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[ord("'"), 0x20]] = _ODD, 0
+_KIND[ord("0"):ord("9") + 1] = _DIGIT
+_KIND[[*range(ord("a"), ord("z") + 1), 0xC3]] = _LETTER  # 0xC3 leads the letters from U+00C0 to U+00FF
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on; the space is kept to part words.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = np.arange(256).astype("<u2")
+_ALPHABET[[b for b in range(256) if b not in _PRINTABLE]] = 0x100 + np.arange(256 - len(_PRINTABLE))
+_ALPHABET[0x20] = 0x20
+
+
+def prepared(raw: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """What the tokenizer's normalisers and splitter make of words, in bulk.
+
+    ``raw`` holds the bytes of words, each with a space behind it, at ``ends``.  Returns
+    the pieces of all plain words in the byte-level alphabet, parted by spaces; which
+    words are plain; and how many pieces each plain one has.  Plain words hold ASCII and
+    letters up to U+00FF only, no apostrophe and no mark of an added token: composing
+    leaves them alone, case is folded by adding 32, and pieces are runs of letters, single
+    digits and runs of the rest.
+    """
+    raw = raw.copy()
+    raw[(raw >= ord("A")) & (raw <= ord("Z"))] += 32
+    kind = _KIND[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    value = raw[second]
+    sign = (value == 0x97) | (value == 0xB7)
+    raw[second] += np.where((value <= 0x9E) & ~sign, 32, 0).astype(np.uint8)
+    kind[second] = np.where(sign, _ODD, _LETTER)
+    kind[:-1][(raw[:-1] == ord("<")) & (raw[1:] == ord("|"))] = _ODD
+    plain = np.ones(len(ends), bool)
+    plain[np.searchsorted(ends, np.flatnonzero(kind == _ODD))] = False
+    cut = (kind[:-1] != kind[1:]) | (kind[1:] == _DIGIT)
+    cut &= (kind[:-1] > 0) & (kind[1:] > 0)
+    before = np.concatenate([[0], np.cumsum(cut)])
+    out = np.full(len(raw) + int(before[-1]), 0x20, "<u2")
+    out[np.arange(len(raw)) + before] = np.where(np.repeat(plain, np.diff(ends, prepend=-1)), _ALPHABET[raw], 0x20)
+    pieces = np.diff(before[ends], prepend=0) + 1
+    return out.tobytes().decode("utf-16-le"), plain, pieces[plain]
+
+
+class IdTable:
+    """A hash table from 64-bit word hashes to runs of ids, in arrays; two of the words that one holds agree with a probability of 1e-8."""
+
+    def __init__(self, bits: int = 21) -> None:
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.key, self.start, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.pool, self.used, self.count = np.zeros(1 << 20, "<u2"), 0, 0
+
+    def with_room(self, n: int) -> IdTable:
+        """This table, or a larger one of the same content, in which ``n`` more words leave half the slots free."""
+        bits = max(self.bits, (2 * (self.count + n)).bit_length())
+        if bits == self.bits:
+            return self
+        out, held = IdTable(bits), np.flatnonzero(self.key)
+        out.add(self.key[held], *self.ids(held))
+        return out
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where there is none."""
+        out, at, todo = np.full(len(hashes), -1, np.int64), (hashes >> U64(64 - self.bits)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            held = self.key[at[todo]]
+            hit = held == hashes[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (held != 0)]
+            at[todo] = (at[todo] + 1) & self.mask
+        return out
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slots in order, how many each has)."""
+        sizes = self.size[slots].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[slots] - ends + sizes, sizes)], sizes
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Enters distinct hashes that are not there yet."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u2")])
+        start = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used:self.used + len(ids)] = ids
+        at, todo = (hashes >> U64(64 - self.bits)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            free = self.key[at[todo]] == 0
+            some = todo[free]
+            self.key[at[some]] = hashes[some]  # of several for one slot, the last stays
+            todo = todo[self.key[at[todo]] != hashes[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+        self.start[at], self.size[at] = start, sizes
+        self.used, self.count = self.used + len(ids), self.count + len(hashes)
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for every distinct word.
+    """Ids of texts by the tokenizers library, which is asked once for every word that the cache does not hold.
 
     The vocabulary's normaliser and splitter never look across white space, so a text's
-    ids are those of its white-space separated words in order.  Nor do they join a comma
-    or full stop to the letter or digit before it, and case is folded, so the library
-    sees words without either.  The cache has two generations: a full one becomes the
-    older, from which words still in use are taken over, and the one before is dropped.
-    Ids are kept as little-endian 16-bit numbers.
+    ids are those of its white-space separated words in order.  Plain words are normalised
+    and split in bulk (see ``prepared``) and go to the library's model by the thousand, in
+    one text; the last id of a piece carries the end-of-word mark, which parts them again.
+    All others, and all words of a tokenizer with other rules, go through the whole
+    tokenizer.  The cache has two generations: a full one becomes the older, from which
+    words still in use are taken over, and the one before is dropped.  Ids are kept as
+    little-endian 16-bit numbers.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.inner, self.bare, self.known, self.older = Tokenizer.from_file(path), None, IdTable(), IdTable()
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError("ids over 65,535 need another width")
-        self.folds = "Lowercase" in self.inner.normalizer.__getstate__().decode() if self.inner.normalizer else False
-
-    def encode(self, text: bytes) -> bytes:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words: set[bytes] = set()
-        words.update(*split)
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {}, self.known
-        known = self.known
-        self._learn([w for w in words if w not in known])
-        get = known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, older = self.known, self.older
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        asked: dict[bytes, None] = {}
-        for w in words:
-            found = older.get(w)
-            if found is not None:
-                known[w] = found
-                continue
-            core, tail = w, b""
-            if self.folds and w.isascii() and b"<|" not in w:  # added tokens are matched before case is folded
-                core = w.lower()
-                if len(core) > 1 and core[-1:] in (b",", b".") and core[-2:-1].isalnum():
-                    core, tail = core[:-1], core[-1:]
-            parts[w] = core, tail
-            for x in (core, tail):
-                if x and x not in known:
-                    if x in older:
-                        known[x] = older[x]
-                    else:
-                        asked[x] = None
-        new = list(asked)
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            for w, found in zip(part, self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(found.ids, "<u2").tobytes()
-        for w, (core, tail) in parts.items():
-            if w not in known:
-                known[w] = known[core] + known[tail] if tail else known[core]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, steps = spec["model"], ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])
+        mark = model.get("end_of_word_suffix")
+        alike = (spec["normalizer"] or {}).get("normalizers") == NORMALISERS and steps[0].get("pattern") == {"Regex": SPLITTER} and steps[1].get("type") == "ByteLevel"
+        if alike and mark and model["type"] == "BPE" and all(MARK in t["content"] for t in spec["added_tokens"]):
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.last = np.zeros(1 << 16, bool)
+            self.last[[k for piece, k in model["vocab"].items() if piece.endswith(mark)]] = True
+
+    def encode_block(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a block in order, where each text's begin, and the total)."""
+        starts, ends, first = word_bounds(raw, at)
+        hashes = np.maximum(span_hashes(prefix_sums(raw), starts, ends), U64(1))
+        if self.known.count > CACHED_WORDS:
+            self.known, self.older = IdTable(), self.known
+        slots = self.known.find(hashes)
+        lacking = np.flatnonzero(slots < 0)
+        if len(lacking):
+            new, where = np.unique(hashes[lacking], return_index=True)
+            self.known = self.known.with_room(len(new))
+            old = self.older.find(new)
+            self.known.add(new[old >= 0], *self.older.ids(old[old >= 0]))
+            new, where = new[old < 0], lacking[where[old < 0]]
+            for k in range(0, len(new), LEARNT_WORDS):
+                self._learn(raw, starts[where[k:k + LEARNT_WORDS]], ends[where[k:k + LEARNT_WORDS]], new[k:k + LEARNT_WORDS])
+            slots = self.known.find(hashes)
+        ids, sizes = self.known.ids(slots)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        size = ends - starts + 1
+        stops = np.cumsum(size)
+        words = raw[np.minimum(np.arange(int(stops[-1])) + np.repeat(starts - stops + size, size), len(raw) - 1)]
+        words[stops - 1] = 0x20
+        odd = np.ones(len(starts), bool)
+        if self.bare:
+            text, plain, pieces = prepared(words, stops - 1)
+            odd = ~plain
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            marks = np.flatnonzero(self.last[ids]) + 1
+            if len(marks) != pieces.sum():
+                raise RuntimeError("pieces and ids disagree")
+            self.known.add(hashes[plain], ids, np.diff(marks[np.cumsum(pieces) - 1], prepend=0))
+        if odd.any():
+            rest = [words[a:b].tobytes().decode("utf-8", "replace") for a, b in zip((stops - size)[odd].tolist(), (stops - 1)[odd].tolist(), strict=True)]
+            found = [np.array(x.ids, "<u2") for x in self.inner.encode_batch_fast(rest, add_special_tokens=False)]
+            self.known.add(hashes[odd], np.concatenate(found), np.array([len(x) for x in found]))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -109,10 +215,11 @@ def encoder(path: str) -> WordEncoder:
 
 def _ids(column: pa.Array, path: str, end: int) -> Iterator[bytes]:
     tail, one = np.array([end], "<u2").tobytes(), encoder(path)
-    for a, b, raw, at in blocks(column):
-        cut = at.tolist()
-        for ids in one.encode_many([raw[cut[k]:cut[k + 1]].tobytes() for k in range(b - a)]):
-            yield ids + tail
+    for _, _, raw, at in blocks(column):
+        ids, cuts = one.encode_block(raw, at)
+        data, cuts = ids.tobytes(), (2 * cuts).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield data[a:b] + tail
 
 
 # --- codes ------------------------------------------------------------------

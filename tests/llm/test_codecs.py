@@ -3,6 +3,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -73,7 +75,41 @@ def test_pack_and_unpack(n):
     assert (token_store.unpack(stream, at, n, *token_store.decode_table(lengths)) == ids).all()
 
 
-def test_store(spark, monkeypatch):
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    return [[*x.ids, 1] for x in Tokenizer.from_file(WORDS).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encoded(texts):
+    return [np.frombuffer(x, "<u2").tolist() for x in token_store._ids(pa.array(texts, pa.string()), WORDS, 1)]
+
+
+def test_ids_equal_the_librarys_on_all_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    assert encoded(texts) == library_ids(texts)
+
+
+def test_ids_equal_the_librarys_on_odd_texts():
+    rng = random.Random(4)
+    signs = "aAzZ09.,'<|>\\\u00c0\u00c9\u00df\u00ff\u00f7\u00d7\u00e9n\u0301\u00a0\u2028\u0130\u03a3\u03c2\u4e2d\u0915\u094d\u200d\x00\x1c\x85\t \n-_#\U0001f642\u01c5\ufb01\u2019st"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    texts += ["<|startoftext|>", "<|endoftext|>x", "A<|endoftext|>", "don't DON'T 'S 's'tx", None, "", "x" * 100_000]
+    assert encoded(texts) == library_ids(texts)
+
+
+def test_a_small_cache_turns_over_and_a_table_grows(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHED_WORDS", 50)
+    monkeypatch.setattr(token_store, "LEARNT_WORDS", 7)
+    monkeypatch.setattr(token_store, "_encoders", {})
+    one = token_store.encoder(WORDS)
+    one.known, one.older = token_store.IdTable(3), token_store.IdTable(3)
+    texts = [f"the word{k % 300} of {k * 7919 % 1000} things" for k in range(1500)]
+    for k in range(0, 1500, 100):
+        assert encoded(texts[k:k + 100]) == library_ids(texts[k:k + 100])
+
+
+def test_store(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
