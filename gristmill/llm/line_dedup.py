@@ -1,72 +1,59 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are compared as sequences of words.  Two lines match if they are equal or, from NEAR_WORDS words on, if one insertion, deletion
-or replacement of a word turns one into the other.  A line goes if an earlier line, by
-(doc_id, line number), matches it; the earliest stays.  Lines under LEAST_WORDS words
-say too little to be told apart from chance and always stay.
+Lines are compared as sequences of words.  Two lines match if they are equal or, from
+NEAR_WORDS words on, if one insertion, deletion or replacement of a word turns one into
+the other.  A line goes if an earlier line, by (doc_id, line number), matches it; the
+earliest stays.
 
 Plan.  Texts are split once into hashes of lines, and equal lines become one row by a
 map-side combined aggregation.  Emitting every deletion variant of every line would
 multiply the corpus by its line length, so lines first meet on what an edit leaves
 alone: of two lines within one edit, the first or the second half of the shorter one's
-length is the same in both; and, for lines that share a half with another line, all but
-one eighth is.  Only lines that pass both emit their variants, which loses no match.
-Equal variants are then joined as a star, each line to the earliest of its variant, so a
-hot variant costs rows in proportion to its lines; each pair is verified on its words.
+length is the same in both.  Lines that share a half emit the variants of the other half,
+which loses no match.  Equal variants are then joined as a star, each line to the earliest
+of its variant, so a hot variant costs rows in proportion to its lines; each pair is
+verified on its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
 
-LEAST_WORDS = 5
+#: Least words of lines that also match within one edit; one word is an eighth of them at most.
 NEAR_WORDS = 8
 
 
-PARTS = 8
+def _folded(line: Column) -> Column:
+    """The words of a line, each parted from the next by one space.  Most lines are that already, and are only looked at."""
+    odd = line.rlike(r"[\x09-\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
-def words_of(line: Column) -> Column:
-    """Splitting at one plain character needs no pattern, so other white space is looked for first."""
-    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " ")), "")
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
 
-def _hashes(words: Column) -> tuple[Column, Column]:
-    return F.xxhash64(words), F.xxhash64(F.lit(1), words)
+def _half(line: Column, short: Column, side: int) -> Column:
+    """Hash of the first (side 0) or the second half, in words, of a line of ``short`` words, counted from that end."""
+    first = F.floor(short / 2).cast("int")
+    return F.xxhash64(short, F.lit(side), F.call_function("substring_index", line, F.lit(" "), first if side == 0 else first - short))
 
 
-def _around(words: Column, short: Column, start: Column, end: Column) -> Column:
-    """Hash of the words before ``start`` and of those from ``end`` on, counted from the end of a line of ``short`` words."""
-    rest = short - end
-    return F.xxhash64(short, start, F.slice(words, F.lit(1), start), F.slice(words, F.size(words) - rest + 1, rest))
+#: Which halves a line offers: of its own length or of one word less (as the longer of two), and which side.
+HALVES = [(less, side) for less in (0, 1) for side in (0, 1)]
 
 
-def _shared(words: Column, parts: int) -> Column:
-    """What two lines within one edit share: all but one of so many parts, for each length that the shorter one can have (this line's and one less)."""
-    cut = lambda short, k: F.floor(short * k / parts).cast("int")
-    keys = [_around(words, F.size(words) - less, cut(F.size(words) - less, k), cut(F.size(words) - less, k + 1)) for less in (0, 1) for k in range(parts)]
-    return F.array(*keys)
-
-
-def _meeting(rows: DataFrame, keys: str) -> DataFrame:
-    """The rows (h1, h2, first) that share one of their keys with another line."""
-    each = rows.select("h1", "h2", "first", F.explode(keys).alias("key"))
-    common = each.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
-    return each.join(common.hint("merge"), "key", "left_semi").select("h1", "h2", "first").distinct()
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, words of every line that is long enough.  Words are made in the generator, so that the filter does not make them again."""
-    some = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = some.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), words_of)).alias("line", "words"))
-    return lines.filter(F.size("words") >= LEAST_WORDS)
-
-
-def _without(words: Column, at: Column) -> Column:
-    return F.concat(F.slice(words, F.lit(1), at - 1), F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))))
+def _lines(docs: DataFrame, near_words: int) -> DataFrame:
+    """doc_id, line, h1, h2 and the halves k0 to k3 of every line with a word; halves are null below ``near_words``."""
+    each = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    each = each.select("doc_id", "line", _folded(F.col("t")).alias("t")).filter("t <> ''")
+    each = each.withColumn("n", (F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit(" "), F.lit(""))) + 1).cast("int"))
+    h1, h2 = _hashes(F.col("t"))
+    halves = [F.when(F.col("n") >= near_words, _half(F.col("t"), F.col("n") - less, side)).alias(f"k{k}") for k, (less, side) in enumerate(HALVES)]
+    return each.select("doc_id", "line", h1.alias("h1"), h2.alias("h2"), *halves)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -91,81 +78,118 @@ def _parts_of(place: Column) -> Column:
     return F.struct(((place - line) / F.lit(_LINES).cast("decimal(10,0)")).cast("long").alias("doc_id"), line.cast("int").alias("line"))
 
 
-def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, lines array<int>: numbers from 0 of the lines that go, for documents that lose some."""
-    lines = _lines(docs)
-    h1, h2 = _hashes(F.col("words"))
-    halves = F.when(F.size("words") >= NEAR_WORDS, _shared(F.col("words"), 2))
-    seen = scratch.table(lines.select("doc_id", "line", h1.alias("h1"), h2.alias("h2"), halves.alias("halves")), "lines")
-    place = F.struct("doc_id", "line")
-    keys = [F.min(F.get("halves", F.lit(k))).alias(f"k{k}") for k in range(4)]
-    equal = seen.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("place"), F.count("*").alias("n"), *keys)
-    halves = F.when(F.col("k0").isNotNull(), F.array(*(f"k{k}" for k in range(4))))
-    distinct = scratch.table(equal.select("h1", "h2", _parts_of(F.col("place")).alias("first"), "n", halves.alias("halves")), "distinct")
-
-    # Lines that share a half with another line, and their words from the documents where they come first.
-    live = scratch.table(_meeting(distinct.filter("halves IS NOT NULL"), "halves"), "live")
-    wanted = live.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "h1", "h2", "first")).alias("wanted"))
-    found = docs.join(wanted.hint("merge"), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    worded = found.select("w.h1", "w.h2", "w.first", words_of(F.element_at("all", F.col("w.line") + 1)).alias("words")).filter(_hashes(F.col("words"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"])
-    hashed = worded.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
-    worded = scratch.table(hashed.select("h1", "h2", "first", "words", _shared(F.col("hashed"), PARTS).alias("parts")), "worded")
-    closer = _meeting(worded, "parts")
-    worded = worded.join(closer.select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2", "words")
-    worded = scratch.table(worded, "close")
-
-    # Deletion variants: the line itself may equal another's variant (role 0 against 1); lines that
-    # differ in one word share the variant without it (the place is part of the key).
-    at = F.posexplode(F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.size("words"))))
-    each = worded.select("doc_id", "line", "h1", "h2", "words", at.alias("k", "at"))
-    shape = F.when(F.col("at") == 0, F.col("words")).otherwise(_without(F.col("words"), F.col("at")))
-    each = each.select("doc_id", "line", "h1", "h2", "at", F.xxhash64(shape).alias("v"))
-    variants = each.select(
-        "doc_id", "line", "h1", "h2",
-        F.explode(F.when(F.col("at") == 0, F.array(F.struct(F.lit(0).alias("role"), F.col("v").alias("key")))).otherwise(F.array(F.struct(F.lit(1).alias("role"), F.col("v").alias("key")), F.struct(F.lit(2).alias("role"), F.xxhash64("at", "v").alias("key"))))).alias("x"),
-    ).select("doc_id", "line", "h1", "h2", "x.role", "x.key")
-    earliest = variants.groupBy("role", "key").agg(F.min(place).alias("e"), F.count("*").alias("n"))
-    # Against role 0 stand the variants of role 1, and the other way round; role 2 meets itself.
-    offered = earliest.select(F.when(F.col("role") == 2, 2).otherwise(1 - F.col("role")).alias("role"), "key", "e")
-    pairs = variants.join(offered, ["role", "key"]).filter(F.col("e") < place).select("doc_id", "line", "h1", "h2", F.col("e.doc_id").alias("to_doc"), F.col("e.line").alias("to_line")).distinct()
-    other = worded.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
-    near = (
-        pairs.join(worded.select("doc_id", "line", "words"), ["doc_id", "line"]).join(other, ["to_doc", "to_line"])
-        .filter(_one_edit(F.col("words"), F.col("to_words"))).select("h1", "h2").distinct()
-    )
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once for each row, however often it is used afterwards: a generator of one row stands between."""
+    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
 
+def _words_at(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """h1, h2, place, words of the lines (h1, h2, place), from the documents where they come first."""
+    at = _parts_of(F.col("place"))
+    wanted = lines.select("h1", "h2", "place", at.alias("at")).groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "h1", "h2", "place")).alias("wanted"))
+    found = _once(docs.join(wanted.hint("merge"), "doc_id"), "all", F.split("text", "\n"))
+    each = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["place"].alias("place"), F.get("all", w["line"]).alias("t")))))
+    each = each.select("h1", "h2", "place", _folded(F.col("t")).alias("t"))
+    same = [x == F.col(h) for x, h in zip(_hashes(F.col("t")), ("h1", "h2"), strict=True)]  # rows may repeat a doc_id with another text
+    return each.filter(same[0] & same[1]).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", F.split("t", " ").alias("words"))
+
+
+def _variants(met: DataFrame, worded: DataFrame) -> DataFrame:
+    """h1, h2, place, role, key: the deletion variants of every line, for every half that it shares with another line.
+
+    The edit is in the other half, so only words of that are deleted.  A variant's hash
+    is the exclusive or of its words' hashes, each with its place in the variant, so one
+    pass over the half makes those of all deletions, however long the line.
+    Role 0 is the half as it is and role 1 the half without a word, which meet for lines
+    that differ by an insertion; role 2, the half without the word at one place, meets
+    itself for lines that differ by a replacement.
+    """
+    n, short = F.size("words"), F.size("words") - F.col("less")
+    first = F.floor(short / 2).cast("int")
+    free = F.when(F.col("side") == 0, F.slice("words", first + 1, n - first)).otherwise(F.slice("words", F.lit(1), first + F.col("less")))
+    rows = met.join(worded, ["h1", "h2"]).select("h1", "h2", "place", "half", "less", free.alias("free"))
+    xor = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    own = rows.filter("less = 0").withColumn("hashes", F.transform("free", lambda w, k: F.xxhash64(w, k)))
+    own = _once(own, "total", xor("hashes")).select("h1", "h2", "place", "half", "total", F.posexplode("hashes").alias("k", "x"))
+    key = F.xxhash64("half", "k", F.col("total").bitwiseXOR(F.col("x")))
+    whole = own.filter("k = 0").select("h1", "h2", "place", F.lit(0).alias("role"), F.xxhash64("half", "total").alias("key"))
+    replaced = own.select("h1", "h2", "place", F.lit(2).alias("role"), key.alias("key"))
+    # Words behind the deleted one move up by a place.
+    moved = rows.filter("less = 1").withColumn("up", F.transform("free", lambda w, k: F.xxhash64(w, k - 1)))
+    moved = _once(moved, "total", xor("up")).select("h1", "h2", "place", "half", "total", F.posexplode("free").alias("k", "w"))
+    moved = moved.withColumn("up", F.xxhash64("w", F.col("k") - 1)).withColumn("change", F.xxhash64("w", "k").bitwiseXOR(F.col("up")))
+    before = F.bit_xor("change").over(Window.partitionBy("h1", "h2", "half").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # ``before`` and ``change`` both hold the word itself, which cancels out.
+    left = F.col("total").bitwiseXOR(F.col("up")).bitwiseXOR(before).bitwiseXOR(F.col("change"))
+    shorter = moved.select("h1", "h2", "place", F.lit(1).alias("role"), F.xxhash64("half", left).alias("key"))
+    return whole.unionByName(replaced).unionByName(shorter)
+
+
+def duplicate_lines(docs: DataFrame, scratch: Scratch, near_words: int = NEAR_WORDS) -> DataFrame:
+    """doc_id, lines array<int>: numbers from 0 of the lines that go, for documents that lose some."""
+    seen = scratch.table(_lines(docs, near_words), "lines")
+    keys = [f"k{k}" for k in range(len(HALVES))]
+    equal = seen.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("place"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in keys))
+    distinct = scratch.table(equal, "distinct")
+
+    # Halves that several lines share, and the words of those lines.
+    every = distinct.filter("k0 IS NOT NULL").select("h1", "h2", "place", F.posexplode(F.array(*keys)).alias("k", "half"))
+    common = every.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("half")
+    met = scratch.table(every.join(common, "half", "left_semi"), "met")
+    worded = scratch.table(_words_at(docs, met.select("h1", "h2", "place").distinct()), "worded")
+    less, side = (F.element_at(F.array(*(F.lit(x[c]) for x in HALVES)), F.col("k") + 1) for c in (0, 1))
+    met = met.select("h1", "h2", "half", less.alias("less"), side.alias("side"))
+
+    variants = scratch.table(_variants(met, worded), "variants")
+    # Role 0 meets role 1 and role 2 itself; a line is near an earlier one if the earliest line that it meets is earlier.
+    at_least = variants.groupBy("key", F.col("role") == 2).agg(*(F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"e{r}") for r in range(3)), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    at_least = at_least.filter("lo < hi").select("key", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"e{to}").alias("to")) for r, to in ((0, 1), (1, 0), (2, 2))))).alias("x")).select("key", "x.role", "x.to")
+    pairs = variants.join(at_least.filter("to IS NOT NULL"), ["key", "role"]).filter("to < place").select("h1", "h2", "to").distinct()
+    other = worded.select(F.col("place").alias("to"), F.col("words").alias("to_words"))
+    near = pairs.join(worded.select("h1", "h2", "words"), ["h1", "h2"]).join(other, "to").filter(_one_edit(F.col("words"), F.col("to_words"))).select("h1", "h2").distinct()
     near = scratch.table(near, "near")
+
     # What goes: lines whose earliest equal is elsewhere, and all copies of lines near an earlier one.
-    fates = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "first", "near")
-    gone = seen.select("doc_id", "line", "h1", "h2").join(fates, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
-    return scratch.table(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    fates = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "place", "near")
+    gone = seen.select("doc_id", "line", "h1", "h2").join(fates, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (_place(F.col("doc_id"), F.col("line")) != F.col("place")))
+    gone = scratch.table(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    scratch.drop("lines", "distinct", "met", "worded", "variants", "near")
+    return gone
 
 
-def _kept_text(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.element_at(lines, k + 1)), "\n"))
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, lines) with kept, the text without those lines; each text is split once, and only where lines go."""
+    rows = _once(rows, "all", F.when(F.col("lines").isNotNull(), F.split("text", "\n")))
+    places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("lines"))
+    return rows.withColumn("kept", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda k: F.get("all", k)), "\n")))
 
 
-def dedup_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def dedup_lines(spark: SparkSession, documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, text: every document with the lines that stay.
 
-    Null texts stay null, with no lines; empty ones are one empty line.  Within a
-    document, too, the first of several matching lines stays.  Rows without a doc_id keep
-    their text, having no place in the order; rows that repeat a doc_id count as the same
-    place, so equal lines at one line number all stay.  Other columns are ignored.
+    Null texts stay null, with no lines; empty ones are one empty line, and lines without
+    a word always stay.  Within a document, too, the first of several matching lines
+    stays.  Rows without a doc_id keep their text, having no place in the order; rows that
+    repeat a doc_id count as the same place, so equal lines at one line number all stay.
+    Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = duplicate_lines(docs, Scratch(spark, "lines"))
-    both = docs.join(gone.hint("merge"), "doc_id", "left")
-    return both.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _kept_text(F.col("text"), F.col("lines")).alias("text"))
+    gone = duplicate_lines(docs, Scratch(spark, "lines"), near_words)
+    both = _kept(docs.join(gone.hint("merge"), "doc_id", "left"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    return both.select("doc_id", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.col("kept").alias("text"))
 
 
-def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """``documents`` with their columns, lines that go taken out of ``text`` and ``n_chars`` counted anew.  Documents that lose their last word go."""
+def deduplicated(spark: SparkSession, documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """``documents`` with their columns, lines that go taken out of ``text`` and ``n_chars`` counted anew.
+
+    Documents that lose their last word go; nulls, empties and repeats as in
+    ``dedup_lines``.  Columns of any other name are handed through.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = duplicate_lines(docs, Scratch(spark, "lines")).withColumnsRenamed({"doc_id": "gone_id", "lines": "gone_lines"})
-    both = documents.join(gone.hint("merge"), documents["doc_id"].cast("long") == gone["gone_id"], "left")
-    text = _kept_text(documents["text"], F.col("gone_lines"))
-    out = both.select(*(text.alias("text") if c == "text" else F.when(F.col("gone_lines").isNull(), documents[c]).otherwise(F.length(text).cast("long")).alias(c) if c == "n_chars" else documents[c] for c in documents.columns), "gone_lines")
-    return out.filter(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("gone_lines")
+    gone = duplicate_lines(docs, Scratch(spark, "lines"), near_words)
+    packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    both = _kept(packed.join(gone.hint("merge"), "doc_id", "left")).filter(F.col("lines").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    kinds = dict(documents.dtypes)
+    new = {"text": F.col("kept").cast(kinds["text"]), "n_chars": F.when(F.col("lines").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(kinds["n_chars"])) if "n_chars" in kinds else None}
+    return both.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in documents.columns))

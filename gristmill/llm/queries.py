@@ -94,7 +94,7 @@ SELECT n.doc_id, n.n AS n_shingles, min(o) AS component_id, min(o) = n.doc_id AS
     "op2_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
 w AS (SELECT doc_id, k, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
-f AS (SELECT w, min({'d': doc_id, 'k': k}) AS f FROM w WHERE len(w) >= 5 GROUP BY w),
+f AS (SELECT w, min({'d': doc_id, 'k': k}) AS f FROM w WHERE len(w) >= 1 GROUP BY w),
 v AS (SELECT w, f, i, list_concat(w[1:i - 1], w[i + 1:]) AS v FROM (SELECT w, f, unnest(generate_series(1, len(w))) AS i FROM f WHERE len(w) >= 8)),
 near AS (SELECT v.w FROM v JOIN (SELECT i, v, min(f) AS m FROM v GROUP BY i, v) m ON v.i = m.i AND v.v = m.v WHERE m.m < v.f
  UNION SELECT a.w FROM f a JOIN v ON v.v = a.w WHERE len(a.w) >= 8 AND v.f < a.f UNION SELECT v.w FROM f a JOIN v ON v.v = a.w WHERE len(a.w) >= 8 AND a.f < v.f),

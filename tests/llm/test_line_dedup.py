@@ -19,7 +19,7 @@ def brute(rows):
     lines = sorted((d, k, tuple(re.findall(r"[^\x20\x09-\x0D]+", s)), s) for d, t in rows if t is not None for k, s in enumerate(t.split("\n")))
     out = {d: [] for d, _ in rows}
     for i, (d, _, w, s) in enumerate(lines):
-        gone = len(w) >= 5 and any(w == x or (len(w) >= 8 and len(x) >= 8 and one_edit(w, x)) for _, _, x, _ in lines[:i])
+        gone = len(w) >= 1 and any(w == x or (len(w) >= 8 and len(x) >= 8 and one_edit(w, x)) for _, _, x, _ in lines[:i])
         if not gone:
             out[d].append(s)
     return out
