@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +25,38 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/gristmill"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Intermediate tables of one call.  A written table cuts the lineage: a lost executor costs the tasks it ran, never the steps before."""
+    """Intermediate tables of one call.  A written table cuts the lineage: a lost executor costs the tasks it ran, never the steps before.
+
+    Operators drop tables that their result does not read; what it reads stays until
+    ``sweep``, at the latest that at the end of the application.
+    """
+
+    _open: ClassVar[dict[str, SparkSession]] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not Scratch._open:
+            atexit.register(Scratch.sweep)
+        Scratch._open[self.root] = spark
         ship(spark)
 
+    @staticmethod
+    def roots() -> set[str]:
+        return set(Scratch._open)
+
+    @staticmethod
+    def sweep(but: set[str] = frozenset()) -> None:
+        """Deletes the tables of all calls, but for some; their results can't be read any more."""
+        for root in Scratch.roots() - but:
+            with contextlib.suppress(Exception):  # the session may have ended
+                _delete(Scratch._open.pop(root), root)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -38,10 +66,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(self.spark, self.path(name))
 
 
 def ship(spark: SparkSession) -> None:

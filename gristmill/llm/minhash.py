@@ -79,17 +79,21 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return (two.reshape(-1, 32) << np.arange(0, 64, 2, dtype=U64)).sum(axis=1, dtype=U64)
 
 
+def _sums(items: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart."""
+    return int(np.add.reduce(mix(items ^ U64(0x5851F42D4C957F2D)))), int(np.add.reduce(mix(items ^ U64(0x14057B7EF767814F))))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes, sums, bands, bits = batch.column(0), [], [], [], []
-        for items in shingle_sets(batch.column(1)):
+        for items in shingle_sets(batch.column(2)):
             sizes.append(len(items))
+            sums.append(_sums(items))
             if not len(items):
-                sums.append((0, 0))
                 bands.append(np.zeros(BANDS, U64))
                 bits.append(np.zeros(len(SKETCH), U64))
                 continue
-            sums.append((int(np.add.reduce(mix(items ^ U64(0x5851F42D4C957F2D)))), int(np.add.reduce(mix(items ^ U64(0x14057B7EF767814F))))))
             values = signature(items)
             wide = values.astype(U64).reshape(BANDS, ROWS)
             bands.append(mix((wide * _BAND).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64)))
@@ -101,33 +105,42 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_ = np.array(bits, dtype=U64).reshape(n, len(SKETCH)).view(np.int64)
         bands_ = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (n + 1), BANDS, dtype=np.int32)), pa.array(np.array(bands, dtype=U64).reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(sums_[:, k].copy()) for k in range(2)), *(pa.array(bits_[:, k].copy()) for k in range(len(SKETCH))), bands_],
-            ["doc_id", "n_shingles", "s0", "s1", *SKETCH, "bands"],
+            [ids.cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(sums_[:, k].copy()) for k in range(2)), *(pa.array(bits_[:, k].copy()) for k in range(len(SKETCH))), bands_],
+            ["doc_id", "crc", "n_shingles", "s0", "s1", *SKETCH, "bands"],
         )
 
 
-SIGNED = ", ".join(f"{name} long" for name in ("doc_id", "n_shingles", "s0", "s1", *SKETCH)) + ", bands array<long>"
+SIGNED = ", ".join(f"{name} long" for name in ("doc_id", "crc", "n_shingles", "s0", "s1", *SKETCH)) + ", bands array<long>"
+
+
+def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(id, set) of the rows (id, s0, s1, text) whose text has the set that its sums ask for."""
+    asked = [batch.column(k).to_numpy().view(U64).tolist() for k in (1, 2)]
+    for k, items in enumerate(shingle_sets(batch.column(3))):
+        if _sums(items) == (asked[0][k], asked[1][k]):
+            yield batch.column(0)[k].as_py(), items
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = 0
-        held: list[bytes] = []
-        for items in shingle_sets(batch.column(1)):
+        ids, held, size = [], [], 0
+        for id_, items in _chosen(batch):
+            ids.append(id_)
             held.append(items.tobytes())
-            if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 256:
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)).cast(pa.int64()), pa.array(held, pa.binary())], ["id", "items"])
-                at, held = at + len(held), []
+            size += len(held[-1])
+            if size > 1 << 20 or len(held) >= 256:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["id", "items"])
+                ids, held, size = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)).cast(pa.int64()), pa.array(held, pa.binary())], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["id", "items"])
 
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [sketch(signature(items, _WIDE_A, _WIDE_B)) for items in shingle_sets(batch.column(1))]
+        rows = [(id_, sketch(signature(items, _WIDE_A, _WIDE_B))) for id_, items in _chosen(batch)]
         if rows:
-            table = np.array(rows, dtype=U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(table[:, k].copy()) for k in range(len(WIDE)))], ["id", *WIDE])
+            table = np.array([r for _, r in rows], dtype=U64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *(pa.array(table[:, k].copy()) for k in range(len(WIDE)))], ["id", *WIDE])
 
 
 def _confirm(percent: int):
@@ -144,15 +157,17 @@ def _confirm(percent: int):
     return run
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of some ids, whose number has no bound: a merge join at every size."""
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s0, s1, text) of the classes ``ids``, from the document that stands for each.  Their number has no bound: merge joins at every size."""
+    asked = classes.select("id", F.col("rep").alias("doc_id"), "crc", "s0", "s1").join(ids.hint("merge"), "id", "left_semi")
+    found = docs.join(asked.hint("merge"), ["doc_id", "crc"]).withColumn("same", F.xxhash64("text"))
+    return found.dropDuplicates(["id", "same"]).select("id", "s0", "s1", "text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the threshold.  Only texts that occur in a pair are shingled again."""
-    needed = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = _only(docs, needed).mapInArrow(_sets, "id long, items binary")
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full shingle sets reach the threshold.  Only texts that occur in a pair are shingled again."""
+    needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = _texts(docs, classes, needed).mapInArrow(_sets, "id long, items binary")
     left, right = sets.withColumnsRenamed({"id": "u", "items": "left_items"}), sets.withColumnsRenamed({"id": "v", "items": "right_items"})
     return pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "left_items", "right_items").mapInArrow(_confirm(percent), "u long, v long")
 
@@ -169,6 +184,9 @@ def _alike(a: str, b: str, percent: int, columns: list[str], values: int):
     return sizes & (differing <= most)
 
 
+_CRCS = 1 << 32
+
+
 def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``documents(doc_id, text)``.
 
@@ -177,23 +195,27 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     Null and empty texts, and texts of white space, have an empty set: they link with
     nothing and are kept.  Texts under five words have their whole word sequence as one
     shingle.  Rows without a doc_id come back with a null component_id and are kept.
-    Rows repeated with one doc_id all carry that id's component.  Other columns of the
-    input are ignored, and an empty input gives an empty result.
+    Rows that repeat a doc_id are linked by it, whatever their texts, so an id has one
+    component.  Other columns of the input are ignored, and an empty input gives an empty
+    result.
     """
     ship(spark)
     scratch = Scratch(spark, "minhash")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.crc32("text").alias("crc"), "text")
     signed = scratch.table(docs.mapInArrow(_signed, SIGNED), "signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.table(
-        usable.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), *(F.min(b).alias(b) for b in SKETCH)), "classes"
-    )
-    # One document of a class stands for all its copies.
-    reps = usable.join(classes.select("s0", "s1", F.col("rep").alias("doc_id")), ["s0", "s1", "doc_id"], "left_semi")
-    rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")).distinct()
+    # One document of a class stands for all its copies: that of the smallest doc_id, and checksum where rows repeat that.
+    row = (F.col("doc_id").cast("decimal(20,0)") * F.lit(_CRCS).cast("decimal(11,0)") + F.col("crc").cast("decimal(11,0)")).cast("decimal(31,0)")
+    crc = F.pmod("row", F.lit(_CRCS).cast("decimal(31,0)"))
+    equal = usable.groupBy("s0", "s1").agg(F.min(row).alias("row"), F.min("n_shingles").alias("n_shingles"), *(F.min(b).alias(b) for b in SKETCH))
+    rep = ((F.col("row") - crc) / F.lit(_CRCS).cast("decimal(11,0)")).cast("long")
+    # Written, so that the numbers of classes, which depend on the partition, are made once.
+    classes = scratch.table(equal.select(F.monotonically_increasing_id().alias("id"), "s0", "s1", rep.alias("rep"), crc.cast("long").alias("crc"), "n_shingles", *SKETCH), "classes")
+    reps = usable.select("s0", "s1", "doc_id", "crc", "bands").join(classes.select("id", "s0", "s1", F.col("rep").alias("doc_id"), "crc"), ["s0", "s1", "doc_id", "crc"]).select("id", "bands")
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key")).distinct()
     shared = rows.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("band", "key", "hub")
     members = scratch.table(rows.join(shared, ["band", "key"]), "members")
-    info = classes.select(F.col("rep").alias("id"), "n_shingles", *SKETCH)
+    info = classes.select("id", "n_shingles", *SKETCH)
 
     spokes = members.filter("id <> hub").select("id", "hub").distinct()
     near = (
@@ -202,17 +224,17 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
         .filter(_alike("a", "b", percent, SKETCH, 2 * PERMUTATIONS))
     )
     pairs = scratch.table(near.select(F.col("id").alias("u"), F.col("hub").alias("v")), "pairs")
-    links = scratch.table(confirmed(pairs, docs, percent), "links")
-    first = components(links, scratch, "first")
+    links = scratch.table(confirmed(pairs, docs, classes, percent), "links")
+    first = scratch.table(components(links, scratch, "first"), "first")
 
     # Buckets that still hold several components: compare across components, the hub's pairs being settled.
     # A pair is taken in the first bucket that it shares, so that no later one repeats it.
     placed = members.join(first, "id", "left").select("band", "key", "id", "hub", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     rest = scratch.table(placed.filter("id <> hub").join(mixed, ["band", "key"], "left_semi").select("band", "key", "id", "component"), "rest")
-    ids = rest.select(F.col("id").alias("doc_id")).distinct()
-    wide = _only(docs, ids).mapInArrow(_widened, "id long, " + ", ".join(f"{w} long" for w in WIDE))
-    bands = reps.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands")
+    ids = rest.select("id").distinct()
+    wide = _texts(docs, classes, ids).mapInArrow(_widened, "id long, " + ", ".join(f"{w} long" for w in WIDE))
+    bands = reps.join(ids, "id", "left_semi").dropDuplicates(["id"])
     known = scratch.table(info.join(wide, "id").join(bands, "id"), "known")
     rest = rest.join(known, "id")
     first_shared = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.col("a.band") + 1
@@ -225,18 +247,35 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
         .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     )
     more = scratch.table(more, "more")
-    across = scratch.table(confirmed(more, docs, percent), "across")
-    joined = first.select(F.col("id").alias("u"), F.col("component").alias("v")).filter("u <> v").unionByName(across)
-    final = scratch.table(components(joined, scratch, "final"), "component")
-
-    known = classes.select("s0", "s1", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
-    with_set = usable.select("doc_id", "n_shingles", "s0", "s1").join(known, ["s0", "s1"]).select("doc_id", "n_shingles", "component_id")
-    without = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    across = confirmed(more, docs, classes, percent)
+    # Classes of rows that repeat one doc_id are linked by it.
+    placed = usable.select("doc_id", "n_shingles", "s0", "s1").join(classes.select("id", "s0", "s1"), ["s0", "s1"]).select("doc_id", "n_shingles", "id")
+    placed = scratch.table(placed, "placed")
+    hubs = placed.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("last")).filter("v < last").select("doc_id", "v")
+    same = placed.select("doc_id", "id").join(hubs, "doc_id").select(F.col("id").alias("u"), "v").filter("u <> v")
+    joined = scratch.table(first.select(F.col("id").alias("u"), F.col("component").alias("v")).filter("u <> v").unionByName(across).unionByName(same), "joined")
+    final = scratch.table(components(joined, scratch, "final"), "final")
+
+    whole = classes.select("id", "rep").join(final, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = scratch.table(whole.join(least, "component").select("id", "component_id"), "component")
+    with_set = scratch.table(placed.join(of, "id").select("doc_id", "n_shingles", "component_id"), "with_set")
+    # A row without words has the component of another row of its doc_id, if there is one.
+    without = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles").join(with_set.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+    without = scratch.table(without.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "without")
+    scratch.drop("signed", "classes", "members", "pairs", "links", "first", "rest", "known", "more", "joined", "placed", "final", "component")
     return with_set.unionByName(without).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(spark: SparkSession, documents: DataFrame, percent: int = 75) -> DataFrame:
-    """``documents`` with one row of each group of near copies, that of the smallest doc_id; rows without a doc_id stay."""
-    found = near_duplicates(spark, documents, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = documents.filter(F.col("doc_id").isNotNull()).join(found, F.col("doc_id").cast("long") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
-    return known.unionByName(documents.filter(F.col("doc_id").isNull()))
+    """``documents`` with one row of each group of near copies, that of the smallest doc_id; rows without a doc_id stay.
+
+    Of several rows with that doc_id the one stays whose text has the smallest hash, and
+    any of those with equal texts.  Columns of any name are handed through.
+    """
+    kept = near_duplicates(spark, documents, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.struct("*").alias("row"))
+    ties = packed.groupBy("doc_id").agg(F.min("tie").alias("tie"), F.count("*").alias("n")).join(kept, "doc_id", "left_semi")
+    found = packed.join(ties, ["doc_id", "tie"])
+    once = found.filter("n = 1").select("doc_id", "row").unionByName(found.filter("n > 1").select("doc_id", "row").dropDuplicates(["doc_id"]))
+    return once.select("row.*").unionByName(documents.filter(F.col("doc_id").cast("long").isNull()))

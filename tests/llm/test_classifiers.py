@@ -93,15 +93,57 @@ def test_counterfactuals_even_out_groups(spark):
         labels.append((k, 1, toxic))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
-    def gap(weight):
-        import pyarrow as pa
-
-        old, toxicity.SWAP_WEIGHT = toxicity.SWAP_WEIGHT, weight
-        try:
-            model = toxicity.fit(docs, labels)
-        finally:
-            toxicity.SWAP_WEIGHT = old
-        a, b = model.scores(pa.array(["women w1 w2 w3", "men w1 w2 w3"]))
-        return abs(a - b)
-
-    assert gap(50.0) < gap(0.0)
+    import numpy as np
+    import pyarrow as pa
+
+    kind = toxicity.IDENTITY[0]
+    names = [w for w in kind if w in ("women", "men")]
+
+    def change(model):
+        """Mean squared change of the logit over the texts, each name swapped for every other of its kind and the text scored again."""
+        def logits(texts):
+            p = model.scores(pa.array(texts))
+            return (np.log(p / (1 - p)) - model.shift) / model.slope
+
+        total = 0.0
+        for k, (_, text) in enumerate(rows):
+            found = [w for w in names if w in text.split()]
+            if k % 5 != 4 and found:
+                swapped = [" ".join(b if x == found[0] else x for x in text.split()) for b in kind if b != found[0]]
+                z = logits([text, *swapped])
+                total += ((z[1:] - z[0]) ** 2).mean()
+        return total / sum(k % 5 != 4 for k in range(len(rows)))
+
+    shipped, free = toxicity.fit(docs, labels), toxicity.fit(docs, labels, swap_weight=0.0)
+    print(change(shipped), change(free))
+    assert change(shipped) < 0.25 * change(free)
+    one, two = shipped.scores(pa.array(["women w1 w2 w3", "men w1 w2 w3"]))
+    more, less = free.scores(pa.array(["women w1 w2 w3", "men w1 w2 w3"]))
+    assert abs(one - two) < 0.5 * abs(more - less)
+    found = shipped.scores(pa.array([t for _, t in rows])) >= toxicity.THRESHOLD
+    assert (found == np.arange(len(rows)) % 2).mean() > 0.97
+
+
+def test_a_sample_row_for_each_labelled_id(spark):
+    from gristmill.llm import _linear
+
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (4, 1), (None, 1), (3, 7)], "doc_id long, quality int")
+    rows = _linear.labelled(docs, labels, "quality", 10).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in rows) == [(1, 1), (2, 1)]
+
+
+def test_character_grams_are_of_code_points():
+    import numpy as np
+
+    from gristmill.llm import _linear
+    from gristmill.llm._text import word_hashes
+
+    texts = ["äöüß naïve", "", "x", "日本語の文"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = list(_linear.families(raw, at, *word_hashes(raw, at)))
+    for width, (grams, lo, hi) in zip((3, 4), found[2:], strict=True):
+        for k, t in enumerate(texts):
+            alone = [_linear.char_grams(np.array([ord(c) for c in t[j:j + width]], np.uint32), width)[0] for j in range(len(t) - width + 1)]
+            assert grams[lo[k]:hi[k]].tolist() == alone

@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def brute(rows):
-    """Components over exact Jaccard similarities of five-word shingle sets."""
+    """Components over exact Jaccard similarities of five-word shingle sets; rows of one doc_id are linked."""
     sets = []
     for doc, text in rows:
         t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -63,6 +63,29 @@ def test_empty_null_ids_and_repeats(spark):
     assert sorted(r["doc_id"] or -1 for r in minhash.deduplicated(spark, df).collect()) == [-1, 1]
 
 
+def test_rows_that_repeat_an_id_link_their_texts(spark):
+    a, b, c = "a b c d e f", "u v w x y z", "k l m n o p"
+    df = spark.createDataFrame([(0, a), (1, a), (1, b), (2, b), (2, ""), (3, c), (4, None)], "doc_id long, text string")
+    found = sorted(tuple(r) for r in minhash.near_duplicates(spark, df).collect())
+    assert found == [(0, 2, 0, True), (1, 2, 0, False), (1, 2, 0, False), (2, 0, 0, False), (2, 2, 0, False), (3, 2, 3, True), (4, 0, 4, True)]
+    rng = random.Random(12)
+    rows = [(rng.randrange(len(texts())) if rng.random() < 0.3 else d, t) for d, t in texts(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {}
+    top = {}
+    for (d, t), (n, _) in zip(rows, [brute([r])[r[0]] for r in rows], strict=True):
+        expected.setdefault(d, []).append(n)
+    components = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    links = [(d, rows[components[k][1]][0]) for k, (d, _) in enumerate(rows)]
+    top = {d: d for d, _ in rows}
+    for _ in rows:  # until the smallest id has reached everything
+        for x, y in links:
+            top[x] = top[y] = min(top[x], top[y])
+    found = minhash.near_duplicates(spark, df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == top
+    assert sorted((r["doc_id"], r["n_shingles"]) for r in found) == sorted((d, n) for d, ns in expected.items() for n in ns)
+
+
 def test_query(spark):
     assert oracle.differences(queries.QUERIES["op1_minhash_near_dedup"](spark, SMALL), oracle.connect(SMALL), queries.ORACLE["op1_minhash_near_dedup"]) == ""
 
