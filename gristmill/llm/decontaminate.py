@@ -3,8 +3,10 @@
 Items are indexed once per block of the benchmark.  A posting's weight is its BM25
 weight divided by the item's score for its own words, so a passage that holds all of an
 item scores 1 and one threshold serves items of every length.  Passages are windows of
-words, overlapping by half, at least twice as long as the longest item, so each copy
-lies whole in one.  Block-max WAND runs for all passages of a block of text at once:
+words, overlapping by half, at least twice as long as the longest item that they are
+compared with, so each copy lies whole in one; items are indexed by length, so a long one
+does not widen the passages of the others.  Block-max WAND runs for all passages of a
+block of text at once:
 
 1. the sum of each term's largest weight bounds a passage's score with any item;
 2. passages that pass get a bound for each block of items, from the block maxima;
@@ -38,10 +40,12 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Share of an item's weight that terms without postings may make up, the lightest first.
 SLACK = 0.3
-#: Shares of the question's and the answer's word runs that a passage must hold.
+#: Shares of the question's and the answer's word runs that a passage must hold, and how long those runs are.
 OVERLAP = 0.5
 ANSWER_SHARE = 4  # the last quarter of an item's words counts as its answer
-GRAM = 5
+QUESTION_GRAM, ANSWER_GRAM = 3, 2
+#: Items of fewer words say too little to be told from chance, and are left out: a test item ``the`` would meet every text.
+LEAST_ITEM = 5
 BLOCK_ITEMS = 16
 #: Words in half a passage: as many as the longest item has, but no fewer than these.
 LEAST_HALF = 32
@@ -77,15 +81,13 @@ def split_item(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (words[:cut], words[cut:]) if cut else (words, words)
 
 
-def _grams(words: np.ndarray) -> tuple[np.ndarray, int]:
-    width = min(GRAM, len(words))
+def _grams(words: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    width = min(width, len(words))
     return np.unique(windows(words, width)), width
 
 
 def build(item_ids: list[int], words: list[np.ndarray], n_items: int, average: float, df: dict[int, int], longest: int) -> Index:
-    """An index over some items, with the statistics of all of them: number, mean and largest length, document frequencies."""
-    kept = [k for k, w in enumerate(words) if len(w)]
-    item_ids, words = [item_ids[k] for k in kept], [words[k] for k in kept]
+    """An index over some items, of at most ``longest`` words, with the statistics of all of them: number, mean length, document frequencies."""
     rows, slack = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))], 0.0
     for k, w in enumerate(words):
         terms, tf = np.unique(w, return_counts=True)
@@ -116,7 +118,7 @@ def build(item_ids: list[int], words: list[np.ndarray], n_items: int, average: f
     seen = np.zeros(1 << SEEN_BITS, bool)
     seen[(terms >> U64(64 - SEEN_BITS)).astype(np.int64)] = True
     at = np.searchsorted(pairs, np.arange(len(terms) + 1) * max(1, n_blocks))
-    grams = [tuple(map(_grams, split_item(w))) for w in words]
+    grams = [tuple(map(_grams, split_item(w), (QUESTION_GRAM, ANSWER_GRAM))) for w in words]
     return Index(item_ids, terms, seen, most, at, pairs % max(1, n_blocks), block_most, slack, block_terms, block_weights, grams, max(LEAST_HALF, longest))
 
 
@@ -188,25 +190,26 @@ def overlaps(index: Index, item: int, passage: np.ndarray) -> tuple[float, float
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _hits(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+def _hits(indexes: list[Index], column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item id, score, overlaps) of verified hits, the best passage of each row and item."""
     for a, _, raw, at in blocks(column):
         hashes, first = word_hashes(NORMAL[raw], at)
         best: dict[tuple[int, int], tuple] = {}
-        for doc, start, item, score in search(index, hashes, first):
-            passage = hashes[start:min(start + 2 * index.half, first[doc + 1])]
-            question, answer = overlaps(index, item, passage)
-            if question >= OVERLAP and answer >= OVERLAP:
-                found = (score, question, answer)
-                best[doc, item] = max(best.get((doc, item), found), found)
+        for index in indexes:
+            for doc, start, item, score in search(index, hashes, first):
+                passage = hashes[start:min(start + 2 * index.half, first[doc + 1])]
+                question, answer = overlaps(index, item, passage)
+                if question >= OVERLAP and answer >= OVERLAP:
+                    found, key = (score, question, answer), (doc, index.item_ids[item])
+                    best[key] = max(best.get(key, found), found)
         for (doc, item), found in sorted(best.items()):
-            yield a + doc, index.item_ids[item], *found
+            yield a + doc, item, *found
 
 
-def _scanned(index: Index):
+def _scanned(indexes: list[Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_hits(index, batch.column(1)))
+            rows = list(_hits(indexes, batch.column(1)))
             if rows:
                 picked = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -215,11 +218,11 @@ def _scanned(index: Index):
     return run
 
 
-def _cleaned(index: Index):
+def _cleaned(indexes: list[Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            clean[[r[0] for r in _hits(index, batch.column("text"))]] = False
+            clean[[r[0] for r in _hits(indexes, batch.column("text"))]] = False
             yield batch.filter(pa.array(clean))
 
     return run
@@ -236,35 +239,41 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([len(r) for r in rows], pa.int64()), pa.array([np.unique(r).view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))], ["n", "terms"])
 
 
-def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes that together hold every item.
+def _by_length(item_ids: list[int], words: list[np.ndarray], n_items: int, average: float, df: dict[int, int]) -> list[Index]:
+    """An index for each power of two of the items' lengths, from LEAST_HALF words on."""
+    bound = [max(LEAST_HALF, 1 << (len(w) - 1).bit_length()) for w in words]
+    return [build([i for i, b in zip(item_ids, bound, strict=True) if b == most], [w for w, b in zip(words, bound, strict=True) if b == most], n_items, average, df, most) for most in sorted(set(bound))]
 
-    The size of the items is checked first: each index takes a share of them, dealt out
-    by a hash of the id, of about ``most`` bytes, which bounds what the driver collects
-    and executors hold.  Document frequencies and the mean length are those of all items.
-    Null and empty items hold no words and are left out; items without an id are too.
+
+def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[list[Index]]:
+    """Indexes that together hold every item of LEAST_ITEM words or more, a list for each pass over the corpus.
+
+    The size of the items is checked first: each pass takes a share of them, dealt out by
+    a hash of id and text, of about ``most`` bytes, which bounds what the driver collects and
+    executors hold.  Document frequencies and the mean length are those of all items.
+    Null, empty and shorter items and those without an id are left out; rows that repeat
+    an item are one, and texts under one id are each an item of that id.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(size / most))
     if parts > 1:
-        terms = items.select("text").mapInArrow(_item_terms, "n long, terms array<long>").filter("n > 0")
-        totals = terms.agg(F.count("*").alias("k"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+        terms = items.select("text").mapInArrow(_item_terms, "n long, terms array<long>").filter(F.col("n") >= LEAST_ITEM)
+        totals = terms.agg(F.count("*").alias("k"), F.avg("n").alias("mean")).first()
         frequency = terms.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     for part in range(parts):
-        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        found = sorted((r["item_id"], r["text"]) for r in rows.collect())
-        words = [item_words(t) for _, t in found]
+        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        found = [(k, w) for k, t in sorted((r["item_id"], r["text"]) for r in rows.collect()) if len(w := item_words(t)) >= LEAST_ITEM]
+        words = [w for _, w in found]
         if parts == 1:
-            full = [w for w in words if len(w)]
-            n, mean, longest = len(full), sum(map(len, full)) / max(1, len(full)), max(map(len, full), default=1)
-            at, counts = np.unique(np.concatenate([np.unique(w) for w in full]) if full else np.zeros(0, U64), return_counts=True)
+            n, mean = len(words), sum(map(len, words)) / max(1, len(words))
+            at, counts = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, U64), return_counts=True)
             df = dict(zip(at.tolist(), counts.tolist(), strict=True))
         else:
-            n, mean, longest = totals["k"], totals["mean"], totals["longest"]
-            here = rows.select("text").mapInArrow(_item_terms, "n long, terms array<long>").select(F.explode("terms").alias("t")).distinct()
+            n, mean = totals["k"], totals["mean"]
+            here = rows.select("text").mapInArrow(_item_terms, "n long, terms array<long>").filter(F.col("n") >= LEAST_ITEM).select(F.explode("terms").alias("t")).distinct()
             df = {r["t"] % 2**64: r["df"] for r in frequency.join(here, "t", "left_semi").collect()}
-        yield build([k for k, _ in found], words, n, mean or 1.0, df, longest)
+        yield _by_length([k for k, _ in found], words, n, mean or 1.0, df)
 
 
 def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -277,15 +286,15 @@ def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in indexes(benchmark):
-        found = docs.mapInArrow(_scanned(index), HITS)
+    for some in indexes(benchmark):
+        found = docs.mapInArrow(_scanned(some), HITS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` without a hit, with all their columns."""
+    """The rows of ``documents`` without a hit, with all their columns.  Null and empty texts have none; repeated rows are looked at each."""
     ship(spark)
-    for index in indexes(benchmark):
-        documents = documents.mapInArrow(_cleaned(index), documents.schema)
+    for some in indexes(benchmark):
+        documents = documents.mapInArrow(_cleaned(some), documents.schema)
     return documents
