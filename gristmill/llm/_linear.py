@@ -1,7 +1,7 @@
 """Logistic regression over hashed n-grams, scored on Arrow batches.
 
 Four families of features, each hashed to 2^16 buckets: words, pairs of words, and
-runs of three and four bytes.  A document's value in a bucket is the bucket's share of
+runs of three and four characters.  A document's value in a bucket is the bucket's share of
 its family's n-grams, so scores do not depend on length and one pass of gathers and
 cumulative sums scores a block of documents.
 """
@@ -25,13 +25,14 @@ FAMILIES = 4
 SAMPLE = 1000
 
 
-def byte_grams(raw: np.ndarray, width: int) -> np.ndarray:
-    n = len(raw) - width + 1
+def char_grams(chars: np.ndarray, width: int) -> np.ndarray:
+    """Buckets of all runs of so many code points."""
+    n = len(chars) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
     h = np.zeros(n, np.uint32)
     for k, c in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)[:width]):
-        h += (raw[k:k + n].astype(np.uint32) + np.uint32(1)) * np.uint32(c)
+        h += (chars[k:k + n] + np.uint32(1)) * np.uint32(c)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return h >> np.uint32(32 - BUCKET_BITS)
@@ -42,8 +43,11 @@ def families(raw: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndar
     shift = U64(64 - BUCKET_BITS)
     yield (hashes >> shift).astype(np.int32), first[:-1], first[1:]
     yield (windows(hashes, 2) >> shift).astype(np.int32), first[:-1], np.maximum(first[1:] - 1, first[:-1])
+    chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(chars) < len(raw):
+        at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
     for width in (3, 4):
-        yield byte_grams(raw, width).astype(np.int32), at[:-1], np.maximum(at[1:] - width + 1, at[:-1])
+        yield char_grams(chars, width).astype(np.int32), at[:-1], np.maximum(at[1:] - width + 1, at[:-1])
 
 
 @dataclass
@@ -83,11 +87,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
-    """doc_id, text, label for at most ``sample`` labelled documents, chosen by a hash of doc_id."""
+    """doc_id, text, label for at most ``sample`` labelled documents, chosen by a hash of doc_id; of rows that repeat one, that whose text has the smallest hash."""
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
     given = given.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(given), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` rows are broadcast
+    found = docs.join(F.broadcast(given), "doc_id")  # at most ``sample`` rows are broadcast
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, column: str, sample: int = SAMPLE, steps: int = 40, scale: float = 6.0) -> Linear | None:

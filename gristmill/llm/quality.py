@@ -118,6 +118,10 @@ def assess(spark: SparkSession, documents: DataFrame, model: _linear.Linear | No
 
 
 def accepted(spark: SparkSession, documents: DataFrame, model: _linear.Linear | None) -> DataFrame:
-    """The rows of ``documents`` that are kept, with all their columns."""
+    """The rows of ``documents`` that are kept, with all their columns.
+
+    Null, empty and blank texts fail the base rules and go; repeated rows are judged each,
+    and other columns, whatever their names, are handed through.
+    """
     ship(spark)
     return documents.mapInArrow(_filtered(model), documents.schema)
