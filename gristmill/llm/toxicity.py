@@ -4,9 +4,13 @@ A document's value for a feature is the feature's share of its words.  Features
 not tell the classes apart on the training rows (a two-sided test of document
 frequencies) get no weight, so that long clean texts do not add up chance words.
 
-Counterfactuals: wherever a labelled text names a group, the name is swapped for another
-of the same kind, and the squared change of the score joins the loss.  Mentioning a
-group then says nothing by itself, whichever group's name the toxic rows happen to hold.
+Counterfactuals: wherever a labelled text of the training fold names a group, the name is
+swapped for every other of the same kind, and the mean squared change of the text's score
+(its logit) joins the loss.  A swap moves a name's share of the text's words from its own
+features to the other's, so the change is that share times the difference of two sums of
+weights, and the sum over all texts needs only the squared shares of each name.
+Mentioning a group then says nothing by itself, whichever group's name the toxic rows
+happen to hold.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ SWAP_WEIGHT = 1.0
 #: Least deviations between the classes' document frequencies for a feature to count.
 LEAST_Z = 4.0
 
-#: Names of groups by kind; each is swapped for the next of its kind.
+#: Names of groups by kind; each is swapped for the others of its kind.
 IDENTITY = [
     "women men girls boys females males".split(),
     "woman man girl boy female male".split(),
@@ -51,7 +55,7 @@ IDENTITY = [
 
 
 def _family(hashes: np.ndarray, k: int) -> np.ndarray:
-    return (mix(hashes + U64(k) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+    return (mix(hashes + U64(k * 0x9E3779B97F4A7C15 % 2**64)) >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,13 +72,13 @@ def buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.stack(out, axis=1) if len(starts) else np.zeros((0, len(out)), np.int64), hashes, first
 
 
-def _swaps() -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(sorted hashes of the names, their buckets, the buckets of what they are swapped for)."""
+def _names() -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of all names, sorted by hash: the hashes, the features of each, and its kind."""
     one = lambda w: buckets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]
-    pairs = [(w, kind[(k + 1) % len(kind)]) for kind in IDENTITY for k, w in enumerate(kind)]
-    hashes = hash_words([a for a, _ in pairs])
+    names = [(w, k) for k, kind in enumerate(IDENTITY) for w in kind]
+    hashes = hash_words([w for w, _ in names])
     order = np.argsort(hashes)
-    return hashes[order], [one(pairs[k][0]) for k in order], [one(pairs[k][1]) for k in order]
+    return hashes[order], [one(names[k][0]) for k in order], np.array([names[k][1] for k in order])
 
 
 @dataclass
@@ -96,7 +100,7 @@ class Toxicity:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, own, other = _swaps()
+    names = _names()[0]
     for batch in batches:
         ids, values, swapped = [], [], []
         for a, b, raw, at in blocks(batch.column(1)):
@@ -110,11 +114,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = np.searchsorted(names, words)
                 place[place == len(names)] = 0
                 hit = place[names[place] == words]
-                swapped.append(np.bincount(hit, minlength=len(names)).astype("<i4").tobytes() if len(hit) else b"")
+                swapped.append((np.bincount(hit, minlength=len(names)) / max(1, len(words))).astype("<f4").tobytes() if len(hit) else b"")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.binary()) for x in (ids, values, swapped))], ["doc_id", "label", "ids", "values", "swapped"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 150) -> Toxicity | None:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 150, swap_weight: float = SWAP_WEIGHT) -> Toxicity | None:
     """The classifier from labelled rows; None without rows of both classes.  A fifth of them is kept for calibration."""
     rows = labelled(documents, labels, "toxic", sample).mapInArrow(_featured, "doc_id long, label int, ids binary, values binary, swapped binary").toArrow().sort_by([("doc_id", "ascending")])
     y = np.array(rows.column("label").to_pylist(), float)
@@ -134,19 +138,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: in
     d0 = np.bincount(flat[train[row] & (y[row] == 0)], minlength=BUCKETS)
     p1, p0, p = (d1 + 0.5) / (n1 + 1), (d0 + 0.5) / (n0 + 1), (d1 + d0 + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    names, own, other = _swaps()
-    del names
     kept = np.flatnonzero((np.abs(z) >= LEAST_Z) & (d1 + d0 >= 5))
     spot = np.full(BUCKETS + 1, len(kept))
     spot[kept] = np.arange(len(kept))
     use = spot[flat] < len(kept)
     flat, x, row = spot[flat[use]], x[use], row[use]
-    # A swap takes the shares of one name's features to another's; one row for each name that labelled texts hold.
-    times = np.zeros(len(own))
-    for text in rows.column("swapped").to_pylist():
-        if text:
-            times += np.frombuffer(text, "<i4") > 0
-    moves = [(spot[a], spot[b], t / len(y)) for a, b, t in zip(own, other, times, strict=True) if t]
+    # Mean squared shares of each name in the training rows; swapping moves a share to another name's features.
+    _, own, kind = _names()
+    shares = np.zeros(len(own))
+    for k, text in enumerate(rows.column("swapped").to_pylist()):
+        if text and train[k]:
+            shares += (SCALE * np.frombuffer(text, "<f4").astype(float)) ** 2
+    shares /= train.sum()
+    own = np.array([spot[a] for a in own])
+    others = (kind[:, None] == kind[None]) & ~np.eye(len(kind), dtype=bool)
+    pull = shares[:, None] * others / others.sum(axis=1, keepdims=True)  # name x other: weight of the squared difference
+    pull = pull + pull.T
     size = len(kept) + 1
     u, bias, m, v = np.zeros(size + 1), 0.0, np.zeros(size + 1), np.zeros(size + 1)
     weight = train / train.sum()
@@ -155,10 +162,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: in
         error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) * weight
         g = np.zeros(size + 1)
         g[:size] = np.bincount(flat, x * error[row], size) + 1e-4 * u[:size]
-        for a, b, t in moves:
-            change = u[a].sum() - u[b].sum()
-            np.add.at(g, a, 2 * SWAP_WEIGHT * t * change)
-            np.add.at(g, b, -2 * SWAP_WEIGHT * t * change)
+        sums = u[own].sum(axis=1)
+        np.add.at(g, own, (2 * swap_weight * (pull.sum(axis=1) * sums - pull @ sums))[:, None])
         g[len(kept)] = 0
         g[size] = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
