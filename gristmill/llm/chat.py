@@ -7,8 +7,8 @@ the tokens of those turns: a pack is a forest of turns written once each, depth
 with a position for every token (that of its place in its own conversation) and, for
 every turn, the intervals of earlier tokens that it may attend to: its ancestors'.
 
-Conversations are dealt out by ranges of the hashes of their first turns, so those that
-share turns meet, with conv_id as a tie-breaker, so a beginning that a third of all
+Conversations are dealt out by ranges of the hashes of their turns, so those that share
+turns meet, with conv_id as a tie-breaker, so a beginning that a third of all
 conversations share is still spread; packs are bounded, and one that is full is closed
 and its shared turns are written again in the next.
 """
@@ -30,7 +30,6 @@ from ._store import Scratch
 START, END = "<|im_start|>", "<|im_end|>"
 PACK_TOKENS = 1 << 16
 PACK_CONVERSATIONS = 1 << 10
-PATH_TURNS = 8
 
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -64,19 +63,19 @@ class Vocabulary:
         self.inner = tiktoken.Encoding("turns", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.start = max(ranks.values()) + 1
         self.end = self.start + 1
-        self.raw: dict[int, bytes] = {v: k for k, v in ranks.items()} | {self.start: START.encode(), self.end: END.encode()}
 
     def encode(self, text: str) -> list[int]:
         return self.inner.encode_ordinary(text)
 
-    def decode(self, ids) -> str:
-        return b"".join([self.raw[k] for k in ids]).decode()
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids without turn marks."""
+        return self.inner.decode_bytes(ids.tolist()).decode()
 
-    def turn(self, role: str, text: str) -> tuple[list[int], tuple[int, int]]:
+    def turn(self, role: str, text: str) -> tuple[np.ndarray, tuple[int, int]]:
         """(tokens, the part under the loss mask: an assistant's text)."""
         head, body = [self.start, *self.encode(escape_role(role) + "\n")], self.encode(escape(text))
         loss = (len(head), len(head) + len(body)) if role == "assistant" else (0, 0)
-        return [*head, *body, self.end, *self.encode("\n")], loss
+        return np.array([*head, *body, self.end, *self.encode("\n")], np.int32), loss
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -93,7 +92,7 @@ class Pack:
 
     def __init__(self) -> None:
         self.children: list[dict[tuple[str, str], int]] = [{}]
-        self.parent, self.turns, self.ends, self.size = [-1], [([], (0, 0))], [], 0
+        self.parent, self.turns, self.ends, self.size = [-1], [(np.zeros(0, np.int32), (0, 0))], [], 0
 
     def add(self, conv_id, turns: list[tuple[str, str]], words: Vocabulary) -> None:
         node = 0
@@ -111,33 +110,37 @@ class Pack:
 
     def row(self) -> dict:
         """Depth-first tokens, positions and loss flags; per turn its interval and its ancestors' intervals, neighbours joined."""
-        tokens, positions, loss, number = [], [], [], {0: -1}
-        spans, ancestors, depth = [], [], []
+        tokens, number = [], {0: -1}
+        spans, ancestors, depth, learnt, at = [], [], [], [], 0
         stack = list(reversed(self.children[0].values()))
         while stack:
             node = stack.pop()
             up = number[self.parent[node]]
             own, (a, b) = self.turns[node]
-            first = len(tokens)
-            at = depth[up] if up >= 0 else 0
             before = [] if up < 0 else ancestors[up] + [spans[up]]
             if len(before) > 1 and before[-2][1] == before[-1][0]:
                 before = [*before[:-2], (before[-2][0], before[-1][1])]
             number[node] = len(spans)
-            spans.append((first, first + len(own)))
+            spans.append((at, at + len(own)))
+            learnt.append((at + a, at + b))
             ancestors.append(before)
-            depth.append(at + len(own))
-            tokens += own
-            positions += range(at, at + len(own))
-            loss += [a <= k < b for k in range(len(own))]
+            depth.append(0 if up < 0 else depth[up] + spans[up][1] - spans[up][0])
+            tokens.append(own)
+            at += len(own)
             stack += reversed(self.children[node].values())
+        starts, ends = (np.array([s[k] for s in spans], np.int32) for k in (0, 1))
+        loss = np.zeros(at, bool)
+        for a, b in learnt:
+            loss[a:b] = True
         return {
-            "tokens": tokens, "position_ids": positions, "loss": loss,
-            "turn_start": [s for s, _ in spans], "turn_end": [e for _, e in spans],
-            "attends": [[{"start": s, "end": e} for s, e in x] for x in ancestors],
+            "tokens": np.concatenate(tokens) if tokens else np.zeros(0, np.int32), "position_ids": np.arange(at, dtype=np.int32) + np.repeat(np.array(depth, np.int32) - starts, ends - starts), "loss": loss,
+            "turn_start": starts, "turn_end": ends, "attends": [[{"start": s, "end": e} for s, e in x] for x in ancestors],
             "conv_ids": [c for c, _ in self.ends], "last_turn": [number[n] for _, n in self.ends],
         }
 
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for f, x in zip(_PACK_SCHEMA, self.row().values(), strict=True)], schema=_PACK_SCHEMA)
+
 
 PACKED = "tokens array<int>, position_ids array<int>, loss array<boolean>, turn_start array<int>, turn_end array<int>, attends array<array<struct<start:int,end:int>>>, conv_ids array<long>, last_turn array<int>"
 _INTERVALS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -155,10 +158,10 @@ def _packed(path: str, pattern: str):
                 turns = [(t["role"], t["text"]) for t in batch.column("turns")[k].as_py()]
                 pack.add(batch.column("conv_id")[k].as_py(), turns, words)
                 if pack.size >= PACK_TOKENS or len(pack.ends) >= PACK_CONVERSATIONS:
-                    yield pa.RecordBatch.from_pylist([pack.row()], _PACK_SCHEMA)
+                    yield pack.batch()
                     pack = Pack()
         if pack.ends:
-            yield pa.RecordBatch.from_pylist([pack.row()], _PACK_SCHEMA)
+            yield pack.batch()
 
     return run
 
@@ -167,16 +170,17 @@ def format_conversations(conversations: DataFrame, path: str, pattern: str) -> D
     """Packs, with the columns of PACKED.
 
     Rows of one conv_id are one conversation, by turn, then role and text where a turn
-    repeats; null roles and texts count as empty, and rows without a conv_id are one
-    conversation without an id.  A conversation is the unit of work: its turns are read
-    in order and so meet in one task.  Other columns are ignored.
+    repeats; null roles and texts count as empty, and each row without a conv_id is a
+    conversation of its own.  A conversation is the unit of work: its turns are read in
+    order and so meet in one task.  Other columns are ignored.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    path_of = F.array_join(F.transform(F.slice("turns", 1, PATH_TURNS), lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0")), "")
+    whole = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(rows.filter("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
+    path_of = F.array_join(F.transform("turns", lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0")), "")
     dealt = whole.withColumn("path", path_of).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     return dealt.select("conv_id", "turns").mapInArrow(_packed(path, pattern), PACKED)
 
@@ -184,23 +188,19 @@ def format_conversations(conversations: DataFrame, path: str, pattern: str) -> D
 def read_pack(row: dict, words: Vocabulary) -> Iterator[tuple]:
     """(conv_id, formatted text, [(role, text)], texts under the loss mask) of every conversation, from the tokens and intervals alone."""
     for conv, last in zip(row["conv_ids"], row["last_turn"], strict=True):
-        spans = [] if last < 0 else [(x["start"], x["end"]) for x in row["attends"][last]] + [(row["turn_start"][last], row["turn_end"][last])]
-        ids = [k for a, b in spans for k in row["tokens"][a:b]]
-        flags = [k for a, b in spans for k in row["loss"][a:b]]
-        turns, learnt, part, marked = [], [], [], []
-        for k, flag in zip(ids, flags, strict=True):
-            if k == words.start:
-                part, marked = [], []
-            elif k == words.end:
-                role, _, text = words.decode(part).partition("\n")
-                turns.append((unescape_role(role), unescape(text)))
-                if marked:
-                    learnt.append(unescape(words.decode(marked)))
-            else:
-                part.append(k)
-                if flag:
-                    marked.append(k)
-        yield conv, words.decode(ids), turns, learnt
+        spans = [] if last < 0 else [(x["start"], x["end"]) for x in row["attends"][last]] + [(int(row["turn_start"][last]), int(row["turn_end"][last]))]
+        ids, flags = (np.concatenate([row[c][a:b] for a, b in spans]) if spans else np.zeros(0, row[c].dtype) for c in ("tokens", "loss"))
+        turns, learnt, whole = [], [], []
+        starts, ends = np.flatnonzero(ids == words.start).tolist(), np.flatnonzero(ids == words.end).tolist()
+        for a, b, then in zip(starts, ends, [*starts[1:], len(ids)], strict=True):
+            part = words.decode(ids[a + 1:b])
+            role, _, text = part.partition("\n")
+            turns.append((unescape_role(role), unescape(text)))
+            whole += [START, part, END, words.decode(ids[b + 1:then])]
+            marked = ids[a:b][flags[a:b]]
+            if len(marked):
+                learnt.append(unescape(words.decode(marked)))
+        yield conv, "".join(whole), turns, learnt
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -211,7 +211,7 @@ def _digested(path: str, pattern: str):
         words = vocabulary(path, pattern)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                row = {name: batch.column(name)[k].values.to_numpy(zero_copy_only=False) if name in ("tokens", "loss", "turn_start", "turn_end") else batch.column(name)[k].as_py() for name in batch.schema.names if name != "position_ids"}
                 out = []
                 for conv, text, turns, learnt in read_pack(row, words):
                     loss = "".join(learnt)
