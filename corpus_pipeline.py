@@ -60,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        others = Scratch.roots()
         docs = scratch.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        Scratch.sweep(others)
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
