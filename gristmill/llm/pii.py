@@ -7,7 +7,8 @@ labelled table by gradient steps on the likelihood, and decoded by Viterbi for m
 sequences at once in numpy.
 
 No span can do without a digit, an @ or a spelled-out "at" or "dot", so sequences are the
-surroundings of those; the rest of a text is outside by rule.
+surroundings of those, out to white space, so that none begins or ends inside an unbroken
+run; the rest of a text is outside by rule.
 """
 
 from __future__ import annotations
@@ -81,8 +82,9 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field ----------------------------------------------------------------
 
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?[Aa][Tt]\s?[\])}]|(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])")
-AROUND = 40
+TRIGGER = re.compile(r"[0-9@]|[\[({]\s?[Aa][Tt]\s?[\])}]|(?<![A-Za-z])[Aa][Tt](?=\s+[A-Za-z0-9-]+\.[A-Za-z])|(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])")
+AROUND = 80
+_WHITE = re.compile(r"\s")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 _LEXICON = {w: k for k, w in enumerate("at dot com org net edu tel phone call fax mobile cell card visa credit ip host mail email".split())}
 _PUNCT = {c: k for k, c in enumerate("@.-()+:[]{}/_,;=#'\"<>%*&!?|")}
@@ -190,6 +192,7 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[Span
     words = "the of to and report order please see our new house were in on for a an or this that again from ask team green water".split()
     foreign = "der und die las que été naïve über señor être für más".split()
     names = "anna lee.chan bob_s m.kowalski jo info sales kim2 office.help r-smith was.91 thing.55".split()
+    dotted = [n for n in names if not n.isalpha()]
     hosts = "example shop mail4 my-site intra corp".split()
     tops = "com org net edu de io".split()
 
@@ -211,14 +214,14 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[Span
 
     def email() -> str:
         n, h, t = pick(names), pick(hosts), pick(tops)
-        return pick([f"{n}@{h}.{t}", f"{n}@{h}.example.{t}", f"{n} [at] {h}.{t}", f"{n}(at){h}.{t}", f"{n} (at) {h} dot {t}", f"{n} at {h} dot {t}", f"{n} [at] {h} [dot] {t}"])
+        return pick([f"{n}@{h}.{t}", f"{n}@{h}.example.{t}", f"{n} [at] {h}.{t}", f"{n}(at){h}.{t}", f"{n} (at) {h} dot {t}", f"{n} at {h} dot {t}", f"{n} [at] {h} [dot] {t}", f"{pick(dotted)} at {h}.{t}"])
 
     def nothing() -> str:
         return pick([
             digits(1), digits(2), digits(3), digits(4), digits(5), digits(6), f"{digits(2)},{digits(3)}", f"{digits(1)}.{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)}",
             f"{digits(2)}/{digits(2)}/20{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"#{digits(6)}", f"{digits(3)}%", f"v{digits(1)}.{digits(2)}", digits(8), digits(9), digits(11), digits(13),
             f"{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)}", f"{digits(2)}-{digits(2)}", f"${digits(3)}.{digits(2)}", f"({digits(4)})", f"[{digits(2)}]", f"@{pick(hosts)}", "dot", f"{pick(words)} dot {pick(words)}", digits(20), f"{digits(4)} {digits(4)}",
-            f"meet at {digits(1)} pm", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(3)}9{digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(4)}-{digits(4)}", f"{pick(words)}{digits(2)}", f'"{digits(3)}a{digits(4)}b{digits(2)}f"',
+            f"{word()} at {pick(hosts)}.{pick(tops)}", f"meet at {digits(1)} pm", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(3)}9{digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(4)}-{digits(4)}", f"{pick(words)}{digits(2)}", f'"{digits(3)}a{digits(4)}b{digits(2)}f"',
         ])
 
     out = []
@@ -299,13 +302,22 @@ def default_field() -> Field:
 
 
 def _surroundings(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
+    """Windows of AROUND characters about every trigger, widened to the next white space and joined where they touch; linear in the text."""
+    out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        if out and m.start() <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], m.end() + AROUND)
+        floor = out[-1][1] if out else 0
+        if out and m.end() + AROUND <= floor:
+            continue
+        start = max(floor, m.start() - AROUND)
+        while start > floor and not text[start - 1].isspace():
+            start -= 1
+        white = _WHITE.search(text, m.end() + AROUND)
+        end = white.start() if white else len(text)
+        if out and start <= floor:
+            out[-1] = (out[-1][0], end)
         else:
-            out.append([max(0, m.start() - AROUND), m.end() + AROUND])
-    return [(a, min(b, len(text))) for a, b in out]
+            out.append((start, end))
+    return out
 
 
 def field_spans(field: Field, texts: list[str], base: list[list[Span]] | None = None) -> list[list[Span]]:
