@@ -4,7 +4,8 @@ For every format a prefix tree of its labelled credentials is built over classes
 characters, and states whose outgoing frequencies are compatible (a Hoeffding bound, on
 the states and on their successors) are merged until none are left.  The result is a
 probabilistic automaton.  Every candidate string of every text is scored by the best
-automaton's likelihood per character against that of ordinary strings.  Of a long one
+automaton's likelihood, its end included, per character, against that of ordinary strings:
+words, names of files, classes and hosts, dates, numbers, identifiers of records.  Of a long one
 that does not count as a whole, every window as long as a labelled credential of a
 format is scored by that format, and the windows that count are reported, joined where
 they overlap.
@@ -70,6 +71,11 @@ def symbols(text: str) -> list[str]:
 _WIDTH = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 
 
+#: Symbols and the end; what each adds to every count.
+SIGNS, SMOOTH = 71, 0.01
+_END = "$$"
+
+
 @dataclass
 class Automaton:
     """States with counts; ``moves[s][symbol]`` is the next state and ``counts[s][symbol]`` how often it was taken."""
@@ -100,18 +106,21 @@ class Automaton:
             return False
         return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
-    def compatible(self, a: int, b: int, depth: int = 12) -> bool:
-        na, nb = self.total(a), self.total(b)
-        if self._differ(na, self.ends[a], nb, self.ends[b]):
-            return False
-        for s in {*self.counts[a], *self.counts[b]}:
-            if self._differ(na, self.counts[a].get(s, 0), nb, self.counts[b].get(s, 0)):
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the shares of ends and moves agree in both states and in all pairs of states that the same symbols lead to."""
+        work, seen = [(a, b)], {(a, b)}
+        while work:
+            x, y = work.pop()
+            nx, ny = self.total(x), self.total(y)
+            if self._differ(nx, self.ends[x], ny, self.ends[y]):
+                return False
+            if any(self._differ(nx, self.counts[x].get(s, 0), ny, self.counts[y].get(s, 0)) for s in {*self.counts[x], *self.counts[y]}):
                 return False
-        if depth:
-            for s in self.moves[a].keys() & self.moves[b].keys():
-                x, y = self.moves[a][s], self.moves[b][s]
-                if x != y and not self.compatible(x, y, depth - 1):
-                    return False
+            for s in self.moves[x].keys() & self.moves[y].keys():
+                pair = self.moves[x][s], self.moves[y][s]
+                if pair[0] != pair[1] and pair not in seen:
+                    seen.add(pair)
+                    work.append(pair)
         return True
 
     def merge(self, a: int, b: int) -> None:
@@ -135,15 +144,13 @@ class Automaton:
                     self.moves[x][s] = then
             self.moves[y] = {}
 
-    def log_likelihood(self, word: list[str], alphabet: int = 70) -> float:
-        """Per symbol, the end included; unseen moves get the smoothed share and lead back to the start's most common state."""
+    def log_likelihood(self, word: list[str]) -> float:
+        """The end included; an unseen move gets the smoothed share and stays in its state."""
         state, out = 0, 0.0
         for s in word:
-            n = self.total(state) if state >= 0 else 0
-            taken = self.counts[state].get(s, 0) if state >= 0 else 0
-            out += math.log((taken + 0.05) / (n + 0.05 * alphabet)) - (math.log(_WIDTH.get(s, 1)) if taken or state >= 0 else 0)
-            state = self.moves[state].get(s, -1) if state >= 0 else -1
-        return out / max(1, len(word))
+            out += math.log((self.counts[state].get(s, 0) + SMOOTH) / (self.total(state) + SMOOTH * SIGNS)) - math.log(_WIDTH.get(s, 1))
+            state = self.moves[state].get(s, state)
+        return out + math.log((self.ends[state] + SMOOTH) / (self.total(state) + SMOOTH * SIGNS))
 
 
 def learn(words: list[str]) -> Automaton:
@@ -179,13 +186,20 @@ def labelled_table(rows: int = 60, seed: int = 5) -> tuple[dict[str, list[str]],
         "web": [f"eyJ{some(every + '-_', int(rng.integers(30, 50)))}.eyJ{some(every + '-_', int(rng.integers(40, 80)))}.{some(every + '-_', 43)}" for _ in range(rows)],
         "upper_hex": [some("0123456789ABCDEF", int(n)) for n in rng.choice([32, 40, 64], rows)],
         "base64": [some(every + "+/", 40) for _ in range(rows)],
-        "uuid": ["-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(rows)],
     }
     stems = "the tion re ment an er qu eau ing ver ein sch ado cion des para with heit lich que".split()
+    low_hex = lambda n: some("0123456789abcdef", n)
+    parts = lambda n: [stems[j] for j in rng.integers(0, len(stems), n)]
+    camel = lambda n: "".join(p.capitalize() for p in parts(n))
     ordinary = []
-    for k in range(12 * rows):
-        word = "".join(stems[j] for j in rng.integers(0, len(stems), int(rng.integers(5, 12))))
-        ordinary.append([word, word.capitalize(), word + "-" + word[:6], f"{word}.{some(digits, 2)}", f"www.{word}.com", word[:9].upper() + "_" + word[:9].upper(), f"20{some(digits, 2)}-{some(digits, 2)}-{some(digits, 2)}-{word[:8]}", some(digits, int(rng.integers(16, 21))), f"/{word[:6]}/{word[3:9]}/{word[:5]}{some(digits, 1)}", "=" * 20 + word[:3], f"{word[:7]}_v{some(digits, 1)}.{some(digits, 2)}.tar.gz", f"{some(digits, 3)}.{some(digits, 3)}.{some(digits, 3)}.{some(digits, 4)}"][k % 12][:64])
+    for k in range(24 * rows):
+        word = "".join(parts(int(rng.integers(5, 12))))
+        ordinary.append([
+            word, word.capitalize(), word + "-" + word[:6], f"{word}.{some(digits, 2)}", f"www.{word}.com", word[:9].upper() + "_" + word[:9].upper(), f"20{some(digits, 2)}-{some(digits, 2)}-{some(digits, 2)}-{word[:8]}", some(digits, int(rng.integers(16, 21))),
+            f"/{word[:6]}/{word[3:9]}/{word[:5]}{some(digits, 1)}", "=" * 20 + word[:3], f"{word[:7]}_v{some(digits, 1)}.{some(digits, 2)}.tar.gz", f"{some(digits, 3)}.{some(digits, 3)}.{some(digits, 3)}.{some(digits, 4)}",
+            "-".join(low_hex(n) for n in (8, 4, 4, 4, 12)), camel(int(rng.integers(4, 9))), f"{camel(4)}{some(digits, 1)}{camel(2)}", parts(1)[0] + camel(5) + some(digits, 1), "_".join(parts(5)) + f"_{some(digits, 2)}", f"com.{word[:5]}.{word[2:9]}.{camel(3)}{some(digits, 1)}",
+            f"IMG_20{some(digits, 6)}_{some(digits, 6)}.jpg", f"{word[:8]}-20{some(digits, 2)}-{some(digits, 2)}-{some(digits, 2)}.csv.gz", low_hex(int(rng.integers(16, 41))), f"{word[:8]}.{low_hex(8)}.min.js", "_".join(p.upper() for p in parts(4)) + f"_{some(digits, 1)}", f"{parts(1)[0]}-{parts(1)[0]}-{some(digits, 4)}-{some(digits, 6)}",
+        ][k % 24][:64])
     return formats, [w for w in ordinary if len(w) >= 16]
 
 
@@ -197,42 +211,48 @@ class Scanner:
     known: dict[str, bool] = field(default_factory=dict)
     _tables: dict | None = field(default=None, repr=False)
 
+    def _usual(self, last: str, s: str) -> float:
+        return self.ordinary.get((last, s), self.ordinary.get((last, ""), -6.0))
+
     def background(self, word: list[str]) -> float:
+        """Log-likelihood of an ordinary string, by pairs of neighbouring symbols, the end included."""
         out, last = 0.0, "^"
         for s in word:
-            out += self.ordinary.get((last, s), self.ordinary[last, ""] if (last, "") in self.ordinary else -6.0) - math.log(_WIDTH.get(s, 1))
+            out += self._usual(last, s) - math.log(_WIDTH.get(s, 1))
             last = s
-        return out / max(1, len(word))
+        return out + self._usual(last, _END)
 
     def score(self, text: str) -> tuple[float, str]:
         """Log-likelihood per character of the best format over ordinary strings, and its name."""
         word = symbols(text)
         usual = self.background(symbols("    " + text)[4:])
         best = max((a.log_likelihood(word), name) for name, a in self.formats.items())
-        return best[0] - usual, best[1]
+        return (best[0] - usual) / max(1, len(word)), best[1]
 
     def _as_arrays(self) -> dict:
-        """The automata (moves and log-likelihoods by state and sign, the last state for unseen moves) and the background, by code of the sign."""
+        """The automata (moves, log-likelihoods by state and sign, and of the end by state) and the background, by code of the sign."""
         if self._tables is None:
             width = np.zeros(128)
             for s, n in _WIDTH.items():
                 width[ord(s)] = math.log(n)
             found = {}
             for name, a in self.formats.items():
-                dead = len(a.moves)
-                moves, cost = np.full((dead + 1, 128), dead, np.int32), np.full((dead + 1, 128), math.log(1 / 70))
-                for s in range(dead):
+                n = len(a.moves)
+                moves, cost, ends = np.tile(np.arange(n, dtype=np.int32)[:, None], 128), np.zeros((n, 128)), np.zeros(n)
+                for s in range(n):
                     taken = np.zeros(128)
-                    for c, n in a.counts[s].items():
-                        taken[ord(c)] = n
-                    cost[s] = np.log((taken + 0.05) / (a.total(s) + 0.05 * 70)) - width
+                    for c, times in a.counts[s].items():
+                        taken[ord(c)] = times
+                    every = a.total(s) + SMOOTH * SIGNS
+                    cost[s], ends[s] = np.log((taken + SMOOTH) / every) - width, math.log((a.ends[s] + SMOOTH) / every)
                     for c, then in a.moves[s].items():
                         moves[s, ord(c)] = then
-                found[name] = moves, cost
+                found[name] = moves, cost, ends
             signs = [chr(c) for c in range(128)]
-            usual = np.array([[self.ordinary.get((a, b), self.ordinary.get((a, ""), -6.0)) for b in signs] for a in signs]) - width
+            usual = np.array([[self._usual(a, b) for b in signs] for a in signs]) - width
+            last = np.array([self._usual(a, _END) for a in signs])
             classes = np.array([ord(symbols("    " + c)[4]) for c in signs], np.uint8)
-            self._tables = {"formats": found, "usual": usual, "classes": classes}
+            self._tables = {"formats": found, "usual": usual, "last": last, "classes": classes}
         return self._tables
 
     def windows(self, text: str) -> list[tuple[int, int]]:
@@ -245,7 +265,7 @@ class Scanner:
         letter = np.isin(kinds, np.frombuffer(b"hlHU", np.uint8))
         letters, digits = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, kinds == ord("d")))
         change = np.zeros(len(raw) + 1, np.int64)
-        for name, (moves, cost) in tables["formats"].items():
+        for name, (moves, cost, ends) in tables["formats"].items():
             for low in range(0, len(raw), 1 << 16):
                 at = np.arange(low, min(low + (1 << 16), len(raw)))
                 state, total = np.zeros(len(at), np.int32), np.zeros(len(at))
@@ -257,7 +277,7 @@ class Scanner:
                     state = moves[state, signs]
                     if k + 1 in self.lengths[name]:
                         end = at + k + 1
-                        good = (total - first[at] - (usual[end] - usual[at + 1])) / (k + 1) >= THRESHOLD
+                        good = (total + ends[state] - first[at] - (usual[end] - usual[at + 1]) - tables["last"][kinds[end - 1]]) / (k + 1) >= THRESHOLD
                         good &= (letters[end] > letters[at]) & (digits[end] > digits[at])
                         np.add.at(change, at[good], 1)
                         np.add.at(change, end[good], -1)
@@ -286,6 +306,8 @@ def train(formats: dict[str, list[str]], ordinary: list[str]) -> Scanner:
             pairs[last, s] = pairs.get((last, s), 0) + 1
             totals[last] = totals.get(last, 0) + 1
             last = s
+        pairs[last, _END] = pairs.get((last, _END), 0) + 1
+        totals[last] = totals.get(last, 0) + 1
     chances = {(a, b): math.log((n + 0.1) / (totals[a] + 7)) for (a, b), n in pairs.items()}
     chances |= {(a, ""): math.log(0.1 / (n + 7)) for a, n in totals.items()}
     return Scanner({name: learn(words) for name, words in formats.items()}, chances, {name: sorted({len(w) for w in words}) for name, words in formats.items()})

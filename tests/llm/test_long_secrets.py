@@ -14,7 +14,7 @@ def window_scores(scanner, text):
             for k in range(len(text) - n + 1):
                 w = text[k:k + n]
                 has = any(c.isdigit() for c in w) and any(c.isalpha() for c in w)
-                score = a.log_likelihood(secret_scan.symbols(w)) - scanner.background(secret_scan.symbols("    " + w)[4:])
+                score = (a.log_likelihood(secret_scan.symbols(w)) - scanner.background(secret_scan.symbols("    " + w)[4:])) / n
                 assert not math.isnan(score)
                 if has and score >= secret_scan.THRESHOLD:
                     inside |= set(range(k, k + n))
