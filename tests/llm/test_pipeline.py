@@ -1,4 +1,6 @@
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gristmill.llm import decontaminate, line_dedup, minhash, quality
