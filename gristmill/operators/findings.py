@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, claim_tokens, host, jaccard, squeeze, trimmed, urls
+from ..scratch import Scratch
+from .components import components
 
 #: Headings and the channels that they stand for, the first that matches.  (Fixed values.)
 CHANNELS = [
@@ -64,20 +66,10 @@ def like_pairs(claims: DataFrame, key: str, text: str, least: float = LIKE) -> D
     return pairs.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def clusters(claims: DataFrame, key: str, pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(key, cluster): the smallest key that pairs reach, by propagating minima until nothing changes.
-
-    Each round is a checkpoint, so the plan stays short.
-    """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    label = claims.select(F.col(key).alias("id"), F.col(key).alias("cluster"))
-    for _ in range(rounds):
-        low = both.join(label, F.col("a") == F.col("id")).groupBy("b").agg(F.min("cluster").alias("near"))
-        then = label.join(low, F.col("id") == F.col("b"), "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")).checkpoint()
-        label = then.select("id", "cluster")
-        if not then.filter("moved").limit(1).count():
-            return label.withColumnRenamed("id", key)
-    raise RuntimeError("clusters did not settle")
+def clusters(claims: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """(key, cluster): the smallest key that pairs reach, however long the chain."""
+    found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch(claims.sparkSession, "clusters"), "round").withColumnRenamed("id", key)
+    return claims.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
 def corroborated(members: DataFrame, cluster: str, host_column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms, search_tokens
+from ..scratch import Scratch
 
 K1, B = 1.2, 0.75
 TIERS = ("unverified", "user", "verified")
@@ -15,24 +16,40 @@ def query_terms(spark, query: str) -> list[str]:
     return spark.range(1).select(search_terms(F.lit(query)).alias("t")).first()["t"]
 
 
+def term_counts(docs: DataFrame, key: str, columns: dict[str, str], terms: list[str]) -> DataFrame:
+    """key and, for each named text column, its length in tokens and the frequency of every term; a few numbers a row.
+
+    Frequencies are counted inside each row's token array, so nothing is exploded.
+    """
+    tokens = docs.select(key, *(search_tokens(F.col(c)).alias(f"_{name}") for name, c in columns.items()))
+    count = lambda name, t: F.size(f"_{name}") - F.size(F.array_remove(f"_{name}", t))
+    return tokens.select(key, *(x for name in columns for x in (F.size(f"_{name}").alias(f"{name}_dl"), *(count(name, t).alias(f"{name}_tf{k}") for k, t in enumerate(terms)))))
+
+
+def scores(counted: DataFrame, key: str, names: list[str], n_terms: int, k1: float = K1, b: float = B) -> DataFrame:
+    """key and a BM25 score for each name, from ``term_counts``; the statistics are one row of numbers."""
+    per = [F.avg(f"{x}_dl").alias(f"{x}_avgdl") for x in names] + [F.count_if(F.col(f"{x}_tf{k}") > 0).alias(f"{x}_df{k}") for x in names for k in range(n_terms)]
+    both = counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("_n"), *per)))  # one row
+
+    def score(x: str) -> Column:
+        parts = [F.lit(0.0)]
+        for k in range(n_terms):
+            tf, df = F.col(f"{x}_tf{k}"), F.col(f"{x}_df{k}")
+            idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
+            parts.append(F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"{x}_dl") / F.greatest(f"{x}_avgdl", F.lit(1e-9))))).otherwise(0.0))
+        return sum(parts[1:], parts[0])
+
+    return both.select(key, *(score(x).alias(x) for x in names))
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of all rows, 0 for those without any term.
 
-    Term frequencies are counted inside each row's token array, so nothing is exploded:
-    one scan gives the corpus statistics, a row of len(terms) + 2 numbers, and another
-    scores.
+    Texts are read and tokenised once, into a written table of a few numbers a row, from
+    which the statistics and then the scores come.
     """
-    tokens = docs.select(key, search_tokens(F.col(text)).alias("tokens"))
-    tf = lambda t: F.size(F.filter("tokens", lambda x: x == t))
-    rows = tokens.select(key, F.size("tokens").alias("dl"), *(tf(t).alias(f"tf{k}") for k, t in enumerate(terms)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
-    both = rows.crossJoin(F.broadcast(stats))  # one row
-    parts = []
-    for k in range(len(terms)):
-        tf_, df_ = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log(1 + (F.col("n") - df_ + 0.5) / (df_ + 0.5))
-        parts.append(F.when(tf_ > 0, idf * tf_ * (k1 + 1) / (tf_ + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))).otherwise(0.0))
-    return both.select(key, sum(parts, F.lit(0.0)).alias("score"))
+    counted = Scratch(docs.sparkSession, "bm25").table(term_counts(docs, key, {"score": text}, terms), "counts")
+    return scores(counted, key, ["score"], len(terms), k1, b)
 
 
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
@@ -44,13 +61,15 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 
 
 def two_routes(docs: DataFrame, key: str, body: str, head: str, terms: list[str], weight: float = 0.75) -> DataFrame:
-    """Scores of body and head, each over its largest, weighted; rows with no term in either are left out."""
-    a = bm25(docs, key, body, terms).withColumnRenamed("score", "body_raw")
-    b = bm25(docs, key, head, terms).withColumnRenamed("score", "head_raw")
-    both = a.join(b, key)
-    top = both.agg(F.max("body_raw").alias("body_top"), F.max("head_raw").alias("head_top"))
-    share = lambda x, m: F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(0.0)
-    return both.filter("body_raw > 0 OR head_raw > 0").crossJoin(F.broadcast(top)).select(key, (weight * share("body_raw", "body_top") + (1 - weight) * share("head_raw", "head_top")).alias("score"))
+    """Scores of body and head, each over its largest, weighted; rows with no term in either are left out.
+
+    One pass over the texts counts the terms of both columns; the rest works on those numbers.
+    """
+    counted = Scratch(docs.sparkSession, "routes").table(term_counts(docs, key, {"body": body, "head": head}, terms), "counts")
+    both = scores(counted, key, ["body", "head"], len(terms))
+    top = both.agg(F.max("body").alias("body_top"), F.max("head").alias("head_top"))
+    share = lambda x: F.when(F.col(f"{x}_top") > 0, F.col(x) / F.col(f"{x}_top")).otherwise(0.0)
+    return both.filter("body > 0 OR head > 0").crossJoin(F.broadcast(top)).select(key, (weight * share("body") + (1 - weight) * share("head")).alias("score"))
 
 
 def top_k(scored: DataFrame, key: str, k: int = 8, hard: int = 20) -> DataFrame:

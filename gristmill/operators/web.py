@@ -6,12 +6,15 @@ expression keeps; that step alone runs in Python, on Arrow batches.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SPACE, decode_entities, host, squeeze, trimmed
 
@@ -20,6 +23,8 @@ NON_CONTENT = ["script", "style", "noscript", "template", "svg", "canvas", "ifra
 SKELETON = ["nav", "header", "footer", "aside"]
 CONTAINERS = ["div", "section", "ul", "ol", "span", "p", "table", "li", "a"]
 BOILERPLATE_WORDS = "nav|navbar|menu|sidebar|side-bar|footer|header|comment|comments|reply|cookie|consent|gdpr|advert|ad|ads|banner|promo|share|sharing|social|related|recommend|subscribe|newsletter|breadcrumb|pagination|pager|toolbar|masthead|skip-link|back-to-top|sitemap|site-map|language|lang-switch"
+BOILERPLATE = rf"(?i)(?:^|[-_. ])(?:{BOILERPLATE_WORDS})(?:[-_. ]|$)"
+ATTRIBUTE = r"""(?i)(?:^|[\s"'/])(?:id|class)\s*=\s*("[^"]{0,240}"|'[^']{0,240}'|[^\s>]{0,240})"""
 BOILERPLATE_LINE = (
     r"(?i)^(?:cookie|we use cookies|this (?:site|website) uses|accept (?:all )?cookies|by (?:continuing|using)|manage (?:cookies|preferences)|privacy policy|terms of (?:service|use)|all rights reserved|sign ?(?:in|up)|log ?in|register|subscribe|newsletter|follow us"
     r"|share (?:this|on)|related (?:posts|articles)|recommended|read more|advertisement|sponsored|skip to (?:content|main)|back to top|copyright|©|版权所有|免责声明|隐私政策|用户协议|服务条款|登录|注册|订阅|关注我们|分享到|扫码|下载客户端|相关内容|相关阅读|推荐阅读|热门推荐|上一篇|下一篇|返回顶部|京ICP|沪ICP|粤ICP)"
@@ -54,6 +59,9 @@ def failure_kind(code: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in FAILURE_KINDS.items() for x in pair))[code]
 
 
+META = ["title", "site", "byline", "published_at", "lang"]
+
+
 def meta(html: Column) -> list[Column]:
     """title, site, byline, published_at and lang; empty where the page does not say."""
 
@@ -87,8 +95,8 @@ def linked_text(html: Column) -> Column:
     return plain_text(F.regexp_replace(html, r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.{0,2000}?)</a\s*>""", "[$2]($1)"))
 
 
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(?:id|class)\s*=\s*("[^"]{0,240}"|'[^']{0,240}'|[^\s>]{0,240})""", re.I)
-_WORDS = re.compile(rf"(?:^|[-_. ])(?:{BOILERPLATE_WORDS})(?:[-_. ]|$)", re.I)
+_ATTRIBUTE = re.compile(ATTRIBUTE)
+_WORDS = re.compile(BOILERPLATE)
 
 
 def boilerplate_tag(tag: str) -> bool:
@@ -164,25 +172,25 @@ def main_region(html: str) -> tuple[str, bool]:
 
 
 def content_html(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, content, regions, main_region) of every page; the sequential step of the page pipeline."""
-    kind = dict(pages.dtypes)[key]
+    """Every page's columns but its HTML, with content, regions and main_region; the sequential step of the page pipeline."""
+    rest = pages.drop(html)
+    schema = T.StructType([*rest.schema.fields, T.StructField("content", T.StringType()), T.StructField("regions", T.IntegerType()), T.StructField("main_region", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page in batch[html].fillna(""):
-                bare, n = strip_noise(page)
+            for page in batch.column(batch.num_columns - 1).to_pylist():
+                bare, n = strip_noise(page or "")
                 inner, picked = main_region(bare)
                 rows.append((inner, n, picked))
-            out = pd.DataFrame(rows, columns=["content", "regions", "main_region"])
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "content", "regions", "main_region"])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, content string, regions int, main_region boolean")
+    return pages.select(*rest.columns, html).mapInArrow(run, schema)
 
 
-def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CHARS) -> DataFrame:
-    """(key, text, dropped, deduped, paragraphs): lines squeezed, boilerplate and short non-sentences dropped, repeats dropped, blank lines collapsed.
+def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CHARS, keep: list[str] = (), drop_boilerplate: bool = True, dedupe: bool = True) -> DataFrame:
+    """(key, text, dropped, deduped, paragraphs, ``keep``): lines squeezed, boilerplate and short non-sentences dropped, repeats dropped, blank lines collapsed.
 
     Lines stay in their row's array, so there is no shuffle.  Each step hands its arrays
     on through a generator of one row: projections would otherwise be merged, and the
@@ -191,24 +199,78 @@ def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CH
     """
     short = lambda v: (F.length(v) < min_chars) & ~v.rlike(SENTENCE_END) & ~v.rlike(r"^[#\-|]")
     line = lambda v: trimmed(F.regexp_replace(v, "[ \\t\\u00a0]+", " "))
-    once = lambda rows, *columns: rows.select(key, F.inline(F.array(F.struct(*columns))))
+    once = lambda rows, *columns: rows.select(key, *keep, F.inline(F.array(F.struct(*columns))))
+    bad = lambda v: (v != "") & (v.rlike(BOILERPLATE_LINE) | short(v)) if drop_boilerplate else F.lit(False)
     rows = once(df, F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"), line).alias("lines"))
-    rows = once(rows, F.transform("lines", lambda v: F.struct(v.alias("v"), ((v != "") & (v.rlike(BOILERPLATE_LINE) | short(v))).alias("bad"), F.lower(F.regexp_replace(v, rf"^#+[{SPACE}]*", "")).alias("k"))).alias("lines"))
+    rows = once(rows, F.transform("lines", lambda v: F.struct(v.alias("v"), bad(v).alias("bad"), F.lower(F.regexp_replace(v, rf"^#+[{SPACE}]*", "")).alias("k"))).alias("lines"))
     good = F.filter("lines", lambda x: ~x["bad"])
     rows = once(rows, (F.size("lines") - F.size(good)).alias("dropped"), F.array_sort(F.transform(good, lambda x, n: F.struct(x["k"].alias("k"), n.alias("n"), x["v"].alias("v")))).alias("good"))
-    first = lambda x, n: (F.length(x["k"]) < 6) | (n == 0) | (F.element_at("good", F.greatest(n, F.lit(1)))["k"] != x["k"])
+    first = lambda x, n: F.lit(not dedupe) | (F.length(x["k"]) < 6) | (n == 0) | (F.element_at("good", F.greatest(n, F.lit(1)))["k"] != x["k"])
     rows = once(rows, "dropped", F.size("good").alias("n_good"), F.transform(F.array_sort(F.transform(F.filter("good", first), lambda x: F.struct(x["n"], x["v"]))), lambda x: x["v"]).alias("kept"))
     joined = trimmed(F.regexp_replace(F.array_join("kept", "\n"), "\n{3,}", "\n\n"))
     return once(rows, joined.alias("text"), "dropped", (F.col("n_good") - F.size("kept")).alias("deduped"), F.size(F.filter("kept", lambda v: v != "")).alias("paragraphs"))
 
 
-def page_pipeline(pages: DataFrame, key: str, html: str, min_chars: int = MIN_LINE_CHARS) -> DataFrame:
-    """Cleaned text of every page with its metadata and counts; removed_ratio is against the HTML's length."""
-    source = pages.select(key, F.length(html).alias("input_chars"), *meta(F.col(html)))
-    inner = content_html(pages, key, html)
-    text = clean_lines(inner.select(key, plain_text(F.col("content")).alias("content")), key, "content", min_chars)
-    ratio = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.length("text") / F.col("input_chars"))) * 10000 + 0.5) / 10000
-    return source.join(inner.select(key, "regions", "main_region"), key).join(text, key).withColumn("output_chars", F.length("text")).withColumn("removed_ratio", F.when(F.col("input_chars") > 0, ratio).otherwise(0.0))
+@dataclass(frozen=True)
+class CleanOptions:
+    """How pages are cleaned."""
+
+    mode: str = "article"
+    drop_boilerplate: bool = True
+    dedupe: bool = True
+    min_chars: int = MIN_LINE_CHARS
+    keep_title: bool = True
+
+
+MODES, MOST_LINE_CHARS = ("article", "plain", "off"), 80
+
+
+def clean_options(raw: dict | None) -> CleanOptions:
+    """Options from a configuration: what is missing or of another type becomes the default, numbers are cut to their range."""
+    raw, usual = raw if isinstance(raw, dict) else {}, CleanOptions()
+    truth = lambda name, default: raw[name] if isinstance(raw.get(name), bool) else default
+    n = raw.get("minLineChars")
+    number = isinstance(n, (int, float)) and not isinstance(n, bool) and math.isfinite(n)
+    return CleanOptions(
+        raw["mode"] if raw.get("mode") in MODES else usual.mode, truth("dropBoilerplate", usual.drop_boilerplate), truth("dedupeLines", usual.dedupe),
+        min(MOST_LINE_CHARS, max(0, math.trunc(n))) if number else usual.min_chars, truth("keepTitle", usual.keep_title),
+    )
+
+
+def page_pipeline(pages: DataFrame, key: str, html: str, options: CleanOptions = CleanOptions(), text: str | None = None) -> DataFrame:
+    """Cleaned text of every page with its metadata and counts; removed_ratio is against the length of what came in.
+
+    Mode article picks the main region and cleans its lines, plain cleans the lines of the
+    whole page's text, off hands that text through.  ``text`` names a column of text that
+    stands in where a page has no HTML, and in the modes plain and off.  The parser, which
+    only article needs, runs once, and everything else travels with its rows: no join.
+    """
+    source = F.coalesce(F.col(html), F.lit(""))
+    given = F.coalesce(F.col(text), F.lit("")) if text else F.lit("")
+    known = [c if options.keep_title else F.lit("").alias(name) for c, name in zip(meta(source), META, strict=True)]
+    rows = pages.select(key, F.greatest(F.length(source), F.when(source == "", F.length(given)).otherwise(0)).alias("input_chars"), *known, source.alias("_html"), F.when(given == "", plain_text(source)).otherwise(given).alias("_plain"))
+    keep = ["input_chars", *META, "regions", "main_region"]
+    if options.mode == "article":
+        rows = content_html(rows.withColumn("_bare", F.col("_html") == ""), key, "_html")
+        rows = rows.withColumn("content", F.when(F.col("_bare"), F.col("_plain")).otherwise(plain_text(F.col("content"))))
+        rows = rows.withColumn("regions", F.when(F.col("_bare"), 0).otherwise(F.col("regions"))).withColumn("main_region", ~F.col("_bare") & F.col("main_region"))
+    else:
+        rows = rows.withColumn("content", F.col("_plain")).withColumn("regions", F.lit(0)).withColumn("main_region", F.lit(False))
+    if options.mode == "off":
+        out = rows.select(key, *keep, F.col("content").alias("text"), F.lit(0).alias("dropped"), F.lit(0).alias("deduped"), F.size(F.filter(F.split("content", "\n"), lambda v: trimmed(v) != "")).alias("paragraphs"))
+        ratio = F.lit(0.0)
+    else:
+        out = clean_lines(rows, key, "content", options.min_chars, keep, options.drop_boilerplate, options.dedupe)
+        ratio = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.length("text") / F.col("input_chars"))) * 10000 + 0.5) / 10000
+    return out.withColumn("output_chars", F.length("text")).withColumn("removed_ratio", F.when(F.col("input_chars") > 0, ratio).otherwise(0.0))
+
+
+def page_report(cleaned: DataFrame) -> DataFrame:
+    """One row: pages, characters in and out, the share taken out in percent with one decimal, lines dropped and repeated."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    sums = cleaned.agg(F.count("*").alias("pages"), *map(total, ("input_chars", "output_chars", "dropped", "deduped")))
+    percent = F.floor((1 - F.col("output_chars") / F.col("input_chars")) * 1000 + 0.5) / 10
+    return sums.withColumn("percent", F.when(F.col("input_chars") == 0, 0.0).otherwise(percent))
 
 
 def matches_site(url: Column, domain: Column) -> Column:
@@ -232,17 +294,21 @@ def site_of(urls: DataFrame, url: str, sites: DataFrame) -> DataFrame:
 
 def boilerplate_words(tag: Column) -> Column:
     """The predicate of boilerplate_tag as a column."""
-    attr = F.regexp_extract(tag, r"""(?i)(?:^|[\s"'/])(?:id|class)\s*=\s*("[^"]{0,240}"|'[^']{0,240}'|[^\s>]{0,240})""", 1)
-    return F.regexp_replace(attr, "[\"']", " ").rlike(rf"(?i)(?:^|[-_. ])(?:{BOILERPLATE_WORDS})(?:[-_. ]|$)")
+    return F.regexp_replace(F.regexp_extract(tag, ATTRIBUTE, 1), "[\"']", " ").rlike(BOILERPLATE)
+
 
+def find_lines(df: DataFrame, key: str, text: str, pattern: str, context: int = 1, most: int | None = None) -> DataFrame:
+    """(key, line, before, content, after): lines that match, numbered from 0, with those around them.
 
-def context_lines(df: DataFrame, key: str, order: str, line: str, pattern: str, context: int = 1, most: int | None = None) -> DataFrame:
-    """Lines that match, with those around them; a pattern that is no regular expression is taken literally, and case does not count."""
+    Case does not count, and a pattern that is no regular expression is taken literally.
+    A line's neighbours are in its row's own array, so nothing is shuffled.
+    """
     try:
         re.compile(pattern)
     except re.error:
         pattern = re.escape(pattern)
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumn("before", F.collect_list(line).over(w.rowsBetween(-context, -1))).withColumn("after", F.collect_list(line).over(w.rowsBetween(1, context)))
-    hits = rows.filter(F.col(line).rlike(f"(?i){pattern}"))
-    return hits if most is None else hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    rows = df.select(key, F.inline(F.array(F.struct(F.split(text, "\n").alias("lines")))))
+    at = F.filter(F.transform("lines", lambda v, k: F.when(v.rlike(f"(?i){pattern}"), k)), lambda k: k.isNotNull())
+    hits = rows.select(key, "lines", F.explode(at if most is None else F.slice(at, 1, most)).alias("line"))
+    first = F.greatest(F.col("line") - context, F.lit(0))
+    return hits.select(key, "line", F.slice("lines", first + 1, F.col("line") - first).alias("before"), F.get("lines", F.col("line")).alias("content"), F.slice("lines", F.col("line") + 2, F.lit(context)).alias("after"))

@@ -116,8 +116,7 @@ SELECT doc_id, line, before, content, after FROM (SELECT doc_id, line, content,
  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY line)) WHERE regexp_matches(content, '(?i)token|@')
 """)
 def search_find_lines(spark, d):
-    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    hits = web.context_lines(lines, "doc_id", "line", "content", "token|@")
+    hits = web.find_lines(load(spark, d, "documents"), "doc_id", "text", "token|@")
     return hits.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("before", "").alias("before"), "content", F.array_join("after", "").alias("after"))
 
 
@@ -147,8 +146,6 @@ WITH RECURSIVE pairs AS ({_ALIKE}), ways AS (SELECT a, b FROM pairs UNION SELECT
 SELECT item_id, min(other) AS cluster FROM reach GROUP BY 1
 """)
 def findings_clusters(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     items = load(spark, d, "benchmark")
     return findings.clusters(items, "item_id", findings.like_pairs(items, "item_id", "text", 0.2))
 
