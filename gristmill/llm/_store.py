@@ -2,73 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
-from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..scratch import Scratch as _Scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in local mode, where it may be unset, one under the temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file:///tmp/checkpoints/gristmill"
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """Intermediate tables of one call.  A written table cuts the lineage: a lost executor costs the tasks it ran, never the steps before.
-
-    Operators drop tables that their result does not read; what it reads stays until
-    ``sweep``, at the latest that at the end of the application.
-    """
-
-    _open: ClassVar[dict[str, SparkSession]] = {}
+class Scratch(_Scratch):
+    """Intermediate tables of one call, whose tasks can import this package."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        if not Scratch._open:
-            atexit.register(Scratch.sweep)
-        Scratch._open[self.root] = spark
+        super().__init__(spark, name)
         ship(spark)
 
-    @staticmethod
-    def roots() -> set[str]:
-        return set(Scratch._open)
-
-    @staticmethod
-    def sweep(but: set[str] = frozenset()) -> None:
-        """Deletes the tables of all calls, but for some; their results can't be read any more."""
-        for root in Scratch.roots() - but:
-            with contextlib.suppress(Exception):  # the session may have ended
-                _delete(Scratch._open.pop(root), root)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.mode("overwrite").options(**options).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
-        for name in names:
-            _delete(self.spark, self.path(name))
-
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that their Python workers can import it wherever it was installed on the driver."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ..operators.components import components
 from ._store import Scratch, ship
 from ._text import LOWER, U64, blocks, mix, windows, word_hashes
 
@@ -259,11 +259,12 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     whole = classes.select("id", "rep").join(final, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = scratch.table(whole.join(least, "component").select("id", "component_id"), "component")
-    with_set = scratch.table(placed.join(of, "id").select("doc_id", "n_shingles", "component_id"), "with_set")
+    with_set = placed.join(of, "id").select("doc_id", "n_shingles", "component_id")
     # A row without words has the component of another row of its doc_id, if there is one.
-    without = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles").join(with_set.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
-    without = scratch.table(without.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "without")
-    scratch.drop("signed", "classes", "members", "pairs", "links", "first", "rest", "known", "more", "joined", "placed", "final", "component")
+    without = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles")
+    others = with_set.join(without.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    without = without.join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    scratch.drop("classes", "members", "pairs", "links", "first", "rest", "known", "more", "joined", "final")
     return with_set.unionByName(without).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
