@@ -209,7 +209,9 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     crc = F.pmod("row", F.lit(_CRCS).cast("decimal(31,0)"))
     equal = usable.groupBy("s0", "s1").agg(F.min(row).alias("row"), F.min("n_shingles").alias("n_shingles"), *(F.min(b).alias(b) for b in SKETCH))
     rep = ((F.col("row") - crc) / F.lit(_CRCS).cast("decimal(11,0)")).cast("long")
-    # Written, so that the numbers of classes, which depend on the partition, are made once.
+    # Classes are numbered in the order of their documents, so that a bucket's hub is the earliest, of which near copies are
+    # mostly made; and written, so that the numbers, which depend on the partition, are made once.
+    equal = equal.repartitionByRange("row").sortWithinPartitions("row")
     classes = scratch.table(equal.select(F.monotonically_increasing_id().alias("id"), "s0", "s1", rep.alias("rep"), crc.cast("long").alias("crc"), "n_shingles", *SKETCH), "classes")
     reps = usable.select("s0", "s1", "doc_id", "crc", "bands").join(classes.select("id", "s0", "s1", F.col("rep").alias("doc_id"), "crc"), ["s0", "s1", "doc_id", "crc"]).select("id", "bands")
     rows = reps.select("id", F.posexplode("bands").alias("band", "key")).distinct()
