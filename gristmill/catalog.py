@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import listing, records, search, streams, tabular, web
+from .plans import knowledge, listing, records, search, streams, tabular, web
 
 FLAGSHIP = "agg_group_summary"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (tabular, search, records, web, streams, listing):
+for _plan in (tabular, search, records, web, streams, listing, knowledge):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE

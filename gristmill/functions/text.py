@@ -143,11 +143,14 @@ def parse_list(x: Column) -> Column:
     return F.coalesce(F.when(trimmed(x).startswith("["), parsed), F.filter(F.transform(F.split(x, ","), trimmed), lambda v: v != ""))
 
 
+#: What lines of menus begin with.  (Fixed values.)
+MENU = "首页|导航|登录|注册|下载|更多|相关阅读|推荐阅读|热门|栏目|客户端|扫一扫|分享到|版权声明|免责声明"
+
+
 def excerpt(x: Column, most: int = 180) -> Column:
     """The first two lines of 20 characters or more that are prose (no heading, link or menu), or the first two, or all."""
     long = F.filter(F.transform(F.split(x, "\r?\n"), squeeze), lambda v: F.length(v) >= 20)
-    menu = "^(首页|导航|登录|注册|下载|更多|相关阅读|推荐阅读|热门|栏目|客户端|扫一扫|分享到|版权声明|免责声明)"
-    prose = F.filter(long, lambda v: ~F.contains(v, F.lit("](")) & ~v.startswith("#") & ~v.rlike(menu))
+    prose = F.filter(long, lambda v: ~F.contains(v, F.lit("](")) & ~v.startswith("#") & ~v.rlike(f"^({MENU})"))
     chosen = F.array_join(F.slice(F.when(F.size(prose) > 0, prose).otherwise(long), 1, 2), " ")
     chosen = F.when(chosen == "", squeeze(x)).otherwise(chosen)
     return F.when(F.length(chosen) > most, F.concat(F.substring(chosen, 1, most), F.lit("…"))).otherwise(chosen)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import SPACE, trimmed
 
@@ -107,3 +110,66 @@ def content_class(mime: Column) -> Column:
 def valid_url(url: Column) -> Column:
     """http or https, no credentials, at most 2,048 characters."""
     return F.coalesce((F.length(url) <= 2048) & url.rlike(r"^(?i)https?://[^/?#\s@]+(?:[/?#]\S*)?$"), F.lit(False))
+
+
+def compiled(x: Column, hint: str = "auto") -> Column:
+    """struct(kind, number, text, money, percent) of a cell's text: the hint's kind or else the one it looks like, text where that does not parse.
+
+    Only a text with a percent sign is divided by 100, which ``percent`` says; dates become serial days.
+    """
+    raw = F.coalesce(x, F.lit(""))
+    kind = classify(raw) if hint == "auto" else F.lit(hint)
+    number, at = to_number(raw), parse_date(raw)
+    made = F.when(raw == "", F.lit(None)).when(kind.isin("number", "currency", "percent"), number).when(kind == "date", date_serial(at))
+    told = F.when(made.isNull(), "text").when(kind == "date", "date").otherwise("number")
+    return F.struct(told.alias("kind"), made.cast("double").alias("number"), F.when(made.isNull(), raw).alias("text"), (made.isNotNull() & (kind == "currency")).alias("money"), (made.isNotNull() & (kind == "percent") & F.contains(raw, F.lit("%"))).alias("percent"))
+
+
+MOST_DEPTH, MOST_ITEMS = 4, 40
+#: What stands for the rest of a value that is cut.  (Fixed values.)
+TOO_DEEP, MORE_ITEMS, MORE_KEYS = "[深度截断]", "…共 {n} 项", ("…", "键过多已截断")
+
+
+def safe_json(x: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """JSON of any value, bounded: four levels, 40 items or keys of each, numbers that JSON lacks as text, null for nothing."""
+    plain = F.regexp_extract(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        out = F.when(F.isnan(x), '"NaN"').when(x == float("inf"), '"Infinity"').when(x == float("-inf"), '"-Infinity"').otherwise(plain)
+    elif not isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        out = plain
+    elif depth >= MOST_DEPTH:
+        out = F.lit(f'"{TOO_DEEP}"')
+    elif isinstance(kind, T.ArrayType):
+        head, tail = MORE_ITEMS.split("{n}")
+        items = F.transform(F.slice(x, 1, MOST_ITEMS), lambda v: safe_json(v, kind.elementType, depth + 1))
+        more = F.when(F.size(x) > MOST_ITEMS, F.array(F.concat(F.lit(f'"{head}'), F.size(x).cast("string"), F.lit(f'{tail}"')))).otherwise(F.array().cast("array<string>"))
+        out = F.concat(F.lit("["), F.array_join(F.concat(items, more), ","), F.lit("]"))
+    else:
+        rest = f'"{MORE_KEYS[0]}":"{MORE_KEYS[1]}"'
+        if isinstance(kind, T.StructType):
+            fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), safe_json(x[f.name], f.dataType, depth + 1)) for f in kind.fields[:MOST_ITEMS]]
+            pairs = F.array(*fields, *([F.lit(rest)] if len(kind.fields) > MOST_ITEMS else []))
+        else:
+            entry = lambda e: F.concat(safe_json(e["key"].cast("string"), T.StringType()), F.lit(":"), safe_json(e["value"], kind.valueType, depth + 1))
+            pairs = F.concat(F.transform(F.slice(F.map_entries(x), 1, MOST_ITEMS), entry), F.when(F.size(x) > MOST_ITEMS, F.array(F.lit(rest))).otherwise(F.array().cast("array<string>")))
+        out = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return F.when(x.isNull(), "null").otherwise(out)
+
+
+def public_ipv6(ip: Column) -> Column:
+    """Whether an IPv6 address is none of the special ranges, an embedded IPv4 address counting as that; null if it is no address."""
+    tail = F.regexp_extract(ip, r"(?:^|:)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+    octet = lambda k: F.conv(F.split_part(tail, F.lit("."), F.lit(k)), 10, 16)
+    pair = lambda k: F.concat(F.lpad(octet(k), 2, "0"), F.lpad(octet(k + 1), 2, "0"))
+    text = F.lower(F.when(tail != "", F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), pair(1), F.lit(":"), pair(3))).otherwise(ip))
+    two = F.size(F.split(text, "::")) == 2
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    front, back = groups(F.split_part(text, F.lit("::"), F.lit(1))), groups(F.when(two, F.split_part(text, F.lit("::"), F.lit(2))).otherwise(F.lit("")))
+    gap = 8 - F.size(front) - F.size(back)
+    every = F.when(two & (gap >= 1), F.concat(front, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), back)).when(~F.contains(text, F.lit("::")) & (F.size(front) == 8) & ~text.rlike("^:|:$"), front)
+    good = F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ((tail == "") | F.coalesce(public_ipv4(tail).isNotNull(), F.lit(False)))
+    h = lambda k: F.conv(F.get(every, F.lit(k)), 16, 10).cast("int")
+    v4 = F.concat_ws(".", *(x.cast("string") for k in (6, 7) for x in (F.floor(h(k) / 256), h(k) % 256)))
+    zero = lambda a, b: F.forall(F.slice(every, a + 1, b - a), lambda g: F.conv(g, 16, 10) == "0")
+    special = zero(0, 8) | (zero(0, 7) & (h(7) == 1)) | h(0).between(0xFE80, 0xFEBF) | h(0).between(0xFC00, 0xFDFF) | (h(0) >= 0xFF00) | ((h(0) == 0x2001) & (h(1) == 0xDB8)) | ((h(0) == 0x64) & (h(1) == 0xFF9B))
+    return F.when(good, F.when(zero(0, 5) & (h(5) == 0xFFFF), public_ipv4(v4)).otherwise(~special))

@@ -63,3 +63,9 @@ def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_r", rank).filter("_r = 1").drop("_r")
+
+
+def looked_up(refs: DataFrame, index: DataFrame, key: str, label: str) -> DataFrame:
+    """References with the label of the row that they name, the first of several, and whether there is none (``dangling``)."""
+    first = index.groupBy(key).agg(F.min(label).alias(label), F.lit(True).alias("_there"))
+    return refs.join(first, key, "left").withColumn("dangling", F.col("_there").isNull()).drop("_there")

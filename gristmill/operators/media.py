@@ -26,9 +26,11 @@ def frame_times(duration: Column, every: float | None = None, count: int | None
 
 
 def join_transcript(parts: Column) -> Column:
-    """Parts with a space between, unless either side of the seam is CJK."""
-    cjk = r"[⺀-鿿豈-﫿＀-￯]"
-    return F.aggregate(parts, F.lit(""), lambda a, p: F.when(a == "", p).when(p == "", a).when(a.rlike(cjk + "$") | p.rlike("^" + cjk), F.concat(a, p)).otherwise(F.concat(a, F.lit(" "), p)))
+    """Parts with a space between, unless either side of the seam is CJK.  Each seam looks at its two parts only."""
+    cjk = r"[⺀-鿿豈-﫿＀-￯]"
+    some = F.filter(parts, lambda p: p != "")
+    seam = lambda p, k: F.when((k == 0) | p.rlike("^" + cjk) | F.get(some, k - 1).rlike(cjk + "$"), p).otherwise(F.concat(F.lit(" "), p))
+    return F.array_join(F.transform(some, seam), "")
 
 
 def word_times(tokens: Column, stamps: Column, length: Column, base: Column) -> Column:
@@ -44,10 +46,10 @@ def word_times(tokens: Column, stamps: Column, length: Column, base: Column) ->
     return F.transform(glue, lambda w, k: F.struct(w["text"].alias("text"), F.round(w["start"] + base, 3).alias("start"), F.round(end(k) + base, 3).alias("end")))
 
 
-def owned_segments(df: DataFrame, chunk: str, start: str, end: str, owned_end: str, last: Column) -> DataFrame:
-    """Segments of each chunk that it owns: those that end within its own part, all of the last chunk's; of one heard twice the earlier chunk's stays."""
+def owned_segments(df: DataFrame, media: str, chunk: str, start: str, end: str, owned_end: str, last: Column) -> DataFrame:
+    """Segments of each chunk of a recording that it owns: those that end within its own part, all of the last chunk's; of one heard twice the earlier chunk's stays."""
     own = df.filter(last | (F.col(end) <= F.col(owned_end)))
-    said = F.max(end).over(Window.orderBy(chunk, start).rowsBetween(Window.unboundedPreceding, -1))
+    said = F.max(end).over(Window.partitionBy(media).orderBy(chunk, start).rowsBetween(Window.unboundedPreceding, -1))
     return own.withColumn("_said", said).filter(F.col("_said").isNull() | (F.col(start) >= F.col("_said"))).drop("_said")
 
 
@@ -64,6 +66,14 @@ def quota(df: DataFrame, by: list[str], order: str, limit: int) -> DataFrame:
     return df.withColumn("allowed", F.row_number().over(Window.partitionBy(*by).orderBy(order)) <= limit)
 
 
+def quota_used(df: DataFrame, by: list[str], order: str, refund: Column, limit: int) -> DataFrame:
+    """Adds ``allowed``: whether fewer than so many were used before a row of its group, a refund giving one back; 0 or less means no limit."""
+    if limit <= 0:
+        return df.withColumn("allowed", F.lit(True))
+    before = F.sum(F.when(refund, -1).otherwise(1)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("allowed", F.coalesce(before, F.lit(0)) < limit)
+
+
 def changes(df: DataFrame, by: list[str], order: str, revision: str, refresh: int = 12) -> DataFrame:
     """Adds ``emit``: full at first and on every refresh, partial where the revision moved, else unchanged."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, truncate
+from ..functions.text import squeeze
 
 DAY = dt.timedelta(days=1)
 _MS = dt.timedelta(milliseconds=1)
@@ -119,5 +119,3 @@ def admit(df: DataFrame, by: list[str], order: list[Column], text: str, most_res
     cut = F.when(F.length(text) > room, F.concat(F.expr(f"left(`{text}`, cast(least({item_chars}, {total_chars} - _used) as int) - 1)"), F.lit("…"))).otherwise(F.col(text))
     return rows.withColumn("admitted", cut).withColumn("truncated", F.length(text) > room).drop("_ord", "_seen", "_used")
 
-
-__all__ = ["admit", "first_stamp", "in_window", "quality_tiers", "recency", "resolve_time", "resolve_window", "truncate", "window_counts"]

@@ -34,11 +34,32 @@ def pack_volumes(blocks: DataFrame, month: str, order: str, size: str, most: int
     return blocks.groupBy(month).applyInPandas(pack, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", volume int")
 
 
-def prune(df: DataFrame, at: str, size: str, now: Column, oldest: Column, most: int) -> DataFrame:
-    """What a cache keeps: entries younger than a time and, newest first, while their sizes fit."""
-    young = df.filter(F.col(at) >= oldest)
-    total = F.sum(size).over(Window.orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return young.withColumn("_total", total).filter(F.col("_total") <= most).drop("_total")
+def prune(df: DataFrame, at: str, size: str, key: str, oldest: Column, most: int) -> DataFrame:
+    """What a cache keeps: entries not older than a time and, newest first, ties by ``key``, while their sizes fit.
+
+    Sums run within a day, on top of the sums of all later days, which are few rows; so
+    no task holds all entries.
+    """
+    young = df.filter(F.col(at) >= oldest).withColumn("_day", F.to_date(at))
+    days = young.groupBy("_day").agg(F.sum(size).alias("_n"))
+    later = days.select("_day", (F.sum("_n").over(Window.orderBy(F.col("_day").desc())) - F.col("_n")).alias("_later"))  # a row for each day
+    within = F.sum(size).over(Window.partitionBy("_day").orderBy(F.col(at).desc(), key).rowsBetween(Window.unboundedPreceding, 0))
+    return young.join(later, "_day").withColumn("_total", F.col("_later") + within).filter(F.col("_total") <= most).drop("_day", "_later", "_total")
+
+
+def keep_volumes(volumes: DataFrame, most: int) -> DataFrame:
+    """The last so many volumes by (month, volume), with all their rows."""
+    last = volumes.select("month", "volume").distinct().orderBy(F.col("month").desc(), F.col("volume").desc()).limit(most)
+    return volumes.join(last, ["month", "volume"], "left_semi")
+
+
+def demote(df: DataFrame, by: list[str], at: str, size: str, most: int, hard: int, importance: str = "importance") -> DataFrame:
+    """Adds ``evicted``: low rows, then normal ones, oldest first, go until the rest of the group fits; critical ones only while it is still over the hard limit."""
+    rank = F.array_position(F.array(*map(F.lit, ("low", "normal", "critical"))), F.col(importance))
+    order = Window.partitionBy(*by).orderBy(rank, at)
+    gone = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum(size).over(Window.partitionBy(*by)) - gone
+    return df.withColumn("evicted", F.when(F.col(importance) == "critical", left > hard).otherwise(left > most))
 
 
 def evict(df: DataFrame, by: list[str], rank: Column, at: str, size: str, most: int) -> DataFrame:
@@ -49,6 +70,40 @@ def evict(df: DataFrame, by: list[str], rank: Column, at: str, size: str, most:
     return df.withColumn("evicted", total - gone > most)
 
 
+def _matches(df: DataFrame, wanted: str, old: str) -> Column:
+    return F.col("id") == wanted if wanted else F.contains(F.col("content"), F.lit(old))
+
+
+def the_one(df: DataFrame, wanted: str = "", old: str = "") -> str:
+    """The id of the only entry with an id, or whose content holds a text; an error if there is none or more than one."""
+    if not wanted and not old:
+        raise ValueError("an id or a text must say which entry is meant")
+    found = [r["id"] for r in df.filter(_matches(df, wanted, old)).select("id").limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'no entry' if not found else 'several entries'} for {wanted or old!r}")
+    return found[0]
+
+
+def add_entry(df: DataFrame, entry: dict, limit: int) -> DataFrame:
+    """The entries and one more, whose content must be there and fit the limit in bytes."""
+    text = (entry.get("content") or "").strip()
+    if not text or len(text.encode()) > limit:
+        raise ValueError("an entry needs content of at most the limit")
+    return df.unionByName(df.sparkSession.createDataFrame([{c: entry.get(c) for c in df.columns}], df.schema))
+
+
+def replace_entry(df: DataFrame, changes: dict, wanted: str = "", old: str = "") -> DataFrame:
+    """The entries with some columns of the only one meant replaced."""
+    hit = F.col("id") == the_one(df, wanted, old)
+    return df.select(*((F.when(hit, F.lit(changes[c])).otherwise(F.col(c)).cast(t).alias(c) if c in changes else F.col(c)) for c, t in df.dtypes))
+
+
+def remove_entry(df: DataFrame, edges: DataFrame, wanted: str = "", old: str = "") -> dict[str, DataFrame]:
+    """``entries`` without the only one meant, ``edges`` that do not touch it, and its ``tombstone``."""
+    gone = the_one(df, wanted, old)
+    return {"entries": df.filter(F.col("id") != gone), "edges": edges.filter((F.col("src") != gone) & (F.col("dst") != gone)), "tombstone": df.filter(F.col("id") == gone).select("id", F.lit("remove").alias("reason"))}
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], update: list[str]) -> DataFrame:
     """Rows of ``changes`` replace the named columns where the key exists and are added where it does not."""
     t, c = table.alias("t"), changes.withColumn("_changed", F.lit(True)).alias("c")
@@ -106,6 +161,19 @@ def greedy_fill(lines: DataFrame, by: list[str], order: str, text: str, budget:
     return lines.join(kept, by).withColumn("shown", F.array_contains("_kept", F.col(order))).drop("_kept")
 
 
-def read_versions(paths: Iterator[str]) -> str | None:
-    """The newest of a store's versioned directories (v000001, v000002, ...)."""
-    return max(paths, default=None)
+
+def mentions(df: DataFrame, name: str, ref: str, n_refs: int = 6, most: int = 12) -> DataFrame:
+    """(name, mentions, refs): the names with most mentions, each with its first references.
+
+    References are first reduced to the smallest few of every part of the table, so a name
+    that a third of all rows mention is not sorted in one task.
+    """
+    parted = df.select(F.col(name).alias("name"), F.col(ref).alias("ref"), F.pmod(F.xxhash64(ref), F.lit(64)).alias("_part"))
+    few = parted.withColumn("_r", F.row_number().over(Window.partitionBy("name", "_part").orderBy("ref"))).filter(F.col("_r") <= n_refs)
+    refs = few.groupBy("name").agg(F.slice(F.array_sort(F.collect_list("ref")), 1, n_refs).alias("refs"))  # 64 times n_refs at most
+    return df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("mentions")).orderBy(F.col("mentions").desc(), "name").limit(most).join(refs, "name")
+
+
+def usage(df: DataFrame, target: str, text: str, delimiter_bytes: int = 4) -> DataFrame:
+    """(target, entries, bytes): entries of each target and what they take with a delimiter each."""
+    return df.groupBy(target).agg(F.count("*").alias("entries"), F.sum(F.octet_length(text) + delimiter_bytes).alias("bytes"))

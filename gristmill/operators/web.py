@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,6 +292,13 @@ def site_of(urls: DataFrame, url: str, sites: DataFrame) -> DataFrame:
     return urls.join(best, url, "left")
 
 
+def site_hits(hits: DataFrame, types: list[str]) -> DataFrame:
+    """(type, label, n, place): hits of each label, types in the catalogue's order and labels of a type by their hits."""
+    counts = hits.filter(F.col("type").isin(types)).groupBy("type", "label").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy(F.col("n").desc(), "label"))  # a row for each label
+    return counts.withColumn("place", place).orderBy(F.array_position(F.array(*map(F.lit, types)), F.col("type")), "place")
+
+
 def boilerplate_words(tag: Column) -> Column:
     """The predicate of boilerplate_tag as a column."""
     return F.regexp_replace(F.regexp_extract(tag, ATTRIBUTE, 1), "[\"']", " ").rlike(BOILERPLATE)

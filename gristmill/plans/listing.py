@@ -149,6 +149,14 @@ def store_import(spark, d):
     return packs.import_entries(docs.filter("id % 2 = 0"), docs, docs.filter("id % 11 = 0"))["report"]
 
 
-@query()
+_COUNT = "len(regexp_extract_all(text, '{}'))"
+_NARROW = layout.NARROW.replace("'", "''")
+_EM = f"{_COUNT.format(layout.FULL)} * 0.46 + {_COUNT.format(chr(92) + 't')} * 0.56 - {_COUNT.format(_NARROW)} * 0.26 + {_COUNT.format(layout.WIDE)} * 0.36 + {_COUNT.format('[A-HJ-LN-VX-Z]')} * 0.12 + {_COUNT.format('[0-9]')} * 0.02 - {_COUNT.format(chr(92) + 'n')} * 0.54 + length(text) * 0.54"
+
+
+@query(f"""
+SELECT doc_id, round({_EM}, 4) AS em, cast(length(text) + {_COUNT.format(layout.FULL + '|' + chr(92) + 't')} AS int) AS width,
+ replace(replace(regexp_replace(replace(text, chr(92), chr(92) || 'textbackslash{{}}'), '([&%$#_{{}}])', '\\\\\\1', 'g'), '~', chr(92) || 'textasciitilde{{}}'), '^', chr(92) || 'textasciicircum{{}}') AS latex FROM documents
+""")
 def layout_text(spark, d):
     return load(spark, d, "documents").select("doc_id", F.round(layout.estimate_em(F.col("text")), 4).alias("em"), layout.visual_width(F.col("text")).alias("width"), layout.escape_latex(F.col("text")).alias("latex"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, media, recall, store
@@ -90,7 +89,12 @@ def store_archived(spark, d):
     return store.newest(_events(spark, d), ["user_id"], [F.col("ts").desc(), F.col("event_id")], 5, keep=False).groupBy("user_id").agg(F.count("*").alias("archived"), F.min("event_id").alias("first"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT month, day, items, row_number() OVER (PARTITION BY month ORDER BY day) AS r FROM (SELECT strftime(ts, '%Y-%m') AS month, cast(ts AS date) AS day, count(*) AS items FROM events GROUP BY 1, 2)),
+v AS (SELECT month, day, items, r, 1 AS volume, items AS held FROM b WHERE r = 1
+ UNION ALL SELECT b.month, b.day, b.items, b.r, CASE WHEN v.held > 0 AND v.held + b.items > 200 THEN v.volume + 1 ELSE v.volume END, CASE WHEN v.held > 0 AND v.held + b.items > 200 THEN b.items ELSE v.held + b.items END FROM v JOIN b ON b.month = v.month AND b.r = v.r + 1)
+SELECT month, day, items, cast(volume AS int) AS volume FROM v
+""")
 def store_volumes(spark, d):
     blocks = _events(spark, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month"), F.to_date("ts").alias("day")).agg(F.count("*").alias("items"))
     return store.pack_volumes(blocks, "month", "day", "items")
@@ -109,9 +113,8 @@ def store_evict(spark, d):
 SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, o_orderdate, sum(1) OVER (ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01')) WHERE n <= 1000
 """)
 def store_prune(spark, d):
-    df = load(spark, d, "orders").select("o_orderkey", "o_orderdate", F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k")).alias("at"), F.lit(1).alias("size"))
-    young = df.filter(F.col("o_orderdate") >= F.lit("1995-06-01").cast("timestamp"))
-    return store.prune(young, "at", "size", F.lit(None), F.struct(F.lit("1900-01-01").cast("timestamp").alias("o_orderdate"), F.lit(0).cast("long").alias("k")), 1000).select("o_orderkey", "o_orderdate")
+    df = load(spark, d, "orders").select("o_orderkey", "o_orderdate", F.lit(1).alias("size"))
+    return store.prune(df, "o_orderdate", "size", "o_orderkey", F.lit("1995-06-01").cast("timestamp"), 1000).select("o_orderkey", "o_orderdate")
 
 
 @query("""
@@ -140,27 +143,35 @@ def store_dead_among(spark, d):
     return store.dead_among(load(spark, d, "orders").select(F.col("o_custkey").alias("id")), *live)
 
 
-@query()
+_PART = "sum(('0x' || substring(h, {a}, 12))::bigint)"
+
+
+@query(f"""
+SELECT sha1(concat_ws(':', count(*), {", ".join(_PART.format(a=1 + 12 * k) for k in range(3))})) AS fingerprint FROM (SELECT sha1(cast(to_json({{'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey}}) AS varchar)) AS h FROM customer)
+""")
 def store_fingerprint(spark, d):
     return store.fingerprint(load(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey"])
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT conv_id, turn, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+f AS (SELECT conv_id, turn, r, n <= 1500 AS shown, CASE WHEN n <= 1500 THEN n ELSE 0 END AS used FROM l WHERE r = 1
+ UNION ALL SELECT l.conv_id, l.turn, l.r, f.used + l.n <= 1500, CASE WHEN f.used + l.n <= 1500 THEN f.used + l.n ELSE f.used END FROM f JOIN l ON l.conv_id = f.conv_id AND l.r = f.r + 1)
+SELECT conv_id, turn, shown FROM f
+""")
 def store_greedy_fill(spark, d):
     return store.greedy_fill(load(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", 1500).select("conv_id", "turn", "shown")
 
 
 @query("SELECT source, count(*) AS entries, cast(sum(octet_length(encode(text)) + 4) AS bigint) AS bytes FROM documents GROUP BY 1")
 def store_usage(spark, d):
-    return load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("entries"), F.sum(F.octet_length("text") + 4).alias("bytes"))
+    return store.usage(load(spark, d, "documents"), "source", "text")
 
 
 @query("SELECT name, mentions, refs FROM (SELECT event_type AS name, count(*) AS mentions, list_slice(list(event_id ORDER BY event_id), 1, 6) AS r, array_to_string(list_slice(list(event_id ORDER BY event_id), 1, 6), ',') AS refs FROM events GROUP BY 1) ORDER BY mentions DESC, name LIMIT 12")
 def store_entities(spark, d):
     """The most mentioned names, each with its first six references."""
-    rows = _events(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
-    refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 6, F.col("event_id")))), lambda x: x.cast("string")), ",")
-    return rows.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("mentions"), refs.alias("refs")).orderBy(F.col("mentions").desc(), "name").limit(12)
+    return store.mentions(_events(spark, d), "event_type", "event_id").select("name", "mentions", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"))
 
 
 _EDGES = """

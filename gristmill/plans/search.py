@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunker, findings, search, web
+from ..operators import chunker, findings, kb, search, web
 from ..session import load
 
 QUERIES: dict = {}
@@ -51,12 +51,23 @@ def fn_template(spark, d):
     return load(spark, d, "benchmark").select("item_id", filled.alias("filled"), tx.escape_xml(F.col("text")).alias("escaped"))
 
 
-@query()
+@query("SELECT doc_id, substring(sha1('1200' || chr(0) || text), 1, 12) AS hash, 'kb:' || substring(sha1(chr(0) || source), 1, 12) AS source_id FROM documents")
 def fn_content_hash(spark, d):
-    return load(spark, d, "documents").select("doc_id", tx.content_hash(F.col("text"), "1200").alias("hash"))
+    return load(spark, d, "documents").select("doc_id", tx.content_hash(F.col("text"), "1200").alias("hash"), kb.doc_id(F.col("source")).alias("source_id"))
 
 
-@query()
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[{WS}]+', ' ', 'g'))"
+
+
+_SLUG = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '[\\\\/:*?\"<>|\\x00-\\x1f]', '-', 'g'), '[{WS}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"""
+SELECT doc_id, substring({_SLUG}, 1, 80) AS slug, CASE WHEN length(e) > 180 THEN left(e, 180) || '…' ELSE e END AS excerpt FROM (SELECT doc_id, text, CASE WHEN c = '' THEN {_squeezed('text')} ELSE c END AS e
+ FROM (SELECT doc_id, text, array_to_string(list_slice(CASE WHEN len(p) > 0 THEN p ELSE l END, 1, 2), ' ') AS c FROM (SELECT *, list_filter(l, lambda v: NOT contains(v, '](') AND NOT starts_with(v, '#') AND NOT regexp_matches(v, '^({tx.MENU})')) AS p
+  FROM (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda v: {_squeezed('v')}), lambda v: length(v) >= 20) AS l FROM documents))))
+""")
 def fn_slug_excerpt(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"), tx.excerpt(F.col("text")).alias("excerpt"))
 

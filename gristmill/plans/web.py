@@ -37,7 +37,7 @@ def page_meta(spark, d):
 
 
 _STEPS = [
-    (r"(?is)<a\b[^>]*>(.{0,900}?)</a\s*>", r" \1 "), (r"(?i)<h1\b[^>]*>", "\n\n# "), (r"(?i)<h2\b[^>]*>", "\n\n## "), (r"(?i)<h[3-6]\b[^>]*>", "\n\n### "),
+    (r"(?is)<a\b[^>]*>(.{0,1000}?)</a\s*>", r" \1 "), (r"(?i)<h1\b[^>]*>", "\n\n# "), (r"(?i)<h2\b[^>]*>", "\n\n## "), (r"(?i)<h[3-6]\b[^>]*>", "\n\n### "),
     (r"(?i)</(h[1-6]|p|div|section|article|main|blockquote|table|tr|ul|ol|dl|pre|figure)\s*>", "\n"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)<t[dh]\b[^>]*>", " | "), ("<[^>]*>", " "), ("(?i)&nbsp;", " "), ("(?i)&copy;", "©"), ("(?i)&middot;", "·"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&apos;", "''"), ("&#39;", "''"), ("(?i)&amp;", "&"),
 ]
 
@@ -118,9 +118,11 @@ def page_sites(spark, d):
     return pages.join(found, "url", "left").select("page_id", "label")
 
 
-@query(f"SELECT 'site ' || {_SITE} AS label, count(*) AS n FROM pages GROUP BY 1")
+@query(f"SELECT 't' || cast(length(label) % 2 AS varchar) AS type, label, n, row_number() OVER (PARTITION BY length(label) % 2 ORDER BY n DESC, label) AS place FROM (SELECT 'site ' || {_SITE} AS label, count(*) AS n FROM pages GROUP BY 1)")
 def page_site_histogram(spark, d):
-    return page_sites(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    """Hits of each site, by type in the catalogue's order and then by how many there are."""
+    hits = page_sites(spark, d).withColumn("type", F.concat(F.lit("t"), (F.length("label") % 2).cast("string")))
+    return web.site_hits(hits, ["t0", "t1"]).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""
@@ -132,7 +134,30 @@ def page_urls(spark, d):
     return _pages(spark, d).select("page_id", F.size(urls(F.col("html"))).cast("long").alias("n_urls"), F.col("html").rlike(r'(?i)class="[^"]*\bnav\b').alias("has_nav"))
 
 
-@query("SELECT sum(length(html)) AS input_chars, count(*) AS pages FROM pages")
+_PLAIN_CLEAN = _clean_sql(f"(SELECT page_id, html, {_plain_sql()} AS body FROM pages)", "page_id", "body")
+
+
+@query(f"SELECT page_id, text, dropped, deduped, paragraphs, length(html) AS input_chars, length(text) AS output_chars, floor(greatest(0, least(1, 1 - length(text) / length(html))) * 10000 + 0.5) / 10000 AS removed_ratio FROM ({_PLAIN_CLEAN}) JOIN pages USING (page_id)")
+def page_plain_mode(spark, d):
+    out = web.page_pipeline(_pages(spark, d), "page_id", "html", web.clean_options({"mode": "plain", "minLineChars": 12.7, "dedupeLines": "odd"}))
+    longs = [F.col(c).cast("long").alias(c) for c in ("dropped", "deduped", "paragraphs", "input_chars", "output_chars")]
+    return out.select("page_id", "text", *longs, "removed_ratio")
+
+
+@query(f"""
+SELECT count(*) AS pages, cast(sum(length(html)) AS bigint) AS input_chars, cast(sum(length(text)) AS bigint) AS output_chars, cast(sum(dropped) AS bigint) AS dropped, cast(sum(deduped) AS bigint) AS deduped, floor((1 - sum(length(text)) / sum(length(html))) * 1000 + 0.5) / 10 AS percent
+FROM ({_PLAIN_CLEAN}) JOIN pages USING (page_id)
+""")
 def page_report(spark, d):
-    """Totals of a cleaning run over all pages."""
-    return web.page_pipeline(_pages(spark, d), "page_id", "html").agg(F.sum("input_chars").alias("input_chars"), F.count("*").alias("pages"))
+    """What cleaning took out of all pages."""
+    return web.page_report(web.page_pipeline(_pages(spark, d), "page_id", "html", web.CleanOptions(mode="plain")))
+
+
+def _linked_sql() -> str:
+    pattern = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.{0,1000}?)</a\s*>""".replace("'", "''")
+    return _plain_sql().replace("html", f"regexp_replace(html, '{pattern}', '[\\2](\\1)', 'g')", 1)
+
+
+@query(f"SELECT page_id, {_linked_sql()} AS text FROM pages")
+def page_linked_text(spark, d):
+    return _pages(spark, d).select("page_id", web.linked_text(F.col("html")).alias("text"))
