@@ -27,7 +27,8 @@ def pairs_of(x: Column) -> Column:
 
 def search_tokens(x: Column) -> Column:
     """Lower-cased pieces between white space and , ; | /; runs of CJK characters as pairs, other runs whole."""
-    pieces = F.array_remove(F.split(F.lower(F.coalesce(x, F.lit(""))), rf"[{SPACE},，、;；|/]+"), "")
+    # Looking for a letter first spares most characters the test against the whole class.
+    pieces = F.array_remove(F.split(F.lower(F.coalesce(x, F.lit(""))), rf"(?![a-z0-9])[{SPACE},，、;；|/]+"), "")
     runs = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0))))
     parted = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]{{2,}}$"), pairs_of(r)).otherwise(F.array(r))))
     return F.when(x.rlike(f"[{CJK}]"), parted).otherwise(pieces)

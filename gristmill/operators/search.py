@@ -22,8 +22,10 @@ def term_counts(docs: DataFrame, key: str, columns: dict[str, str], terms: list[
     Frequencies are counted inside each row's token array, so nothing is exploded.
     """
     tokens = docs.select(key, *(search_tokens(F.col(c)).alias(f"_{name}") for name, c in columns.items()))
+    hits = lambda name: F.filter(f"_{name}", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+    tokens = tokens.select(key, *(x for name in columns for x in (F.size(f"_{name}").alias(f"{name}_dl"), hits(name).alias(f"_{name}"))))
     count = lambda name, t: F.size(f"_{name}") - F.size(F.array_remove(f"_{name}", t))
-    return tokens.select(key, *(x for name in columns for x in (F.size(f"_{name}").alias(f"{name}_dl"), *(count(name, t).alias(f"{name}_tf{k}") for k, t in enumerate(terms)))))
+    return tokens.select(key, *(x for name in columns for x in (f"{name}_dl", *(count(name, t).alias(f"{name}_tf{k}") for k, t in enumerate(terms)))))
 
 
 def scores(counted: DataFrame, key: str, names: list[str], n_terms: int, k1: float = K1, b: float = B) -> DataFrame:

@@ -357,3 +357,31 @@ def values_display(spark, d):
     number = F.when(k.isin(3, 5), F.floor(x).cast("double")).otherwise(x)
     code = F.get(F.array(*map(F.lit, ["0.00", "#,##0.00", "0%", "#,##0", "yyyy-mm-dd", "0"])), k.cast("int"))
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", layout.display_number(number, code).alias("shown"))
+
+
+# --- provider payloads ------------------------------------------------------------------------
+
+_FORMS = {
+    "tavily": '{"results":[{"url":"<at>","title":"T","content":"S"},{"title":"no address"},{"url":"<at>","title":"again"}]}', "brave": '{"web":{"results":[{"url":"<at>","title":"T","description":"S","age":"D"}]}}',
+    "bocha": '{"data":{"webPages":{"value":[{"siteUrl":"<at>","name":"T","summary":"S","dateLastCrawled":"D"}]}}}', "exa": '{"results":[{"url":"<at>","title":"T","highlights":["S"],"publishedDate":"D"}]}',
+    "serper": '{"organic":[{"link":"<at>","title":"T","snippet":"S","date":"D"}]}', "searxng": '{"results":[{"url":"<at>","title":"T","content":"S","publishedDate":"D"}]}', "openai": '{"choices":[{"message":{"content":"see [T](<at>) ok"}}]}',
+    "anthropic": '{"content":[{"type":"text","citations":[{"url":"<at>","cited_text":"S"}]},{"type":"web_search_tool_result","content":[{"type":"web_search_result","url":"<at>","title":"T","page_age":"D"}]}]}',
+}
+
+
+@query("SELECT page_id, family, url, 'T' AS title, CASE WHEN family <> 'openai' THEN 'S' END AS snippet, CASE WHEN family NOT IN ('tavily', 'openai') THEN 'D' END AS published_at FROM pages, (SELECT unnest(" + str(sorted(_FORMS)) + ") AS family)")
+def source_providers(spark, d):
+    pages, out = load(spark, d, "pages"), None
+    for family, form in sorted(_FORMS.items()):
+        rows = stores.provider_sources(pages.select("page_id", F.replace(F.lit(form), F.lit("<at>"), F.col("url")).alias("payload")), "page_id", "payload", family).withColumn("family", F.lit(family))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("page_id", "family", "url", "title", "snippet", "published_at")
+
+
+@query("SELECT page_id, 0 AS ord, url, 'first & title' AS title, 'one' AS snippet FROM pages UNION ALL SELECT page_id, 1, 'https://b.org/' || cast(page_id AS varchar), 'second', NULL FROM pages")
+def source_result_links(spark, d):
+    a = '<a rel="x" class="big result__a" href="//redirect.example/l/?uddg={}&amp;z=1"><b>first</b> &amp; title</a><a class="result__snippet" href="y">one</a>'
+    b = '<a class="result__a" href="//b.org/{}">second</a>'
+    head, tail = a.split("{}"), b.split("{}")
+    html = F.concat(F.lit(head[0]), F.url_encode("url"), F.lit(head[1]), F.lit(tail[0]), F.col("page_id").cast("string"), F.lit(tail[1]))
+    return stores.result_links(load(spark, d, "pages").select("page_id", html.alias("html")), "page_id", "html")

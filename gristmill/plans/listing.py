@@ -77,10 +77,10 @@ def list_grouped_sites(spark, d):
 
 @query(f"""
 WITH s AS (SELECT domain, row_number() OVER (ORDER BY ordinal) - 1 AS k, count(*) OVER () AS n FROM {_SITES} WHERE enabled)
-SELECT item_id, 'site:' || domain || ' ' || left(text, 10) AS query FROM benchmark JOIN s ON item_id % n = k
+SELECT item_id, 'site:' || domain || ' ' || text AS query FROM benchmark JOIN s ON item_id % n = k
 """)
 def list_assigned_sites(spark, d):
-    queries = load(spark, d, "benchmark").select("item_id", F.substring("text", 1, 10).alias("query"))
+    queries = load(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
     return listing.assign_sites(queries, "item_id", _sites(spark, d).filter("enabled")).select("item_id", "query")
 
 
@@ -92,11 +92,11 @@ def list_hits_first(spark, d):
 
 @query("""
 SELECT doc_id, CASE WHEN contains(text, 'the ') AND NOT contains(text, ' que ') AND NOT contains(text, ' und ') THEN 'en' WHEN contains(text, ' que ') AND NOT contains(text, 'the ') AND NOT contains(text, ' und ') THEN 'fr'
- WHEN contains(text, ' und ') AND NOT contains(text, 'the ') AND NOT contains(text, ' que ') THEN 'de' ELSE 'mixed' END AS type, 'about ' || trim(left(trim(text), 5)) || ';' || 'x' AS queries FROM documents
+ WHEN contains(text, ' und ') AND NOT contains(text, 'the ') AND NOT contains(text, ' que ') THEN 'de' ELSE 'mixed' END AS type, 'about ' || trim(text, ' ') || ';' || 'x' AS queries FROM documents
 """)
 def list_content_type(spark, d):
     kinds = {"en": ["the "], "fr": [" que "], "de": [" und "]}
-    queries = listing.materialised(F.array(*map(F.lit, ["about {topic}", "x", " x ", ""])), F.substring(F.trim("text"), 1, 5))
+    queries = listing.materialised(F.array(*map(F.lit, ["about {topic}", "x", " x ", ""])), F.col("text"))
     return load(spark, d, "documents").select("doc_id", listing.content_type(F.col("text"), kinds).alias("type"), F.array_join(queries, ";").alias("queries"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunker, findings, kb, search, web
-from ..session import load
+from ..session import load, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,9 +45,9 @@ def fn_text(spark, d):
     )
 
 
-@query("SELECT item_id, 'Item ' || cast(item_id AS varchar) || ': ' || left(text, 20) AS filled, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM benchmark")
+@query("SELECT item_id, 'Item ' || cast(item_id AS varchar) || ': ' || text AS filled, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM benchmark")
 def fn_template(spark, d):
-    filled = tx.substitute(F.lit("Item {{id}}: {{text}}"), {"id": F.col("item_id"), "text": F.substring("text", 1, 20)})
+    filled = tx.substitute(F.lit("Item {{id}}: {{text}}"), {"id": F.col("item_id"), "text": F.col("text")})
     return load(spark, d, "benchmark").select("item_id", filled.alias("filled"), tx.escape_xml(F.col("text")).alias("escaped"))
 
 
@@ -86,12 +86,12 @@ def _bm25_sql(table: str, key: str, column: str, terms: list[str], s: str = "")
 
 @query("WITH " + _bm25_sql("documents", "doc_id", "text", TERMS) + " SELECT id AS doc_id, round(score, 6) AS score FROM bm")
 def search_bm25(spark, d):
-    return search.bm25(load(spark, d, "documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(spread(load(spark, d, "documents")), "doc_id", "text", TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH " + _bm25_sql("documents", "doc_id", "text", TERMS) + " SELECT id AS doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, id LIMIT 8")
 def search_top_k(spark, d):
-    scored = search.bm25(load(spark, d, "documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    scored = search.bm25(spread(load(spark, d, "documents")), "doc_id", "text", TERMS).select("doc_id", F.round("score", 6).alias("score"))
     return search.top_k(scored, "doc_id")
 
 
@@ -103,7 +103,7 @@ _HEAD = ["src1", "en", "de"]
     + " SELECT a.id AS doc_id, round(0.75 * a.score / (SELECT max(score) FROM bm) + 0.25 * b.score / (SELECT max(score) FROM bm2), 6) AS score FROM bm a JOIN bm2 b USING (id) WHERE a.score > 0 OR b.score > 0"
 )
 def search_two_routes(spark, d):
-    docs = load(spark, d, "documents").withColumn("head", F.concat_ws(" ", "source", "lang"))
+    docs = spread(load(spark, d, "documents")).withColumn("head", F.concat_ws(" ", "source", "lang"))
     return search.two_routes(docs, "doc_id", "text", "head", TERMS + _HEAD).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -133,7 +133,7 @@ def search_find_lines(spark, d):
 
 @query()
 def search_chunks(spark, d):
-    return chunker.chunks(load(spark, d, "documents"), "doc_id", "text")
+    return chunker.chunks(spread(load(spark, d, "documents")), "doc_id", "text")
 
 
 _CLAIMS = """

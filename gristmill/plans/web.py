@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import web
-from ..session import load
+from ..session import load, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def _pages(spark, d):
-    return load(spark, d, "pages")
+    return spread(load(spark, d, "pages"))
 
 
 def _pick(p: str) -> str:
@@ -70,7 +70,7 @@ SELECT {key}, (SELECT count(*) FROM f WHERE f.{key} = g.{key} AND bad) AS droppe
 
 @query(_clean_sql("documents", "doc_id", "text"))
 def document_lines_clean(spark, d):
-    out = web.clean_lines(load(spark, d, "documents"), "doc_id", "text").filter("dropped + deduped + paragraphs > 0 OR text = ''")
+    out = web.clean_lines(spread(load(spark, d, "documents")), "doc_id", "text").filter("dropped + deduped + paragraphs > 0 OR text = ''")
     return out.select("doc_id", F.col("dropped").cast("long").alias("dropped"), F.col("deduped").cast("long").alias("deduped"), F.col("paragraphs").cast("long").alias("paragraphs"), "text")
 
 

@@ -25,3 +25,9 @@ def get_spark(app: str = "gristmill", cores: str | int = "*", **conf: str) -> Sp
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, dealt out over all cores if its files give fewer tasks than there are; one of many files is left alone."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table.rdd.getNumPartitions() < n else table

@@ -179,16 +179,80 @@ def test_packages(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(_xlsx())
     (tmp_path / "bad.xlsx").write_bytes(b"PK\x03\x04 not a package")
     cells = packages.read(spark, str(tmp_path), "xlsx")
+    assert [r["path"].rpartition("/")[2] for r in cells.filter("error IS NOT NULL").collect()] == ["bad.xlsx"]
+    cells = cells.filter("error IS NULL")
     assert sorted((r["row"], r["col"], r["kind"], r["text"], r["num"], r["bool"], r["formula"]) for r in cells.collect()) == [
         (1, 1, "text", "name", None, None, None), (1, 2, "number", None, 2.0, None, "1+1"), (2, 3, "error", "#REF!", None, None, None), (2, 4, "text", "in", None, None, None), (2, 27, "bool", None, None, True, None)
     ]
     info = packages.archive_info(packages.zip_entries(packages.files(spark, str(tmp_path)))).collect()
-    assert [r["n_entries"] for r in info] == [4]
+    assert sorted((r["n_entries"], r["text_entries"]) for r in info) == [(0, 0), (4, 3)]
+    assert {(r["path"].rpartition("/")[2], r["error"]) for r in packages.zip_entries(packages.files(spark, str(tmp_path), "a.xlsx", 10)).collect()} == {("a.xlsx", "over 10 bytes")}
+    table = packages.sheet_table(cells, 2).orderBy("row").collect()
+    assert [(r["row"], r["c1"], r["c2"]) for r in table] == [(1, "name", "2"), (2, None, None)]
+    data = {r["entry"]: r["error"] for r in packages.zip_contents(packages.files(spark, str(tmp_path), "a.xlsx"), 60).collect()}
+    assert data["xl/sharedStrings.xml"] is None and data["xl/worksheets/sheet1.xml"] == "over 60 bytes"
     assert {r[0] for r in packages.files(spark, str(tmp_path)).select(packages.sniff(F.col("content"))).collect()} == {"zip"}
     with pytest.raises(ValueError):
         packages.read(spark, str(tmp_path), "exe")
 
 
+def _package(entries) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in entries.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_documents_and_decks(spark, tmp_path):
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>said </w:t></w:r><w:r><w:t>so</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    (tmp_path / "d.docx").write_bytes(_package({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'}))
+    rows = packages.read(spark, str(tmp_path), "docx")
+    assert [(r["n"], r["kind"], r["level"], r["text"]) for r in rows.orderBy("n").collect()] == [(0, "heading", 1, "Top"), (1, "paragraph", None, "said so"), (2, "table", None, "a | b")]
+    assert tuple(packages.document_stats(rows).select("headings", "paragraphs", "tables", "chars").first()) == (1, 1, 1, 15)
+    shape = lambda t: f'<s xmlns:a="a"><a:sp><a:t>{t}</a:t></a:sp></s>'
+    rels = '<Relationships><Relationship Target="../notesSlides/notesSlide1.xml"/><Relationship Target="../media/image1.png"/></Relationships>'
+    (tmp_path / "s.pptx").write_bytes(_package({"ppt/slides/slide2.xml": shape("two"), "ppt/slides/slide1.xml": shape("one"), "ppt/slides/_rels/slide1.xml.rels": rels, "ppt/notesSlides/notesSlide1.xml": shape("note")}))
+    assert [tuple(r)[1:6] for r in packages.read(spark, str(tmp_path), "pptx").orderBy("slide").collect()] == [(1, 1, "one", "note", ["ppt/media/image1.png"]), (2, 1, "two", "", [])]
+
+
+def test_tex_projects(spark, tmp_path):
+    (tmp_path / "ch").mkdir()
+    (tmp_path / "main.tex").write_text("\\documentclass{book}\n\\chapter{One} % \\chapter{no}\n\\input{ch/two}\n\\include{none}\n\\input{main}")
+    (tmp_path / "ch" / "two.tex").write_text("\\section{S}\n\\cite{a, b}\\citep[p.~3]{a}\n\\begin{align}x\\end{align}\n\\input{three.tex}")
+    (tmp_path / "ch" / "three.tex").write_text("\\section*{T}\\begin{figure}\\end{figure}")
+    row = packages.tex_texts(packages.files(spark, f"{tmp_path}/*.tex").unionByName(packages.files(spark, f"{tmp_path}/ch/*.tex"))).collect()
+    assert [(r["n_files"], r["missing"], r["chapters"], r["sections"], r["figures"], r["equations"], r["citations"], r["citation_keys"]) for r in row] == [(3, ["none.tex"], 1, 2, 1, 1, 3, 2)]
+
+
+def test_windows_images_and_pdf(spark, tmp_path):
+    import gzip
+    import struct
+
+    import zstandard
+
+    (tmp_path / "a.gz").write_bytes(gzip.compress("数据 text".encode()))
+    (tmp_path / "b.zst").write_bytes(zstandard.ZstdCompressor().compress(b"0123456789"))
+    (tmp_path / "c.gz").write_bytes(b"\x1f\x8bbroken")
+    rows = {r["path"].rpartition("/")[2]: (r["text"], r["next_offset"], r["error"] is None) for r in packages.text_windows(packages.files(spark, str(tmp_path)), 1, 4).collect()}
+    assert rows == {"a.gz": ("据 te", 5, True), "b.zst": ("1234", 5, True), "c.gz": (None, None, False)}
+    images = tmp_path / "images"
+    images.mkdir()
+    (images / "p").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 30, 20))
+    (images / "j").write_bytes(b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"xx" + b"\xff\xc0" + struct.pack(">HBHH", 8, 8, 7, 9))
+    (images / "w").write_bytes(b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (4).to_bytes(3, "little") + (5).to_bytes(3, "little"))
+    (images / "n").write_bytes(b"none")
+    facts = {r["path"].rpartition("/")[2]: (r["mime"], r["width"], r["height"]) for r in packages.image_facts(packages.files(spark, str(images))).collect()}
+    assert facts == {"p": ("image/png", 30, 20), "j": ("image/jpeg", 9, 7), "w": ("image/webp", 5, 6), "n": (None, None, None)}
+    (tmp_path / "x.pdf").write_bytes(b"%PDF /Type /Page /Type /Pages /Type /Font /Subtype /Image")
+    assert tuple(packages.read(spark, str(tmp_path), "pdf").select("pages", "fonts", "images", "encrypted").first()) == (1, 1, 1, False)
+
+
+def test_archive_items(spark):
+    digests = spark.createDataFrame([("2024-01", 1, [("b1", "t", "full", ["i1", "i2"]), ("b2", "t", "old", [])])], "month string, volume int, blocks array<struct<id:string,at:string,reason:string,items:array<string>>>")
+    assert sorted((r["block_id"], r["item"] or "") for r in stores.archive_items(digests).collect()) == [("b1", "i1"), ("b1", "i2"), ("b2", "")]
+
+
 def test_stores(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"id":"1","purpose":"x"}\nnot json\n{"id":"2"}\n')
     assert stores.json_lines(spark, str(tmp_path / "l.jsonl"), stores.LEDGER).count() == 2
@@ -196,7 +260,7 @@ def test_stores(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"version":1,"entries":[{"id":"1","content":"c","importance":"odd"},{"id":"2","content":" "}]}')
     assert [(r["id"], r["importance"]) for r in stores.hot_entries(spark, str(tmp_path / "s.json")).collect()] == [("1", "normal")]
     df = spark.createDataFrame([(1, '{"organic":[{"link":"u","title":"t"},{"link":"u","title":"later"},{"title":"none"}]}')], "k int, p string")
-    assert [(r["url"], r["title"]) for r in stores.provider_sources(df, "k", "p", "organic").collect()] == [("u", "t")]
+    assert [(r["url"], r["title"]) for r in stores.provider_sources(df, "k", "p", "serper").collect()] == [("u", "t")]
 
 
 def test_ledger_stream(spark, tmp_path):
@@ -209,3 +273,39 @@ def test_ledger_stream(spark, tmp_path):
         ledger.append_ledger(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     assert {r["id"] for r in ledger.retained(spark, str(tmp_path / "out"), [], "at", 2).collect()} == {"3", "4"}
+
+
+def test_entries(spark):
+    entries = spark.createDataFrame([("a", "first words", "low"), ("b", "other words", "low")], "id string, content string, importance string")
+    assert {r["id"]: r["content"] for r in store.replace_entry(entries, {"content": "new"}, old="first").collect()} == {"a": "new", "b": "other words"}
+    for wanted, old in (("", "words"), ("", "absent"), ("c", ""), ("", "")):
+        with pytest.raises(ValueError):
+            store.the_one(entries, wanted, old)
+    with pytest.raises(ValueError):
+        store.add_entry(entries, {"id": "c", "content": "x" * 11}, 10)
+
+
+def test_long_chain_of_claims(spark):
+    pairs = spark.createDataFrame([(k, k + 1, 1.0) for k in range(200)], "a long, b long, similarity double")
+    rows = findings.clusters(spark.range(202), "id", pairs).collect()
+    assert {r["id"]: r["cluster"] for r in rows} == {k: 0 if k < 201 else 201 for k in range(202)}
+
+
+def test_knowledge_base_folder(spark, tmp_path):
+    import hashlib
+    import json
+
+    from gristmill.operators import kb
+
+    digest = lambda t: hashlib.sha1(f"\0{t}".encode()).hexdigest()[:12]
+    (tmp_path / "chunks" / "h1").mkdir(parents=True)
+    (tmp_path / "manifest.jsonl").write_text(json.dumps({"id": "kb:1", "path": "a.md", "hash": "h1", "chunks": 3, "tier": "VERIFIED", "at": "2024-01-02T03"}) + "\nnot json\n" + json.dumps({"id": "", "hash": "x"}) + "\n")
+    for n, text, mark in ((1, "tea and water", None), (2, "changed", "bad")):
+        (tmp_path / "chunks" / "h1" / f"{n}.json").write_text(json.dumps({"id": f"kb:h1:{n}", "n": n, "text": text, "outline": "top", "hash": mark or digest(text)}))
+    manifest, chunks = kb.load(spark, str(tmp_path))
+    assert [(r["chunks"], r["found"], r["missing"]) for r in kb.missing(manifest, chunks).collect()] == [(3, 1, 2)]
+    hits, summary = kb.find(manifest, chunks, "water", tier="verified")
+    assert [(r["chunk_id"], r["header"], r["preview"]) for r in hits.collect()] == [("kb:h1:1", "top · 来源 a.md · 2024-01-02", "tea and water")]
+    assert summary.first()["reason"] == "hits" and kb.find(manifest, chunks, "water", tier="user")[1].first()["reason"] == "filter-empty"
+    with pytest.raises(ValueError):
+        kb.find(manifest, chunks, "water", tier="verifed")
