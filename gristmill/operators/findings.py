@@ -112,6 +112,23 @@ def clusters(claims: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return claims.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
+def cluster_claims(claims: DataFrame, key: str, text: str, least: float = LIKE, within: str | None = None) -> DataFrame:
+    """(key, cluster) of claims by likeness, all or within one value of a column.
+
+    Claims of the same tokens are one by a plain aggregation, so that many copies cost a
+    row each; only one of them meets the others.
+    """
+    spark = claims.sparkSession
+    tokens = F.array_sort(claim_tokens(F.col(text)))
+    rows = claims.select(key, *([within] if within else []), text, F.sha2(F.to_json(F.struct(tokens, *([within] if within else []))), 256).alias("_same"), (F.size(tokens) == 0).alias("_none"))
+    rows = Scratch(spark, "claims").table(rows, "rows")
+    first = rows.filter("NOT _none").groupBy("_same").agg(F.min(key).alias("_rep"))
+    reps = rows.join(first.select(F.col("_rep").alias(key)), key, "left_semi")
+    found = clusters(first.select(F.col("_rep").alias(key)), key, like_pairs(reps, key, text, least, within)).withColumnsRenamed({key: "_rep"})
+    same = rows.filter("NOT _none").select(key, "_same").join(first, "_same").join(found, "_rep").select(key, "cluster")
+    return same.unionByName(rows.filter("_none").select(key, F.col(key).alias("cluster")))
+
+
 def corroborated(members: DataFrame, cluster: str, host_column: str) -> DataFrame:
     """(cluster, size, hosts, verified): verified if two hosts or more say it."""
     return members.groupBy(cluster).agg(F.count("*").alias("size"), F.count_distinct(host_column).alias("hosts")).withColumn("verified", F.col("hosts") >= 2)
@@ -122,8 +139,7 @@ def clustered(findings: DataFrame, key: str, least: float = LIKE) -> DataFrame:
     spark = findings.sparkSession
     rows = findings.withColumn("claim_id", F.concat_ws(":", F.col(key).cast("string"), F.lpad(F.col("line").cast("string"), 12, "0")))
     rows = Scratch(spark, "findings").table(rows, "claims")
-    found = clusters(rows, "claim_id", like_pairs(rows, "claim_id", "claim", least, key))
-    rows = rows.join(found, "claim_id")
+    rows = rows.join(cluster_claims(rows, "claim_id", "claim", least, key), "claim_id")
     hosts = rows.select("cluster", F.explode("hosts").alias("h")).groupBy("cluster").agg(F.count_distinct("h").alias("cluster_hosts"))
     return rows.join(hosts, "cluster", "left").withColumn("cluster_hosts", F.coalesce("cluster_hosts", F.lit(0))).withColumn("verified", F.col("cluster_hosts") >= 2)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import domain
+from ..scratch import Scratch
 from .recall import recency
 from .search import TIERS
 
@@ -35,11 +36,11 @@ def recent_blocks(df: DataFrame, origin: str, block: str, at: str, n: int = 20)
 
 
 def browse(layers: dict[str, tuple[DataFrame, int]], at: str, key: str) -> DataFrame:
-    """All layers, each cut to its own number of newest rows, newest first within."""
+    """All layers, each cut to its own number of newest rows, newest first within; the limits are the listing's purpose."""
     out = None
     for name, (df, most) in layers.items():
-        rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.col(at).desc(), F.col(key)))
-        part = df.withColumn("layer", F.lit(name)).withColumn("place", rank).filter(F.col("place") <= most)
+        newest = df.orderBy(F.col(at).desc(), F.col(key)).limit(most).withColumn("layer", F.lit(name))
+        part = newest.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy(F.col(at).desc(), F.col(key))))  # at most ``most`` rows
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -80,9 +81,22 @@ def assign_sites(queries: DataFrame, ordinal: str, sites: DataFrame) -> DataFram
     return queries.crossJoin(F.broadcast(every)).withColumn("_k", F.pmod(F.col(ordinal), F.col("_n")).cast("int")).join(numbered.select("_k", "domain"), "_k").withColumn("query", F.concat(F.lit("site:"), "domain", F.lit(" "), "query")).drop("_k", "_n")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in the order of some columns, from 1.
+
+    Rows are dealt out by ranges and numbered within each; the sizes of the ranges, a row
+    for each, say where a range begins.  So no task sees all rows.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    dealt = Scratch(df.sparkSession, "numbered").table(dealt, "rows").withColumn("_part", F.shiftright("_id", 33))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    return dealt.join(F.broadcast(begins), "_part").withColumn(name, F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).drop("_id", "_part", "_before")
+
+
 def listed_first(df: DataFrame, hit: str, ordinal: str) -> DataFrame:
     """Adds ``place``: rows with a hit first, both kinds in their order."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.col(hit).isNull(), ordinal)))
+    return numbered(df.withColumn("_none", F.col(hit).isNull()), ["_none", ordinal], "place").drop("_none")
 
 
 def grouped_sites(sites: DataFrame, types: list[str]) -> DataFrame:

@@ -106,16 +106,21 @@ def quality_tiers(df: DataFrame, by: list[str], order: list[Column], score: str,
 
 
 def admit(df: DataFrame, by: list[str], order: list[Column], text: str, most_results: int, item_chars: int, total_chars: int) -> DataFrame:
-    """Rows within a budget of characters: repeats (up to white space) left out, each text cut, the last to what remains."""
-    digest = F.sha1(squeeze(F.col(text)))
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    rows = df.withColumn("_ord", F.row_number().over(w)).filter(F.length(text) > 0)
-    rows = rows.withColumn("_seen", F.row_number().over(Window.partitionBy(*by, digest).orderBy("_ord"))).filter("_seen = 1")
-    size = F.least(F.length(text), F.lit(item_chars))
-    w2 = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_ord")
-    rows = rows.withColumn("_used", F.coalesce(F.sum(size).over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(w2))
-    rows = rows.filter((F.col("_used") < total_chars) & (F.col("place") <= most_results))
-    room = F.least(F.lit(item_chars), F.lit(total_chars) - F.col("_used"))
-    cut = F.when(F.length(text) > room, F.concat(F.expr(f"left(`{text}`, cast(least({item_chars}, {total_chars} - _used) as int) - 1)"), F.lit("…"))).otherwise(F.col(text))
-    return rows.withColumn("admitted", cut).withColumn("truncated", F.length(text) > room).drop("_ord", "_seen", "_used")
+    """Rows within a budget of characters: repeats (up to white space) left out, each text cut, the last to what remains.
 
+    ``order`` tells rows of a group apart.  The first of each text and then the first
+    ``most_results`` of a group are picked under a limit that Spark applies before it
+    shuffles, so a group of any size comes down to a few rows; and what is carried there is
+    the text's beginning, unless the caller selects the text itself.
+    """
+    digest = F.sha1(squeeze(F.col(text)))
+    rows = df.filter(F.length(text) > 0).withColumns({"_digest": digest, "_chars": F.length(text), "_head": F.substring(text, 1, item_chars)})
+    first = Window.partitionBy(*by, "_digest").orderBy(*order)
+    rows = rows.withColumn("_seen", F.row_number().over(first)).filter("_seen = 1")
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
+    rows = rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most_results)
+    so_far = F.sum(F.least("_chars", F.lit(item_chars))).over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_used", F.coalesce(so_far, F.lit(0))).filter(F.col("_used") < total_chars)
+    room = F.least(F.lit(item_chars), F.lit(total_chars) - F.col("_used")).cast("int")
+    cut = F.when(F.col("_chars") > room, F.concat(F.substring(F.col("_head"), F.lit(1), room - 1), F.lit("…"))).otherwise(F.col("_head"))
+    return rows.withColumn("admitted", cut).withColumn("truncated", F.col("_chars") > room).drop("_digest", "_chars", "_head", "_seen", "_used")

@@ -157,8 +157,7 @@ WITH RECURSIVE pairs AS ({_ALIKE}), ways AS (SELECT a, b FROM pairs UNION SELECT
 SELECT item_id, min(other) AS cluster FROM reach GROUP BY 1
 """)
 def findings_clusters(spark, d):
-    items = load(spark, d, "benchmark")
-    return findings.clusters(items, "item_id", findings.like_pairs(items, "item_id", "text", 0.2))
+    return findings.cluster_claims(load(spark, d, "benchmark"), "item_id", "text", 0.2)
 
 
 @query()
