@@ -21,6 +21,33 @@ def estimate_em(x: Column) -> Column:
     return sum(parts, F.length(F.regexp_replace(rest, "\n", "")) * 0.54)
 
 
+#: What a line can break between: Latin words whole, runs of white space, any other character alone.  (Fixed value.)
+WRAP_TOKEN = r"[A-Za-z0-9@%._#+\-/]+|\s+|[^\s]"
+
+
+def wrapped(x: Column, width_pt: float, size_pt: float = 11.0) -> Column:
+    """The lines of a text that is broken where the next token would exceed a width; no white space at a line's end or a broken line's start.
+
+    A fold over the tokens of each line, whose widths are estimated once.
+    """
+    limit = max(size_pt * 0.6, width_pt)
+    state = "struct<done:array<string>,line:string,width:double>"
+
+    def one(raw: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(raw, F.lit(WRAP_TOKEN), F.lit(0)), lambda t: F.struct(t.alias("t"), (estimate_em(t) * size_pt).alias("w")))
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(0.0).alias("width")).cast(state)
+
+        def step(a: Column, t: Column) -> Column:
+            full = (a["width"] + t["w"] > limit) & (F.trim(F.regexp_replace(a["line"], r"\s", " ")) != "")
+            head = F.regexp_replace(t["t"], r"^\s+", "")
+            broken = F.struct(F.concat(a["done"], F.array(F.regexp_replace(a["line"], r"\s+$", ""))).alias("done"), head.alias("line"), F.when(head == "", 0.0).otherwise(t["w"]).alias("width"))
+            return F.when(full, broken.cast(state)).otherwise(F.struct(a["done"].alias("done"), F.concat(a["line"], t["t"]).alias("line"), (a["width"] + t["w"]).alias("width")).cast(state))
+
+        return F.aggregate(tokens, start, step, lambda a: F.concat(a["done"], F.array(F.regexp_replace(a["line"], r"\s+$", ""))))
+
+    return F.flatten(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), one))
+
+
 def visual_width(x: Column) -> Column:
     """Characters, those of an em or nearly one twice."""
     return F.length(x) + F.regexp_count(x, F.lit(rf"{FULL}|\t"))

@@ -168,3 +168,33 @@ def replace_counted(x: Column, find: str, put: str) -> tuple[Column, Column]:
     """(text with every occurrence replaced, how many there were)."""
     new = F.replace(x, F.lit(find), F.lit(put))
     return new, ((F.length(x) - F.length(F.replace(x, F.lit(find), F.lit("")))) / len(find)).cast("long")
+
+
+def edited(x: Column, edits: list[dict]) -> Column:
+    """struct(text, applied, missing) after literal replacements {find, replace, all} in turn: all occurrences or, for ``all`` False, the first.
+
+    ``applied`` holds each text found, with how often it was replaced; one that is nowhere, or is empty, is in ``missing``.
+    """
+    applied, missing = [], []
+    for edit in edits:
+        find, put = edit.get("find") or "", F.lit(edit.get("replace") or "")
+        if not find:
+            missing.append(F.lit(find))
+            continue
+        at = F.instr(x, find)
+        if edit.get("all") is False:
+            new, said = F.when(at > 0, F.overlay(x, put, at, F.lit(len(find)))).otherwise(x), F.lit(find)
+        else:
+            new, n = replace_counted(x, find, edit.get("replace") or "")
+            said = F.concat(F.lit(f"{find} ×"), n.cast("string"))
+        applied.append(F.when(at > 0, said))
+        missing.append(F.when(at == 0, F.lit(find)))
+        x = new
+    some = lambda xs: F.filter(F.array(*xs), lambda v: v.isNotNull()) if xs else F.array().cast("array<string>")
+    return F.struct(x.alias("text"), some(applied).alias("applied"), some(missing).alias("missing"))
+
+
+def unescape_xml(x: Column) -> Column:
+    for char, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return x

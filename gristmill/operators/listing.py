@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import domain
 from ..scratch import Scratch
+from .graph import dangling
 from .recall import recency
 from .search import TIERS
 
@@ -138,6 +139,13 @@ def status(stores: dict[str, DataFrame], size: str) -> DataFrame:
     return out
 
 
+def status_report(stores: dict[str, DataFrame], size: str, edges: DataFrame, live: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(store, rows, bytes) of each store, and how many links dangle and how many ids are known to be dead."""
+    none = F.lit(0).cast("long").alias("bytes")
+    more = dangling(edges, live).agg(F.lit("dangling").alias("store"), F.count("*").alias("rows"), none).unionByName(tombstones.select("id").distinct().agg(F.lit("tombstones").alias("store"), F.count("*").alias("rows"), none))
+    return status(stores, size).unionByName(more)
+
+
 def live_ids(entries: DataFrame, documents: DataFrame) -> DataFrame:
     """Ids of entries, of documents, and of the chunks 1..n of each document's hash."""
     chunks = documents.filter("chunks > 0").select(F.explode(F.sequence(F.lit(1), F.col("chunks"))).alias("n"), "hash").select(F.concat_ws(":", F.lit("kb"), "hash", F.col("n").cast("string")).alias("id"))

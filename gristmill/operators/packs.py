@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import pruned
+from .kb import self_consistent
 from .listing import live_ids
 from .search import strictest
+from .store import append_new
 
 
 def ingest(manifest: DataFrame, fresh: DataFrame) -> dict[str, DataFrame]:
@@ -64,3 +66,27 @@ def upsert_links(edges: DataFrame, more: DataFrame) -> DataFrame:
     changed = fresh.select(*key, F.col("conflict_class").alias("_class"), F.col("conflict_state").alias("_state"))
     old = edges.join(changed, key, "left").select(*key, F.coalesce("_class", "conflict_class").alias("conflict_class"), F.coalesce("_state", "conflict_state").alias("conflict_state"))
     return old.unionByName(fresh.join(edges.select(key), key, "left_anti").select(*key, "conflict_class", "conflict_state"))
+
+
+def import_pack(known: dict[str, DataFrame], pack: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(stores, report) after a pack is taken in, a repeat changing nothing.
+
+    In this order: tiers (the stricter of two counts), entries (new by id and content, not
+    dead), ledger and tombstones (new by id), archive (new by block), kb documents and
+    chunks (new by id, chunks whose text is what was stored), and links, which must not
+    touch an id that is dead by then.  The report has the rows added to each store.
+    """
+    out = dict(known)
+    out["tiers"] = import_tiers(known["tiers"], pack["tiers"])
+    out["entries"] = import_entries(known["entries"], pack["entries"], known["tombstones"])["entries"]
+    for name, key in (("ledger", "id"), ("tombstones", "id"), ("archive", "block_id"), ("documents", "id")):
+        out[name] = append_new(known[name], pack[name], key)
+    out["chunks"] = append_new(known["chunks"], pack["chunks"].filter(self_consistent(pack["chunks"])), "id")
+    dead = out["tombstones"].select(F.col("id").alias("node"))
+    out["links"] = upsert_links(known["links"], pruned(pack["links"], dead))
+    report = None
+    for name in ("tiers", "entries", "ledger", "tombstones", "archive", "documents", "chunks", "links"):
+        n = lambda df: df.agg(F.count("*").alias("n"))
+        row = n(out[name]).crossJoin(n(known[name]).withColumnRenamed("n", "before")).select(F.lit(name).alias("store"), (F.col("n") - F.col("before")).alias("added"))  # one row each
+        report = row if report is None else report.unionByName(row)
+    return out, report

@@ -177,3 +177,9 @@ def mentions(df: DataFrame, name: str, ref: str, n_refs: int = 6, most: int = 12
 def usage(df: DataFrame, target: str, text: str, delimiter_bytes: int = 4) -> DataFrame:
     """(target, entries, bytes): entries of each target and what they take with a delimiter each."""
     return df.groupBy(target).agg(F.count("*").alias("entries"), F.sum(F.octet_length(text) + delimiter_bytes).alias("bytes"))
+
+
+def shared_fill(lines: DataFrame, by: list[str], layer: str, layers: list[str], order: str, text: str, budget: int) -> DataFrame:
+    """Adds ``shown``, as ``greedy_fill`` does, with one budget for all layers of a group: what the first leaves is the next one's."""
+    place = F.struct(F.array_position(F.array(*map(F.lit, layers)), F.col(layer)).alias("layer"), F.col(order).alias("at"))
+    return greedy_fill(lines.withColumn("_place", place), by, "_place", text, budget).drop("_place")

@@ -257,6 +257,55 @@ def graph_lookup(spark, d):
     return graph.looked_up(refs, index.unionByName(index), "id", "name").select("o_orderkey", "name", "dangling")
 
 
+@query("""
+WITH RECURSIVE l AS (SELECT conv_id, turn, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END, turn) AS r FROM conversations),
+f AS (SELECT conv_id, turn, r, n <= 900 AS shown, CASE WHEN n <= 900 THEN n ELSE 0 END AS used FROM l WHERE r = 1
+ UNION ALL SELECT l.conv_id, l.turn, l.r, f.used + l.n <= 900, CASE WHEN f.used + l.n <= 900 THEN f.used + l.n ELSE f.used END FROM f JOIN l ON l.conv_id = f.conv_id AND l.r = f.r + 1)
+SELECT conv_id, turn, shown FROM f
+""")
+def store_shared_fill(spark, d):
+    lines = load(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return store.shared_fill(lines, ["conv_id"], "role", ["user", "assistant"], "turn", "text", 900).select("conv_id", "turn", "shown")
+
+
+def _pack(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "lang")
+    begin = F.substring("content", 1, 9)
+
+    def of(df, tier, k):
+        next_, none = (F.col("doc_id") + 1).cast("string"), F.lit(None).cast("string")
+        return {
+            "tiers": df.select("id", F.lit(tier).alias("tier")), "entries": df.select("id", "content"), "ledger": df.select("id", "lang"), "tombstones": df.filter(F.col("doc_id") % k == 0).select("id"),
+            "archive": df.select(F.col("lang").alias("block_id"), "id").dropDuplicates(["block_id"]), "documents": df.select("id"),
+            "chunks": df.select(F.concat(F.lit("c"), "id").alias("id"), begin.alias("text"), F.when(F.col("doc_id") % 5 == 0, "bad").otherwise(tx.content_hash(begin, "")).alias("hash")),
+            "links": df.select(F.col("id").alias("src"), next_.alias("dst"), F.lit("next").alias("kind"), none.alias("conflict_class"), F.lit("open").alias("conflict_state")),
+        }
+
+    return of(docs.filter("doc_id % 2 = 1"), "user", 7), of(docs.filter("doc_id % 3 = 0"), "verified", 9)
+
+
+@query("""
+WITH a AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 2 = 1), b AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 = 0), fresh AS (SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)),
+dead AS (SELECT doc_id FROM a WHERE doc_id % 7 = 0), late AS (SELECT doc_id FROM dead UNION SELECT doc_id FROM b WHERE doc_id % 9 = 0)
+SELECT 'tiers' AS store, (SELECT count(*) FROM fresh) AS added UNION ALL SELECT 'entries', (SELECT count(*) FROM fresh WHERE doc_id NOT IN (SELECT doc_id FROM dead) AND trim(text) NOT IN (SELECT trim(text) FROM a)) UNION ALL SELECT 'ledger', (SELECT count(*) FROM fresh)
+UNION ALL SELECT 'tombstones', (SELECT count(*) FROM late) - (SELECT count(*) FROM dead) UNION ALL SELECT 'archive', (SELECT count(DISTINCT lang) FROM b WHERE lang NOT IN (SELECT lang FROM a)) UNION ALL SELECT 'documents', (SELECT count(*) FROM fresh)
+UNION ALL SELECT 'chunks', (SELECT count(*) FROM fresh WHERE doc_id % 5 <> 0) UNION ALL SELECT 'links', (SELECT count(*) FROM fresh WHERE doc_id NOT IN (SELECT doc_id FROM late) AND doc_id + 1 NOT IN (SELECT doc_id FROM late))
+""")
+def store_import_pack(spark, d):
+    known, pack = _pack(spark, d)
+    return packs.import_pack(known, pack)[1]
+
+
+@query("""
+SELECT 'nation' AS store, count(*) AS rows, cast(sum(octet_length(encode(n_name))) AS bigint) AS bytes FROM nation UNION ALL SELECT 'dangling', (SELECT count(*) FROM nation WHERE n_regionkey = 2), 0 UNION ALL SELECT 'tombstones', (SELECT count(*) FROM customer WHERE c_acctbal < 0), 0
+""")
+def list_status_report(spark, d):
+    nation = load(spark, d, "nation")
+    edges = nation.select((F.col("n_regionkey") + 1000).alias("src"), F.col("n_nationkey").alias("dst"), F.lit("in").alias("kind"))
+    live = nation.select(F.col("n_nationkey").alias("node")).unionByName(load(spark, d, "region").filter("r_regionkey <> 2").select((F.col("r_regionkey") + 1000).alias("node")))
+    return listing.status_report({"nation": nation}, "n_name", edges, live, load(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id")))
+
+
 # --- listings ------------------------------------------------------------------------
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(value % 3) DESC, ts DESC, event_id) AS place FROM events")
@@ -385,3 +434,20 @@ def source_result_links(spark, d):
     head, tail = a.split("{}"), b.split("{}")
     html = F.concat(F.lit(head[0]), F.url_encode("url"), F.lit(head[1]), F.lit(tail[0]), F.col("page_id").cast("string"), F.lit(tail[1]))
     return stores.result_links(load(spark, d, "pages").select("page_id", html.alias("html")), "page_id", "html")
+
+
+@query("""
+SELECT doc_id, replace(CASE WHEN instr(text, 'a') > 0 THEN left(text, instr(text, 'a') - 1) || '[A]' || substr(text, instr(text, 'a') + 1) ELSE text END, 'the', 'THE') AS text,
+ concat_ws(';', CASE WHEN instr(text, 'a') > 0 THEN 'a' END, CASE WHEN instr(text, 'the') > 0 THEN 'the ×' || cast((length(text) - length(replace(text, 'the', ''))) // 3 AS varchar) END) AS applied,
+ concat_ws(';', CASE WHEN instr(text, 'a') = 0 THEN 'a' END, CASE WHEN instr(text, 'the') = 0 THEN 'the' END, '', 'zzz absent') AS missing, '<a>&lt;"' || cast(doc_id AS varchar) AS raw FROM documents
+""")
+def fn_edits(spark, d):
+    made = tx.edited(F.col("text"), [{"find": "a", "replace": "[A]", "all": False}, {"find": "the", "replace": "THE"}, {"find": ""}, {"find": "zzz absent"}])
+    df = load(spark, d, "documents").select("doc_id", made.alias("m"), tx.unescape_xml(F.concat(F.lit("&lt;a&gt;&amp;lt;&quot;"), F.col("doc_id").cast("string"))).alias("raw"))
+    return df.select("doc_id", "m.text", F.array_join("m.applied", ";").alias("applied"), F.array_join("m.missing", ";").alias("missing"), "raw")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'one two|three 数|据库' ELSE '|wide' END AS lines FROM part")
+def layout_wrapped(spark, d):
+    text = F.when(F.col("p_partkey") % 2 == 0, "one two three 数据库").otherwise("\nwide   ")
+    return load(spark, d, "part").select("p_partkey", F.array_join(layout.wrapped(text, 45.0, 11.0), "|").alias("lines"))

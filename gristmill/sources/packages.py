@@ -7,10 +7,13 @@ and the error, so nothing vanishes unseen; ``error`` is null everywhere else.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import json
 import posixpath
 import re
+import sqlite3
 import struct
 import zipfile
 import zlib
@@ -344,3 +347,20 @@ def read(spark: SparkSession, path: str, extension: str) -> DataFrame:
     if extension not in READERS:
         raise ValueError(f"no reader for .{extension}")
     return READERS[extension](files(spark, path, f"*.{extension}"))
+
+
+def sqlite_rows(df: DataFrame, tables: list[str]) -> DataFrame:
+    """(path, table, row, error): the rows of whole tables of SQLite files, each as JSON."""
+
+    def parse(content: bytes) -> Iterator[tuple]:
+        with contextlib.closing(sqlite3.connect(":memory:")) as con:
+            con.deserialize(content)
+            con.row_factory = sqlite3.Row
+            for table in tables:
+                try:
+                    for row in con.execute('SELECT * FROM "' + table.replace('"', '""') + '"'):
+                        yield table, json.dumps(dict(row), ensure_ascii=False)
+                except sqlite3.Error as found:
+                    yield table, None, str(found)
+
+    return _each(df, parse, "table string, row string")

@@ -309,3 +309,48 @@ def test_knowledge_base_folder(spark, tmp_path):
     assert summary.first()["reason"] == "hits" and kb.find(manifest, chunks, "water", tier="user")[1].first()["reason"] == "filter-empty"
     with pytest.raises(ValueError):
         kb.find(manifest, chunks, "water", tier="verifed")
+
+
+def test_sqlite_rows_and_actions(spark, tmp_path):
+    import json
+    import sqlite3
+
+    from gristmill import actions
+
+    con = sqlite3.connect(tmp_path / "m.db")
+    con.executescript("CREATE TABLE insights(id TEXT, content TEXT); INSERT INTO insights VALUES ('1', 'tea'), ('2', NULL);")
+    con.commit()
+    con.close()
+    rows = actions.act("migrate", packages.files(spark, str(tmp_path)), ["insights", "edges"]).collect()
+    assert sorted((r["table"], json.loads(r["row"])["id"] if r["row"] else "", r["error"] is None) for r in rows) == [("edges", "", False), ("insights", "1", True), ("insights", "2", True)]
+    with pytest.raises(ValueError):
+        actions.act("none")
+
+
+def test_wrapping_against_a_loop(spark):
+    import re
+
+    from gristmill.functions import layout
+
+    def em(text):
+        wide, narrow = set("mwMW@%"), set("iljI.,;:!'|`[](){} ")
+        return sum(1.0 if re.match(layout.FULL, c) else 1.1 if c == "\t" else 0.28 if c in narrow else 0.9 if c in wide else 0.66 if c.isascii() and c.isupper() else 0.56 if c.isascii() and c.isdigit() else 0 if c == "\n" else 0.54 for c in text)
+
+    def wrap(text, limit):
+        out = []
+        for raw in text.split("\n"):
+            line, width = "", 0.0
+            for token in re.findall(r"[A-Za-z0-9@%._#+\-/]+|\s+|[^\s]", raw):
+                if width + em(token) * 11 > limit and line.strip():
+                    out.append(line.rstrip())
+                    line = token.lstrip()
+                    width = em(line) * 11
+                else:
+                    line, width = line + token, width + em(token) * 11
+            out.append(line.rstrip())
+        return out
+
+    rng = random.Random(2)
+    texts = ["", "a", "  lead", "one\n\ntwo "] + ["".join(rng.choice(["word", " ", "  ", "数", "mw@", "\n", ",", "I.", "\t", "x9"]) for _ in range(40)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", layout.wrapped(F.col("t"), 60.0).alias("lines"))
+    assert {r["k"]: r["lines"] for r in df.collect()} == {k: wrap(t, 60.0) for k, t in enumerate(texts)}
