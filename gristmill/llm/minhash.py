@@ -122,17 +122,21 @@ def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(ids: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int64)))], ["id", "items"])
+
     for batch in batches:
         ids, held, size = [], [], 0
         for id_, items in _chosen(batch):
             ids.append(id_)
-            held.append(items.tobytes())
-            size += len(held[-1])
-            if size > 1 << 20 or len(held) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["id", "items"])
+            held.append(items)
+            size += len(items)
+            if size > 1 << 17 or len(held) >= 256:
+                yield made(ids, held)
                 ids, held, size = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["id", "items"])
+            yield made(ids, held)
 
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,20 +147,6 @@ def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *(pa.array(table[:, k].copy()) for k in range(len(WIDE)))], ["id", *WIDE])
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column("left_items"), batch.column("right_items")
-            for k in range(batch.num_rows):
-                a, b = np.frombuffer(left[k].as_buffer(), U64), np.frombuffer(right[k].as_buffer(), U64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s0, s1, text) of the classes ``ids``, from the document that stands for each.  Their number has no bound: merge joins at every size."""
     asked = classes.select("id", F.col("rep").alias("doc_id"), "crc", "s0", "s1").join(ids.hint("merge"), "id", "left_semi")
@@ -167,9 +157,10 @@ def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose full shingle sets reach the threshold.  Only texts that occur in a pair are shingled again."""
     needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = _texts(docs, classes, needed).mapInArrow(_sets, "id long, items binary")
+    sets = _texts(docs, classes, needed).mapInArrow(_sets, "id long, items array<long>")
     left, right = sets.withColumnsRenamed({"id": "u", "items": "left_items"}), sets.withColumnsRenamed({"id": "v", "items": "right_items"})
-    return pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "left_items", "right_items").mapInArrow(_confirm(percent), "u long, v long")
+    both = pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").withColumn("n", F.size(F.array_intersect("left_items", "right_items")))
+    return both.filter(100 * F.col("n") >= percent * (F.size("left_items") + F.size("right_items") - F.col("n"))).select("u", "v")
 
 
 def _alike(a: str, b: str, percent: int, columns: list[str], values: int):

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct chunks that each of a cache's two generations holds.
-CACHED_CHUNKS = 600_000
-CACHED_PAIRS = 2_000_000
+CACHED_CHUNKS = 300_000
+CACHED_PAIRS = 1_000_000
 
 
 class Codec:

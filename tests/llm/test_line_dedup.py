@@ -72,3 +72,36 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a b c d e\na b c d e")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(spark, df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_document_of_many_lines(spark):
+    """20,000 lines, a third of them equal or within one edit of an earlier one: work in proportion to the lines."""
+    rng = random.Random(6)
+    lines, gone = [], set()
+    for k in range(20_000):
+        kind = rng.randrange(6) if k else 5
+        if kind == 0:
+            lines.append(lines[rng.randrange(k)])
+            gone.add(k)
+        elif kind == 1:
+            w = lines[rng.randrange(k)].split()
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = f"new{k}"
+            else:
+                w.insert(rng.randrange(len(w) + 1), f"more{k}")
+            lines.append(" ".join(w))
+            gone.add(k)  # it is within one edit of the line that it was made from
+        else:
+            lines.append(" ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(10, 30))))
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    row = line_dedup.dedup_lines(spark, df).first()
+    assert row["n_lines"] == 20_000 and row["n_removed"] == len(gone)
+    assert row["text"] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+
+
+def test_long_lines(spark):
+    """Lines of 60,000 words that differ in one word, at either end and in the middle."""
+    words = [f"w{k % 977}" for k in range(60_000)]
+    variants = [words, ["x", *words[1:]], [*words, "y"], [*words[:30_000], *words[30_001:]], [*words[:10], "a", "b", *words[12:]]]
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(variants)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark, df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
