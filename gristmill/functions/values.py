@@ -14,16 +14,19 @@ from .text import SPACE, trimmed
 COLUMN_TYPES = ["auto", "text", "number", "currency", "percent", "date"]
 
 
+#: Kinds of cells and their patterns, in the order in which they are tried.  (Fixed values.)
+CELL_KINDS = [
+    ("percent", r"^-?[\d,]+(\.\d+)?%$"),
+    ("number", r"^-?[\d,]+(\.\d+)?$"),
+    ("currency", rf"^-?[¥$€£][{SPACE}]?[\d,]+(\.\d+)?$"),
+    ("date", r"^\d{4}[-/年]\d{1,2}([-/月]\d{1,2}日?)?$"),
+]
+
+
 def classify(x: Column) -> Column:
-    """percent, number, currency, date or text, tried in this order on the trimmed text."""
+    """The first kind whose pattern the trimmed text has, else text."""
     t = trimmed(F.coalesce(x, F.lit("")))
-    return (
-        F.when(t.rlike(r"^-?[\d,]+(\.\d+)?%$"), "percent")
-        .when(t.rlike(r"^-?[\d,]+(\.\d+)?$"), "number")
-        .when(t.rlike(rf"^-?[¥$€£][{SPACE}]?[\d,]+(\.\d+)?$"), "currency")
-        .when(t.rlike(r"^\d{4}[-/年]\d{1,2}([-/月]\d{1,2}日?)?$"), "date")
-        .otherwise("text")
-    )
+    return F.coalesce(*(F.when(t.rlike(pattern), kind) for kind, pattern in CELL_KINDS), F.lit("text"))
 
 
 def to_number(x: Column) -> Column:

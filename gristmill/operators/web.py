@@ -30,11 +30,21 @@ BOILERPLATE_LINE = (
     r"|share (?:this|on)|related (?:posts|articles)|recommended|read more|advertisement|sponsored|skip to (?:content|main)|back to top|copyright|©|版权所有|免责声明|隐私政策|用户协议|服务条款|登录|注册|订阅|关注我们|分享到|扫码|下载客户端|相关内容|相关阅读|推荐阅读|热门推荐|上一篇|下一篇|返回顶部|京ICP|沪ICP|粤ICP)"
 )
 SENTENCE_END = r"""[.!?。！？…；;：:）)】」』"'”’]$"""
+# Texts and addresses of pages that are walls, in the order in which they are tried.  The patterns must be these; the second
+# value is the verdict, a class to count by, which is this engine's own.
 BLOCK_TEXT = [
-    (r"attention required|you have been blocked|cf-error-details|cf_chl_", "blocked"),
-    (r"just a moment\.\.\.|enable javascript and cookies to continue|checking your browser before accessing|verify you are human|g-recaptcha|hcaptcha", "challenge"),
-    (r"unavailable in your (region|country)|not available in your (region|country)", "region"),
-    (r"sign in to continue|please (sign|log) in to|accounts\.google\.com/o/oauth2|consent\.google\.com", "login"),
+    (r"attention required", "blocked"),
+    (r"you have been blocked", "blocked"),
+    (r"cf-error-details|cf_chl_", "blocked"),
+    (r"just a moment\.\.\.", "challenge"),
+    (r"enable javascript and cookies to continue", "challenge"),
+    (r"checking your browser before accessing", "challenge"),
+    (r"verify you are human", "challenge"),
+    (r"g-recaptcha|hcaptcha", "challenge"),
+    (r"unavailable in your (region|country)", "region"),
+    (r"not available in your (region|country)", "region"),
+    (r"sign in to continue|please (sign|log) in to", "login"),
+    (r"accounts\.google\.com/o/oauth2|consent\.google\.com", "login"),
 ]
 BLOCK_URL = [(r"app-unavailable-in-region|unavailable-in-region", "region"), (r"challenge-platform|/cdn-cgi/challenge", "challenge")]
 LEAST_CHARS, NOTICE_CHARS, SCANNED_CHARS = 20, 200, 4000
