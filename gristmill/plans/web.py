@@ -29,11 +29,20 @@ def _pick(p: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is){p}', 1), '(?i)&amp;', '&', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"""
-SELECT page_id, {_pick('<title[^>]*>(.{0,400}?)</title')} AS title, {_pick('<meta[^>]+name="author"[^>]+content="([^"]*)"')} AS byline, {_pick('<html[^>]+lang="([^"]*)"')} AS lang FROM pages
-""")
+def _either(*patterns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({_pick(p)}, '')" for p in patterns) + ", '')"
+
+
+_META = {
+    "title": ('<title[^>]*>(.{0,400}?)</title', '<meta[^>]+property\\s*=\\s*"og:title"[^>]+content\\s*=\\s*"([^"]*)"'), "site": ('<meta[^>]+property\\s*=\\s*"og:site_name"[^>]+content\\s*=\\s*"([^"]*)"',),
+    "byline": ('<meta[^>]+name\\s*=\\s*"author"[^>]+content\\s*=\\s*"([^"]*)"',), "lang": ('<html[^>]+lang\\s*=\\s*"([^"]*)"',),
+    "published_at": ('<meta[^>]+property\\s*=\\s*"article:published_time"[^>]+content\\s*=\\s*"([^"]*)"', '<time[^>]+datetime\\s*=\\s*"([^"]*)"'),
+}
+
+
+@query("SELECT page_id, " + ", ".join(f"{_either(*p)} AS {name}" for name, p in _META.items()) + " FROM pages")
 def page_meta(spark, d):
-    return _pages(spark, d).select("page_id", *web.meta(F.col("html"))).select("page_id", "title", "byline", "lang")
+    return _pages(spark, d).select("page_id", *web.meta(F.col("html")))
 
 
 _STEPS = [
