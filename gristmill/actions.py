@@ -10,7 +10,7 @@ from .streaming import ledger
 
 ACTIONS: dict[str, Callable] = {
     "read": recall.admit, "add": store.add_entry, "replace": store.replace_entry, "remove": store.remove_entry, "log": ledger.append_ledger, "status": listing.status_report, "sunk": store.newest,
-    "link": packs.upsert_links, "unlink": graph.pruned, "related": graph.related, "entities": store.mentions, "kb-ingest": packs.ingest, "kb-search": kb.find, "kb-list": listing.latest, "kb-read": search.bounded_read,
+    "link": packs.upsert_links, "unlink": graph.pruned, "related": graph.expanded, "entities": store.mentions, "kb-ingest": packs.ingest, "kb-search": kb.find, "kb-list": listing.latest, "kb-read": search.bounded_read,
     "kb-drop": packs.drop_documents, "export": packs.export_pack, "import": packs.import_pack, "migrate": packages.sqlite_rows,
 }
 

@@ -110,6 +110,18 @@ def content_class(mime: Column) -> Column:
     return F.when(bare.isin("text/html", "application/xhtml+xml"), "html").when(bare.startswith("text/") | bare.isin("application/json", "application/xml") | bare.rlike(r"\+(json|xml)$"), "text")
 
 
+def charset(mime: Column) -> Column:
+    """The character set that a content type names, or null."""
+    return F.nullif(F.trim(F.lower(F.regexp_extract(mime, r'(?i);\s*charset\s*=\s*"?([^";]+)"?', 1))), F.lit(""))
+
+
+def looks_like_pdf(mime: Column, url: Column) -> Column:
+    """By the content type or, where that says nothing, by the address's path."""
+    bare = F.trim(F.lower(F.regexp_extract(F.coalesce(mime, F.lit("")), "^[^;]*", 0)))
+    path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+    return bare.isin("application/pdf", "application/x-pdf") | (bare.isin("", "application/octet-stream", "binary/octet-stream") & F.coalesce(path.endswith(".pdf"), F.lit(False)))
+
+
 def valid_url(url: Column) -> Column:
     """http or https, no credentials, at most 2,048 characters."""
     return F.coalesce((F.length(url) <= 2048) & url.rlike(r"^(?i)https?://[^/?#\s@]+(?:[/?#]\S*)?$"), F.lit(False))

@@ -31,6 +31,31 @@ def related(edges: DataFrame, start: DataFrame, live: DataFrame, hops: int = 3,
     return seen
 
 
+def expanded(edges: DataFrame, start: DataFrame, live: DataFrame, hops: int = 3, kinds: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(node, hop, via, kind, dangling, place): breadth first over edges with an ordinal ``ord``, by the first edge that reaches a node.
+
+    The nodes of a step are looked at in the order in which they were found, and the edges
+    of each by ordinal; ``place`` sorts nodes of a hop in that order.  Nodes that are not
+    live are reported and not passed through; ``limit`` keeps the first so many live ones.
+    """
+    if kinds:
+        edges = edges.filter(F.col("kind").isin(kinds))
+    edges = edges.filter("src <> dst")
+    ways = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "kind", "ord").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("next"), "kind", "ord"))
+    known = live.select(F.col("node").alias("next")).distinct().withColumn("alive", F.lit(True))
+    seen = start.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("via"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("dangling"), F.lpad(F.col("node").cast("string"), 20, "0").alias("place"))
+    edge_of = seen
+    for hop in range(1, min(3, hops) + 1):
+        found = edge_of.filter("NOT dangling").select("node", "place").join(ways, "node").select("next", "node", "kind", F.concat("place", F.lpad(F.col("ord").cast("string"), 20, "0")).alias("place"))
+        first = found.groupBy("next").agg(F.min_by(F.struct("node", "kind"), "place").alias("by"), F.min("place").alias("place"))
+        fresh = first.join(seen.select(F.col("node").alias("next")), "next", "left_anti").join(known, "next", "left")
+        edge_of = fresh.select(F.col("next").alias("node"), F.lit(hop).alias("hop"), F.col("by.node").alias("via"), "by.kind", F.col("alive").isNull().alias("dangling"), "place")
+        seen = seen.unionByName(edge_of)
+    if limit is None:
+        return seen
+    return seen.filter("hop > 0 AND NOT dangling").orderBy("hop", "place").limit(limit)
+
+
 def neighbour_counts(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """Edges of each node by kind and in all; a self-loop counts once."""
     ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "kind")

@@ -82,6 +82,17 @@ def assign_sites(queries: DataFrame, ordinal: str, sites: DataFrame) -> DataFram
     return queries.crossJoin(F.broadcast(every)).withColumn("_k", F.pmod(F.col(ordinal), F.col("_n")).cast("int")).join(numbered.select("_k", "domain"), "_k").withColumn("query", F.concat(F.lit("site:"), "domain", F.lit(" "), "query")).drop("_k", "_n")
 
 
+def search_run(queries: DataFrame, ordinal: str, topic: str, sites: DataFrame, results: DataFrame) -> DataFrame:
+    """(topic, ordinal, query, url, scoped) of a run: each query with its site put before it and what a table of results(query, url) holds for that.
+
+    A topic none of whose scoped queries has a result falls back to the queries as they were.
+    """
+    plain = queries.select(topic, ordinal, F.col("query").alias("_plain"), "query")
+    scoped = assign_sites(plain, ordinal, sites).join(results, "query").select(topic, ordinal, "query", "url", F.lit(True).alias("scoped"))
+    none = plain.join(scoped.select(topic).distinct(), topic, "left_anti")
+    return scoped.unionByName(none.join(results, "query").select(topic, ordinal, "query", "url", F.lit(False).alias("scoped")))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the place of each row in the order of some columns, from 1.
 

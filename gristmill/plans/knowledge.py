@@ -451,3 +451,29 @@ def fn_edits(spark, d):
 def layout_wrapped(spark, d):
     text = F.when(F.col("p_partkey") % 2 == 0, "one two three 数据库").otherwise("\nwide   ")
     return load(spark, d, "part").select("p_partkey", F.array_join(layout.wrapped(text, 45.0, 11.0), "|").alias("lines"))
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gb18030' END AS charset, page_id % 4 = 2 OR (page_id % 4 = 3 AND page_id % 3 = 0) AS pdf FROM pages
+""")
+def values_content_types(spark, d):
+    k = F.col("page_id")
+    mime = F.when(k % 4 == 0, 'text/html; Charset="UTF-8"').when(k % 4 == 1, "text/html;charset= gb18030 ; x=1").when(k % 4 == 2, "Application/PDF; x").otherwise("application/octet-stream")
+    url = F.when(k % 3 == 0, "https://a.org/b/C.PDF?x=1").otherwise("https://a.org/b?f=c.pdf")
+    return load(spark, d, "pages").select("page_id", v.charset(mime).alias("charset"), v.looks_like_pdf(mime, url).alias("pdf"))
+
+
+_RUN_SITES = "(SELECT lower(replace(n_name, ' ', '-')) || '.org' AS domain, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)"
+
+
+@query(f"""
+WITH q AS (SELECT item_id, item_id % 5 AS topic, 'q' || cast(item_id AS varchar) AS query FROM benchmark), s AS (SELECT topic, item_id, 'site:' || domain || ' ' || query AS query FROM q JOIN {_RUN_SITES} ON item_id % 25 = k)
+SELECT topic, item_id, query, 'https://r.org/' || query AS url, true AS scoped FROM s WHERE topic < 3 AND item_id % 2 = 0
+UNION ALL SELECT topic, item_id, query, 'https://r.org/' || query, false FROM q WHERE topic NOT IN (SELECT topic FROM s WHERE topic < 3 AND item_id % 2 = 0)
+""")
+def list_search_run(spark, d):
+    queries = load(spark, d, "benchmark").select("item_id", (F.col("item_id") % 5).alias("topic"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query"))
+    sites = load(spark, d, "nation").select(F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".org")).alias("domain"), F.col("n_nationkey").alias("ordinal"))
+    answered = listing.assign_sites(queries.filter("topic < 3 AND item_id % 2 = 0"), "item_id", sites).select("query")
+    results = answered.unionByName(queries.select("query")).select("query", F.concat(F.lit("https://r.org/"), "query").alias("url"))
+    return listing.search_run(queries, "item_id", "topic", sites, results)

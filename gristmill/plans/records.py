@@ -207,6 +207,23 @@ def graph_related(spark, d):
     return graph.related(edges, spark.createDataFrame([(4000000,)], "node long"), live)
 
 
+_STEP = """
+f{n} AS (SELECT b AS node, arg_min(a, p || lpad(cast(o AS varchar), 20, '0')) AS via, arg_min(kind, p || lpad(cast(o AS varchar), 20, '0')) AS kind, min(p || lpad(cast(o AS varchar), 20, '0')) AS p
+ FROM w JOIN (SELECT node, p FROM f{m} WHERE node IN (SELECT node FROM live)) ON a = node WHERE b NOT IN ({seen}) GROUP BY 1)"""
+_EXPANDED = ",".join(_STEP.format(n=n, m=n - 1, seen=" UNION ALL ".join(f"SELECT node FROM f{k}" for k in range(n))) for n in (1, 2, 3))
+
+
+@query(f"""
+WITH {_EDGES}, o AS (SELECT *, 9000000 - dst % 1000000 * 7 % 1000003 + src % 10 AS ord FROM edges), w AS (SELECT src AS a, dst AS b, kind, ord AS o FROM o WHERE src <> dst UNION ALL SELECT dst, src, kind, ord FROM o WHERE src <> dst),
+f0 AS (SELECT 3000005::bigint AS node, NULL::bigint AS via, NULL AS kind, lpad('3000005', 20, '0') AS p), {_EXPANDED}
+SELECT node, hop, via, kind, hop > 0 AND node NOT IN (SELECT node FROM live) AS dangling FROM (SELECT node, 0 AS hop, via, kind FROM f0 UNION ALL SELECT node, 1, via, kind FROM f1 UNION ALL SELECT node, 2, via, kind FROM f2 UNION ALL SELECT node, 3, via, kind FROM f3)
+""")
+def graph_expanded(spark, d):
+    edges, live = _graph(spark, d)
+    edges = edges.withColumn("ord", 9000000 - F.col("dst") % 1000000 * 7 % 1000003 + F.col("src") % 10)
+    return graph.expanded(edges, spark.createDataFrame([(3000005,)], "node long"), live).drop("place")
+
+
 @query(f"""
 WITH {_EDGES} SELECT node, cast(count(*) FILTER (WHERE kind = 'supplies') AS bigint) AS supplies, count(*) FILTER (WHERE kind = 'holds') AS holds, count(*) FILTER (WHERE kind = 'serves') AS serves, count(*) AS total
 FROM (SELECT src AS node, kind FROM edges UNION ALL SELECT dst, kind FROM edges WHERE src <> dst) GROUP BY 1
