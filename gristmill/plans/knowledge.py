@@ -375,14 +375,14 @@ def values_safe_json(spark, d):
     return df.select("event_id", v.safe_json(F.col("v"), df.schema["v"].dataType).alias("json"))
 
 
-_V6 = ["::1", "::", "fe80::1", "fd00::%x", "ff02::1", "2001:db8::%x", "2606:4700::%x", "2a00:1450:4001:81b::200e", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "64:ff9b::808:808", "1:2:3:4:5:6:7", "g::1", "1::2::3", "1:2:3:4:5:6:7:8"]
-_V6_GOOD = {0: False, 1: False, 2: False, 3: False, 4: False, 5: False, 6: True, 7: True, 8: False, 9: True, 10: False, 14: True}
+_V6 = ["::1", "::", "fe80::1", "fd00::%x", "ff02::1", "2001:db8::%x", "2606:4700::%x", "2a00:1450:4001:81b::200e", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "64:ff9b::808:808", "1:2:3:4:5:6:7", "g::1", "1::2::3", "1:2:3:4:5:6:7:8", "2002::1", "[2a00::1]"]
+_V6_GOOD = {0: False, 1: False, 2: False, 3: False, 4: False, 5: False, 6: True, 7: True, 8: False, 9: True, 10: False, 14: True, 15: False, 16: True}
 
 
-@query("SELECT c_custkey, CASE c_custkey % 15 " + " ".join(f"WHEN {k} THEN {str(x).lower()}" for k, x in _V6_GOOD.items()) + " END AS public FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 17 " + " ".join(f"WHEN {k} THEN {str(x).lower()}" for k, x in _V6_GOOD.items()) + " END AS public FROM customer")
 def values_public_ipv6(spark, d):
     forms = F.array(*(F.lit(x.replace("%x", "a")) for x in _V6))
-    return load(spark, d, "customer").select("c_custkey", v.public_ipv6(F.get(forms, (F.col("c_custkey") % 15).cast("int"))).alias("public"))
+    return load(spark, d, "customer").select("c_custkey", v.public_ipv6(F.get(forms, (F.col("c_custkey") % 17).cast("int"))).alias("public"))
 
 
 @query("""
