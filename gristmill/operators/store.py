@@ -18,7 +18,8 @@ def newest(df: DataFrame, by: list[str], order: list[Column], n: int, keep: bool
 def pack_volumes(blocks: DataFrame, month: str, order: str, size: str, most: int = 200) -> DataFrame:
     """Adds ``volume``: blocks of a month in order, a new volume where the items would exceed the limit; a larger block stands alone.
 
-    The rule is sequential within a month, whose blocks are summaries and few.
+    The rule is sequential within a month, so what meets in one task is a month's sizes,
+    two numbers a block; ``order`` tells the blocks of a month apart.
     """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -29,9 +30,12 @@ def pack_volumes(blocks: DataFrame, month: str, order: str, size: str, most: int
                 volume, held = volume + 1, 0
             held += n
             out.append(volume)
-        return rows.assign(volume=pd.Series(out, index=rows.index, dtype="int32"))
+        return rows.assign(volume=pd.Series(out, index=rows.index, dtype="int32"))[[month, order, "volume"]]
 
-    return blocks.groupBy(month).applyInPandas(pack, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", volume int")
+    narrow = blocks.select(month, order, size)
+    kinds = dict(narrow.dtypes)
+    packed = narrow.groupBy(month).applyInPandas(pack, f"{month} {kinds[month]}, {order} {kinds[order]}, volume int")
+    return blocks.join(packed, [month, order])
 
 
 def prune(df: DataFrame, at: str, size: str, key: str, oldest: Column, most: int) -> DataFrame:
