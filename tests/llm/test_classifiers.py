@@ -147,3 +147,25 @@ def test_character_grams_are_of_code_points():
         for k, t in enumerate(texts):
             alone = [_linear.char_grams(np.array([ord(c) for c in t[j:j + width]], np.uint32), width)[0] for j in range(len(t) - width + 1)]
             assert grams[lo[k]:hi[k]].tolist() == alone
+
+
+def test_quality_score_by_plain_sums():
+    import numpy as np
+
+    from gristmill.llm import _linear
+    from gristmill.llm._text import U64, hash_words, windows, word_hashes
+
+    rng = np.random.default_rng(3)
+    model = _linear.Linear(rng.normal(size=(_linear.FAMILIES, _linear.BUCKETS)).astype(np.float32), 0.25)
+    texts = ["one two  three\nfour", "", "é", "ab", "naïve über " * 30, "word", " \t "]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = model.raw_scores(raw, at, *word_hashes(raw, at))
+    for t, score in zip(texts, found, strict=True):
+        words = hash_words(t.split())
+        families = [
+            [int(h >> U64(48)) for h in words], [int(windows(words[k:k + 2], 2)[0] >> U64(48)) for k in range(len(words) - 1)],
+            *([int(_linear.char_grams(np.array([ord(c) for c in t[k:k + n]], np.uint32), n)[0]) for k in range(len(t) - n + 1)] for n in (3, 4)),
+        ]
+        plain = 0.25 + sum(np.mean([float(model.weights[f][b]) for b in grams]) for f, grams in enumerate(families) if grams)
+        assert score == pytest.approx(plain, abs=1e-4)

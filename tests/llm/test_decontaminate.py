@@ -99,3 +99,36 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dc.contaminated(spark, none, bench).collect() == []
     assert dc.contaminated(spark, spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), bench.limit(0)).collect() == []
+
+
+def test_short_items_edited_copies_and_a_long_item(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(0, "the"), (1, "w1 w2 w3 w4"), (2, "alpha beta gamma delta epsilon"), (3, text(900)), (4, None), (5, ""), (None, text(20)), *((k, text(rng.randrange(15, 57))) for k in range(6, 40))]
+    items.append((39, items[-1][1]))  # a repeated row
+    docs, expected = [], set()
+    for k, t in items[7:-1]:
+        w = t.split()
+        for at in (0, len(w) // 3, len(w) // 2, len(w) - 3, len(w) - 1):  # one word changed, anywhere
+            d = len(docs)
+            docs.append((d, f"{text(200)} {' '.join([*w[:at], 'other', *w[at + 1:]])} {text(100)}"))
+            expected.add((d, k))
+    docs.append((len(docs), text(50) + " alpha beta gamma delta epsilon " + text(50)))
+    expected.add((len(docs) - 1, 2))
+    docs.append((len(docs), text(300) + " " + items[3][1]))
+    expected.add((len(docs) - 1, 3))
+    clean = [(len(docs) + k, "the w1 w2 w3 w4 " + text(300)) for k in range(50)]
+    halves = [(len(docs) + 50 + k, text(100) + " " + " ".join(t.split()[: len(t.split()) // 3]) + " " + text(100)) for k, (_, t) in enumerate(items[7:-1])]
+    df = spark.createDataFrame(docs + clean + halves, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in dc.contaminated(spark, df, benchmark).collect()}
+    assert found.keys() == expected
+    for (d, k), r in found.items():  # the overlaps are shares of the item's runs of words
+        bag, passage = words(dict(items)[k]), words(dict(docs)[d])
+        cut = len(bag) - max(1, len(bag) // 4)
+        for part, width, share in ((bag[:cut], 3, r["question_overlap"]), (bag[cut:], 2, r["answer_overlap"])):
+            width = min(width, len(part))
+            runs = {tuple(part[j:j + width]) for j in range(len(part) - width + 1)}
+            held = {tuple(passage[j:j + width]) for j in range(len(passage) - width + 1)}
+            assert abs(share - len(runs & held) / len(runs)) < 1e-9

@@ -141,3 +141,42 @@ def test_windows_reach_white_space_and_do_not_overlap():
         assert (a == 0 or text[a - 1].isspace()) and (b == len(text) or text[b].isspace())
     assert all(b < c for (_, b), (c, _) in zip(windows, windows[1:], strict=False))
     assert pii._surroundings("a1" * 200_000) == [(0, 400_000)]
+
+
+def test_merged_states_count_what_passes_through_them():
+    """Walking every labelled word through the merged automaton gives just the counts that it holds."""
+    formats, _ = secret_scan.labelled_table(60, 3)
+    for words in formats.values():
+        a = secret_scan.learn(words)
+        counts, ends = [{} for _ in a.moves], [0] * len(a.moves)
+        for w in words:
+            state = 0
+            for c in secret_scan.symbols(w):
+                counts[state][c] = counts[state].get(c, 0) + 1
+                state = a.moves[state][c]
+            ends[state] += 1
+        used = [k for k, c in enumerate(counts) if c or ends[k]]
+        assert all(counts[k] == a.counts[k] and ends[k] == a.ends[k] for k in used) and sum(ends) == len(words)
+        assert len(used) < sum(map(len, words)) / 20
+
+
+def test_score_is_the_likelihood_ratio():
+    import math
+
+    scanner = secret_scan.default_scanner()
+    for text in ("ghp_" + "aB3" * 12, "SessionManagerFactoryBean2Impl", "0123456789ABCDEF0123456789ABCDEF", "x-y_z.0/1+2=3aaaaaaa"):
+        best = -math.inf
+        for a in scanner.formats.values():
+            state, chance = 0, 0.0
+            for c in secret_scan.symbols(text):
+                n = a.ends[state] + sum(a.counts[state].values())
+                chance += math.log((a.counts[state].get(c, 0) + 0.01) / (n + 0.71) / {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}.get(c, 1))
+                state = a.moves[state].get(c, state)
+            n = a.ends[state] + sum(a.counts[state].values())
+            best = max(best, chance + math.log((a.ends[state] + 0.01) / (n + 0.71)))
+        usual, last = 0.0, "^"
+        for c in [*secret_scan.symbols("    " + text)[4:], None]:
+            pair = (last, c if c is not None else secret_scan._END)
+            usual += scanner.ordinary.get(pair, scanner.ordinary.get((last, ""), -6.0)) - (math.log({"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}.get(c, 1)) if c is not None else 0)
+            last = c
+        assert abs(scanner.score(text)[0] - (best - usual) / len(text)) < 1e-9
