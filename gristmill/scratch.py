@@ -59,6 +59,10 @@ class Scratch:
         df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of finished jobs, which else stay until the driver happens to collect its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         for name in names:
