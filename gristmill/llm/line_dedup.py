@@ -140,6 +140,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, near_words: int = NEAR_WO
     less, side = (F.element_at(F.array(*(F.lit(x[c]) for x in HALVES)), F.col("k") + 1) for c in (0, 1))
     met = met.select("h1", "h2", "half", less.alias("less"), side.alias("side"))
 
+    scratch.release()
     variants = scratch.table(_variants(met, worded), "variants")
     # Role 0 meets role 1 and role 2 itself; a line is near an earlier one if the earliest line that it meets is earlier.
     at_least = variants.groupBy("key", F.col("role") == 2).agg(*(F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"e{r}") for r in range(3)), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
@@ -154,6 +155,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, near_words: int = NEAR_WO
     gone = seen.select("doc_id", "line", "h1", "h2").join(fates, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (_place(F.col("doc_id"), F.col("line")) != F.col("place")))
     gone = scratch.table(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
     scratch.drop("lines", "distinct", "met", "worded", "variants", "near")
+    scratch.release()
     return gone
 
 

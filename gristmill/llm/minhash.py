@@ -208,6 +208,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     rows = reps.select("id", F.posexplode("bands").alias("band", "key")).distinct()
     shared = rows.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("band", "key", "hub")
     members = scratch.table(rows.join(shared, ["band", "key"]), "members")
+    scratch.release()
     info = classes.select("id", "n_shingles", *SKETCH)
 
     spokes = members.filter("id <> hub").select("id", "hub").distinct()
@@ -218,6 +219,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     )
     pairs = scratch.table(near.select(F.col("id").alias("u"), F.col("hub").alias("v")), "pairs")
     links = scratch.table(confirmed(pairs, docs, classes, percent), "links")
+    scratch.release()
     first = scratch.table(components(links, scratch, "first"), "first")
 
     # Buckets that still hold several components: compare across components, the hub's pairs being settled.
@@ -240,6 +242,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
         .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     )
     more = scratch.table(more, "more")
+    scratch.drop("members", "pairs", "links", "rest", "known")
+    scratch.release()
     across = confirmed(more, docs, classes, percent)
     # Classes of rows that repeat one doc_id are linked by it.
     placed = usable.select("doc_id", "n_shingles", "s0", "s1").join(classes.select("id", "s0", "s1"), ["s0", "s1"]).select("doc_id", "n_shingles", "id")
@@ -257,7 +261,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     without = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles")
     others = with_set.join(without.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     without = without.join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    scratch.drop("classes", "members", "pairs", "links", "first", "rest", "known", "more", "joined", "final")
+    scratch.drop("classes", "first", "more", "joined", "final")
+    scratch.release()
     return with_set.unionByName(without).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
