@@ -175,7 +175,7 @@ def mentions(df: DataFrame, name: str, ref: str, n_refs: int = 6, most: int = 12
     parted = df.select(F.col(name).alias("name"), F.col(ref).alias("ref"), F.pmod(F.xxhash64(ref), F.lit(64)).alias("_part"))
     few = parted.withColumn("_r", F.row_number().over(Window.partitionBy("name", "_part").orderBy("ref"))).filter(F.col("_r") <= n_refs)
     refs = few.groupBy("name").agg(F.slice(F.array_sort(F.collect_list("ref")), 1, n_refs).alias("refs"))  # 64 times n_refs at most
-    return df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("mentions")).orderBy(F.col("mentions").desc(), "name").limit(most).join(refs, "name")
+    return df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("mentions")).orderBy(F.col("mentions").desc(), "name").limit(most).join(refs, "name").orderBy(F.col("mentions").desc(), "name")
 
 
 def usage(df: DataFrame, target: str, text: str, delimiter_bytes: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import graph, media, recall, store
-from ..session import load
+from ..session import load, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -69,7 +69,7 @@ s AS (SELECT *, coalesce(sum(least(length(text), 300)) OVER (PARTITION BY source
 SELECT source, doc_id, place, CASE WHEN length(text) > least(300, 4000 - used) THEN left(text, cast(least(300, 4000 - used) - 1 AS int)) || '…' ELSE text END AS admitted, length(text) > least(300, 4000 - used) AS truncated FROM s WHERE used < 4000 AND place <= 20
 """)
 def recall_admit(spark, d):
-    out = recall.admit(load(spark, d, "documents"), ["source"], [F.col("doc_id")], "text", 20, 300, 4000)
+    out = recall.admit(spread(load(spark, d, "documents")), ["source"], [F.col("doc_id")], "text", 20, 300, 4000)
     return out.select("source", "doc_id", F.col("place").cast("long").alias("place"), "admitted", "truncated")
 
 
