@@ -13,7 +13,7 @@ CJK = r"\u3400-\u9fff"
 
 def squeeze(x: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(x, f"[{SPACE}]+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(x, f"(?![!-~])[{SPACE}]+", " "))  # printable ASCII is ruled out first, which is most of it
 
 
 def trimmed(x: Column) -> Column:
