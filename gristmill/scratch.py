@@ -7,6 +7,7 @@ import contextlib
 import uuid
 from typing import ClassVar
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +27,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _diagnose(sc: SparkContext, command: str) -> str:
+    """What a diagnostic command of the driver's JVM answers.  Called by reflection, as the class of its server is not open to Python."""
+    jvm = sc._jvm
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    given = sc._gateway.new_array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), command
+    return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 class Scratch:
     """Intermediate tables of one call.  A written table cuts the lineage: a lost executor costs the tasks it ran, never the steps before.
 
@@ -60,8 +70,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
-        """Lets go of the shuffle files of finished jobs, which else stay until the driver happens to collect its garbage."""
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets go of the shuffle files of finished jobs, which else stay until the driver happens to collect its garbage.
+
+        What the driver's JVM has freed outside its heap, above all after compiling, goes back to the system too.
+        """
+        sc = self.spark.sparkContext
+        sc._jvm.System.gc()
+        with contextlib.suppress(Exception):  # not every JVM has this command
+            _diagnose(sc, "systemTrimNativeHeap")
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
