@@ -16,8 +16,8 @@ def squeeze(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, f"(?![!-~])[{SPACE}]+", " "))  # printable ASCII is ruled out first, which is most of it
 
 
-def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+def trimmed(x: Column, space: str = SPACE) -> Column:
+    return F.regexp_replace(x, rf"^[{space}]+|[{space}]+\z", "")
 
 
 def pairs_of(x: Column) -> Column:

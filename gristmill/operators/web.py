@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -69,23 +69,20 @@ def failure_kind(code: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in FAILURE_KINDS.items() for x in pair))[code]
 
 
-META = ["title", "site", "byline", "published_at", "lang"]
+META_PATTERNS = {
+    "title": (r"<title[^>]*>(.{0,400}?)</title\s*>", r'<meta[^>]+property\s*=\s*"og:title"[^>]+content\s*=\s*"([^"]{0,400})"'),
+    "site": (r'<meta[^>]+property\s*=\s*"og:site_name"[^>]+content\s*=\s*"([^"]{0,200})"',),
+    "byline": (r'<meta[^>]+name\s*=\s*"author"[^>]+content\s*=\s*"([^"]{0,200})"',),
+    "published_at": (r'<meta[^>]+property\s*=\s*"article:published_time"[^>]+content\s*=\s*"([^"]{0,80})"', r'<time[^>]+datetime\s*=\s*"([^"]{0,80})"'),
+    "lang": (r'<html[^>]+lang\s*=\s*"([^"]{0,20})"',),
+}
+META = list(META_PATTERNS)
 
 
-def meta(html: Column) -> list[Column]:
-    """title, site, byline, published_at and lang; empty where the page does not say."""
-
-    def pick(*patterns: str) -> Column:
-        found = [F.nullif(squeeze(decode_entities(F.regexp_extract(html, f"(?is){p}", 1))), F.lit("")) for p in patterns]
-        return F.coalesce(*found, F.lit(""))
-
-    return [
-        pick(r"<title[^>]*>(.{0,400}?)</title\s*>", r'<meta[^>]+property\s*=\s*"og:title"[^>]+content\s*=\s*"([^"]{0,400})"').alias("title"),
-        pick(r'<meta[^>]+property\s*=\s*"og:site_name"[^>]+content\s*=\s*"([^"]{0,200})"').alias("site"),
-        pick(r'<meta[^>]+name\s*=\s*"author"[^>]+content\s*=\s*"([^"]{0,200})"').alias("byline"),
-        pick(r'<meta[^>]+property\s*=\s*"article:published_time"[^>]+content\s*=\s*"([^"]{0,80})"', r'<time[^>]+datetime\s*=\s*"([^"]{0,80})"').alias("published_at"),
-        pick(r'<html[^>]+lang\s*=\s*"([^"]{0,20})"').alias("lang"),
-    ]
+def meta(html: Column, patterns: dict[str, tuple[str, ...]] = META_PATTERNS, tidy: Callable[[Column], Column] = lambda x: squeeze(decode_entities(x))) -> list[Column]:
+    """title, site, byline, published_at and lang; empty where the page does not say.  The first pattern whose tidied find is not empty counts."""
+    found = lambda p: F.nullif(tidy(F.regexp_extract(html, f"(?is){p}", 1)), F.lit(""))
+    return [F.coalesce(*map(found, tried), F.lit("")).alias(name) for name, tried in patterns.items()]
 
 
 def plain_text(html: Column) -> Column:
