@@ -196,7 +196,21 @@ def content_html(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(*rest.columns, html).mapInArrow(run, schema)
 
 
-def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CHARS, keep: list[str] = (), drop_boilerplate: bool = True, dedupe: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class LineRules:
+    """How lines are read: what is trimmed, what may follow a heading's #, the lower case of keys, and lines as the boilerplate pattern sees them."""
+
+    ends: str = SPACE
+    space: str = SPACE
+    lower: Callable[[Column], Column] = F.lower
+    read: Callable[[Column], Column] = lambda v: v
+
+
+#: As DuckDB reads lines: space separators alone are trimmed, letters are lowered one by one, and the long s and the Kelvin sign match s and k.
+SQL_RULES = LineRules(r"\p{Zs}", r"\t\n\f\r ", lambda v: F.lower(F.translate(v, "\u0130\u03a3", "i\u03c3")), lambda v: F.translate(v, "\u017f\u212a", "sk"))
+
+
+def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CHARS, keep: list[str] = (), drop_boilerplate: bool = True, dedupe: bool = True, rules: LineRules = LineRules()) -> DataFrame:
     """(key, text, dropped, deduped, paragraphs, ``keep``): lines squeezed, boilerplate and short non-sentences dropped, repeats dropped, blank lines collapsed.
 
     Lines stay in their row's array, so there is no shuffle.  Each step hands its arrays
@@ -204,17 +218,17 @@ def clean_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_LINE_CH
     patterns run again for every use of their results.  A repeat is found by sorting the
     lines by key and place, so long texts cost no more than a sort.
     """
-    short = lambda v: (F.length(v) < min_chars) & ~v.rlike(SENTENCE_END) & ~v.rlike(r"^[#\-|]")
-    line = lambda v: trimmed(F.regexp_replace(v, "[ \\t\\u00a0]+", " "))
+    short = lambda v: (F.length(v) < min_chars) & ~v.rlike(f"(?d){SENTENCE_END}") & ~v.rlike(r"^[#\-|]")  # noqa: E731  (?d): only \n ends a line
+    line = lambda v: trimmed(F.regexp_replace(v, "[ \\t\\u00a0]+", " "), rules.ends)
     once = lambda rows, *columns: rows.select(key, *keep, F.inline(F.array(F.struct(*columns))))
-    bad = lambda v: (v != "") & (v.rlike(BOILERPLATE_LINE) | short(v)) if drop_boilerplate else F.lit(False)
+    bad = lambda v: (v != "") & (rules.read(v).rlike(BOILERPLATE_LINE) | short(v)) if drop_boilerplate else F.lit(False)
     rows = once(df, F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"), line).alias("lines"))
-    rows = once(rows, F.transform("lines", lambda v: F.struct(v.alias("v"), bad(v).alias("bad"), F.lower(F.regexp_replace(v, rf"^#+[{SPACE}]*", "")).alias("k"))).alias("lines"))
+    rows = once(rows, F.transform("lines", lambda v: F.struct(v.alias("v"), bad(v).alias("bad"), rules.lower(F.regexp_replace(v, f"^#+[{rules.space}]*", "")).alias("k"))).alias("lines"))
     good = F.filter("lines", lambda x: ~x["bad"])
     rows = once(rows, (F.size("lines") - F.size(good)).alias("dropped"), F.array_sort(F.transform(good, lambda x, n: F.struct(x["k"].alias("k"), n.alias("n"), x["v"].alias("v")))).alias("good"))
     first = lambda x, n: F.lit(not dedupe) | (F.length(x["k"]) < 6) | (n == 0) | (F.element_at("good", F.greatest(n, F.lit(1)))["k"] != x["k"])
     rows = once(rows, "dropped", F.size("good").alias("n_good"), F.transform(F.array_sort(F.transform(F.filter("good", first), lambda x: F.struct(x["n"], x["v"]))), lambda x: x["v"]).alias("kept"))
-    joined = trimmed(F.regexp_replace(F.array_join("kept", "\n"), "\n{3,}", "\n\n"))
+    joined = trimmed(F.regexp_replace(F.array_join("kept", "\n"), "\n{3,}", "\n\n"), rules.ends + r"\n")
     return once(rows, joined.alias("text"), "dropped", (F.col("n_good") - F.size("kept")).alias("deduped"), F.size(F.filter("kept", lambda v: v != "")).alias("paragraphs"))
 
 

@@ -20,3 +20,12 @@ def test_page_meta(spark, tmp_path):
         f'<meta property="article:published_time" content=""><time datetime="{"9" * 90}">', "<title>&amp;amp; &amp;lt;</title><html lang = \"de\n \">", "", None,
     ]
     assert differences(spark, tmp_path, "page_meta", "pages", "page_id long, html string", list(enumerate(heads))) == ""
+
+
+def test_document_lines_clean(spark, tmp_path):
+    texts = [
+        None, "", "   ", "Cookie policy\nSubscribe now", "Cookie policy\n", "abc", "\n\n\n", "First line is here.\r\nsecond line is here.\rthird line is here.\n", "\tA line with tabs\t\there\t", "\x0cA line that begins so.\nA line that ends so.\x0c",
+        "\x0bA line of its own.\x0b", "　A line that ends so.　", "A line that ends so. ", "A line.\x85", "short. \nabc", "﻿A line that begins so.", "#　A heading line\nA heading line", "#\x0bA heading line\n#\tA heading line\nA heading line",
+        "ΟΔΟΣ ΟΔΟΣ\nοδοσ οδοσ\nοδος οδος", "İstanbul is a city\ni̇stanbul is a city\nistanbul is a city", "COOKIE is here long enough to stay.", "ſubscribe to this letter today.", "sıgn in to this letter today.", "ab.\nab.\nabcdef.\nABCDEF.\n\n\n\n\nabcdef.",
+    ]
+    assert differences(spark, tmp_path, "document_lines_clean", "documents", "doc_id long, text string", list(enumerate(texts))) == ""
