@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, blocks, windows, word_hashes
+from ._store import frugal
+from ._text import SMALL_BLOCK, U64, blocks, windows, word_hashes
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -73,7 +74,7 @@ class Linear:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, values = [], []
-        for a, b, raw, at in blocks(batch.column(1)):
+        for a, b, raw, at in blocks(batch.column(1), SMALL_BLOCK):
             hashes, first = word_hashes(raw, at)
             rows = [([], []) for _ in range(b - a)]
             for k, (grams, lo, hi) in enumerate(families(raw, at, hashes, first)):
@@ -100,7 +101,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str, sample: int = SAMP
 
     Executors turn texts into sparse vectors; only those of the sample reach the driver.
     """
-    rows = labelled(documents, labels, column, sample).mapInArrow(_featured, "doc_id long, label int, ids binary, values binary").toArrow().sort_by([("doc_id", "ascending")])
+    rows = labelled(documents, labels, column, sample).mapInArrow(frugal(_featured), "doc_id long, label int, ids binary, values binary").toArrow().sort_by([("doc_id", "ascending")])
     y = np.array(rows.column("label").to_pylist(), float)
     if len(y) == 0 or y.min() == y.max():
         return None

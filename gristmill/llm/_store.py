@@ -1,16 +1,23 @@
-"""Tables in the cluster's shared folder, and shipping of this package to executors."""
+"""Tables in the cluster's shared folder, shipping of this package to executors, and their Python workers' memory."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..scratch import Scratch as _Scratch
 
+#: Rows of an Arrow batch that a function is given at once.
+SLICE_ROWS = 1024
+
 
 class Scratch(_Scratch):
     """Intermediate tables of one call, whose tasks can import this package."""
@@ -33,3 +40,26 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(top.parent))
     sc.addPyFile(at)
     sc._gristmill_shipped = True
+
+
+def _release() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # not every C library has this function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """``run``, for mapInArrow, with little memory beside its executor's heap.
+
+    It gets batches in slices, so that what it makes of one is small, and after the last
+    what it has freed goes back to the system: Spark keeps idle workers for later stages.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batch.slice(k, SLICE_ROWS) for batch in batches for k in range(0, batch.num_rows, SLICE_ROWS))
+        finally:
+            _release()
+
+    return held

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
+#: Blocks of functions whose temporaries are many times the text.
+SMALL_BLOCK = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import ship
-from ._text import U64, blocks, windows, word_hashes
+from ._store import frugal, ship
+from ._text import SMALL_BLOCK, U64, blocks, windows, word_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score at which it is retrieved.
@@ -192,7 +192,7 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 
 def _hits(indexes: list[Index], column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item id, score, overlaps) of verified hits, the best passage of each row and item."""
-    for a, _, raw, at in blocks(column):
+    for a, _, raw, at in blocks(column, SMALL_BLOCK):
         hashes, first = word_hashes(NORMAL[raw], at)
         best: dict[tuple[int, int], tuple] = {}
         for index in indexes:
@@ -287,7 +287,7 @@ def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for some in indexes(benchmark):
-        found = docs.mapInArrow(_scanned(some), HITS)
+        found = docs.mapInArrow(frugal(_scanned(some)), HITS)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -296,5 +296,5 @@ def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Da
     """The rows of ``documents`` without a hit, with all their columns.  Null and empty texts have none; repeated rows are looked at each."""
     ship(spark)
     for some in indexes(benchmark):
-        documents = documents.mapInArrow(_cleaned(some), documents.schema)
+        documents = documents.mapInArrow(frugal(_cleaned(some)), documents.schema)
     return documents

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._store import Scratch, ship
-from ._text import LOWER, U64, blocks, mix, windows, word_hashes
+from ._store import Scratch, frugal, ship
+from ._text import LOWER, SMALL_BLOCK, U64, blocks, mix, windows, word_hashes
 
 WORDS = 5
 PERMUTATIONS = 100
@@ -48,7 +48,7 @@ _BAND = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.int64).astype(U64) | U64
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text, A-Z lower-cased first."""
-    for a, b, raw, at in blocks(column):
+    for a, b, raw, at in blocks(column, SMALL_BLOCK):
         hashes, first = word_hashes(LOWER[raw], at)
         every = windows(hashes, words)
         for k in range(b - a):
@@ -157,7 +157,7 @@ def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose full shingle sets reach the threshold.  Only texts that occur in a pair are shingled again."""
     needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = _texts(docs, classes, needed).mapInArrow(_sets, "id long, items array<long>")
+    sets = _texts(docs, classes, needed).mapInArrow(frugal(_sets), "id long, items array<long>")
     left, right = sets.withColumnsRenamed({"id": "u", "items": "left_items"}), sets.withColumnsRenamed({"id": "v", "items": "right_items"})
     both = pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").withColumn("n", F.size(F.array_intersect("left_items", "right_items")))
     return both.filter(100 * F.col("n") >= percent * (F.size("left_items") + F.size("right_items") - F.col("n"))).select("u", "v")
@@ -193,7 +193,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     ship(spark)
     scratch = Scratch(spark, "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.crc32("text").alias("crc"), "text")
-    signed = scratch.table(docs.mapInArrow(_signed, SIGNED), "signed")
+    signed = scratch.table(docs.mapInArrow(frugal(_signed), SIGNED), "signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # One document of a class stands for all its copies: that of the smallest doc_id, and checksum where rows repeat that.
     row = (F.col("doc_id").cast("decimal(20,0)") * F.lit(_CRCS).cast("decimal(11,0)") + F.col("crc").cast("decimal(11,0)")).cast("decimal(31,0)")
@@ -228,7 +228,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, percent: int = 75
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     rest = scratch.table(placed.filter("id <> hub").join(mixed, ["band", "key"], "left_semi").select("band", "key", "id", "component"), "rest")
     ids = rest.select("id").distinct()
-    wide = _texts(docs, classes, ids).mapInArrow(_widened, "id long, " + ", ".join(f"{w} long" for w in WIDE))
+    wide = _texts(docs, classes, ids).mapInArrow(frugal(_widened), "id long, " + ", ".join(f"{w} long" for w in WIDE))
     bands = reps.join(ids, "id", "left_semi").dropDuplicates(["id"])
     known = scratch.table(info.join(wide, "id").join(bands, "id"), "known")
     rest = rest.join(known, "id")

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _linear
-from ._store import ship
-from ._text import U64, WHITE, blocks, mix, span_hashes, prefix_sums, windows, word_bounds
+from ._store import frugal, ship
+from ._text import SMALL_BLOCK, U64, WHITE, blocks, mix, span_hashes, prefix_sums, windows, word_bounds
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -69,7 +69,7 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def measures(column: pa.Array, model: _linear.Linear | None) -> list[pa.Array]:
     """The columns named in COLUMNS for every text; null counts as empty."""
     out: list[list[np.ndarray]] = [[] for _ in range(8)]
-    for a, b, raw, at in blocks(column):
+    for a, b, raw, at in blocks(column, SMALL_BLOCK):
         starts, ends, first = word_bounds(raw, at)
         hashes = span_hashes(prefix_sums(raw), starts, ends)
         n_words = np.diff(first)
@@ -114,7 +114,7 @@ def assess(spark: SparkSession, documents: DataFrame, model: _linear.Linear | No
     """
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_assessed(model), "doc_id long, " + COLUMNS)
+    return docs.mapInArrow(frugal(_assessed(model)), "doc_id long, " + COLUMNS)
 
 
 def accepted(spark: SparkSession, documents: DataFrame, model: _linear.Linear | None) -> DataFrame:
@@ -124,4 +124,4 @@ def accepted(spark: SparkSession, documents: DataFrame, model: _linear.Linear |
     and other columns, whatever their names, are handed through.
     """
     ship(spark)
-    return documents.mapInArrow(_filtered(model), documents.schema)
+    return documents.mapInArrow(frugal(_filtered(model)), documents.schema)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import frugal
+
 SPACE = "▁"
 #: Distinct chunks that each of a cache's two generations holds.
 CACHED_CHUNKS = 300_000
@@ -244,7 +246,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids.  Rows are neither dropped nor merged, whatever
     their doc_id; other columns are ignored.
     """
-    return _texts(documents).mapInArrow(_encoded(path), "doc_id long, n_tokens long, ids array<int>")
+    return _texts(documents).mapInArrow(frugal(_encoded(path)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
